@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.llm.mixing import op9_mixing
 from tesserae.llm.sharding import op10_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
     }
 
