@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tesserae.llm.mixing import op9_mixing
+from tesserae.llm.near_dedup import op6_near_dedup
 from tesserae.llm.quality_rules import OP5_SQL, op5_quality_rules
 from tesserae.llm.sharding import op10_sharding
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op6_near_dedup": op6_near_dedup,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
     }
