@@ -10,6 +10,7 @@ from tesserae.llm.decontamination import OP1_SQL, op1_decontamination
 from tesserae.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tesserae.llm.mixing import op9_mixing
 from tesserae.llm.near_dedup import op6_near_dedup
+from tesserae.llm.quality_classifier import op8_quality_classifier
 from tesserae.llm.quality_rules import OP5_SQL, op5_quality_rules
 from tesserae.llm.sharding import op10_sharding
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_near_dedup": op6_near_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
     }
