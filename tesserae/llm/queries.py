@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.decontamination import OP1_SQL, op1_decontamination
+from tesserae.llm.license_scan import OP2_SQL, op2_license_scan
 from tesserae.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tesserae.llm.mixing import op9_mixing
 from tesserae.llm.near_dedup import op6_near_dedup
@@ -18,6 +19,7 @@ from tesserae.llm.sharding import op10_sharding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_license_scan": op2_license_scan,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_near_dedup": op6_near_dedup,
@@ -30,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
+        "op2_license_scan": OP2_SQL,
         "op4_line_dedup": OP4_SQL,
         "op5_quality_rules": OP5_SQL,
     }
