@@ -11,6 +11,7 @@ from tesserae.llm.license_scan import OP2_SQL, op2_license_scan
 from tesserae.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tesserae.llm.mixing import op9_mixing
 from tesserae.llm.near_dedup import op6_near_dedup
+from tesserae.llm.pii import op7_pii
 from tesserae.llm.quality_classifier import op8_quality_classifier
 from tesserae.llm.quality_rules import OP5_SQL, op5_quality_rules
 from tesserae.llm.sharding import op10_sharding
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_near_dedup": op6_near_dedup,
+        "op7_pii": op7_pii,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
