@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm.decontamination import OP1_SQL, op1_decontamination
 from tesserae.llm.license_scan import OP2_SQL, op2_license_scan
 from tesserae.llm.line_dedup import OP4_SQL, op4_line_dedup
+from tesserae.llm.lm_scoring import op3_lm_scoring
 from tesserae.llm.mixing import op9_mixing
 from tesserae.llm.near_dedup import op6_near_dedup
 from tesserae.llm.pii import op7_pii
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_license_scan": op2_license_scan,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_near_dedup": op6_near_dedup,
