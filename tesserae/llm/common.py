@@ -79,3 +79,13 @@ def text_hash(c: Column) -> list[Column]:
 def unit(*keys: Column) -> Column:
     """A uniform number in [0, 1) that depends on the keys alone, so that reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") * F.lit(2.0**-53)
+
+
+#: Up to so many keys (some 100 bytes each) are broadcast to drop rows; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """docs less the rows that match a row of keys (written before, as it is counted and then joined)."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if few else keys, F.expr(on), "left_anti")

@@ -200,7 +200,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_tex
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows whose text holds an item."""
     hit = common.materialise(contained(docs, items, doc_id, doc_text, item_id, item_text).select(F.col("doc").alias("__doc")).distinct(), "hit")
-    return docs.join(hit, F.expr(f"`{doc_id}` <=> __doc"), "left_anti")
+    return common.without(docs, hit, f"`{doc_id}` <=> __doc")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,10 +149,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     units = counted.withColumn("__nth", nth).select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.struct("__id", "__h", "__nth").alias("row"))
     copies = plan_mix(units, seed).select(F.col("row.__id").alias("__i"), F.col("row.__h").alias("__k"), F.col("row.__nth").alias("__nth"), "copies")
     planned = copies.groupBy("__i", "__k").agg(F.map_from_entries(F.collect_list(F.struct("__nth", "copies"))).alias("__plan"), F.max("__nth").alias("__most"))
-    # rows alike are numbered only where there are several
-    joined = base.join(planned, F.expr("__id <=> __i and __h = __k"))
+    # rows alike are numbered only where there are several; both branches read the same exchange of the texts
+    joined = base.select("__row", "__id", "__h").join(planned, F.expr("__id <=> __i and __h = __k"))
     once = joined.where("__most = 1").select("__row", F.col("__plan")[1].alias("copies"))
-    several = joined.where("__most > 1").withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__size")).cast("long"))
+    several = joined.where("__most > 1").withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__most")).cast("long"))
     taken = once.unionByName(several.select("__row", F.col("__plan")[F.col("__nth")].alias("copies")))
     return taken.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
 

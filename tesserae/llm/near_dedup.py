@@ -197,12 +197,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the least id (of rows with this id, the one of the least hash of all columns)."""
-    groups = near_duplicates(docs, id_col, text_col)
-    first = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(common.materialise(first, "firsts"), F.expr(f"`{id_col}` <=> __id"), "left_semi")
+    """docs with one row of each component: that of the least id.
+
+    Of several rows with this id the one with the least hash over all columns stays, once if it is repeated.
+    """
     like = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(like))).where("__n = 1").drop("__n")
+    groups = near_duplicates(docs.select(F.struct(F.col(id_col).alias("i"), like.alias("like")).alias("key"), text_col), "key", text_col)
+    rows = groups.groupBy("id", "component").agg(F.count(F.lit(1)).alias("n"))
+    rows = common.materialise(rows.withColumn("goes", ~F.col("id").eqNullSafe(F.col("component"))), "rows")
+    gone = rows.where("goes").select(F.col("id.i").alias("__id"), F.col("id.like").alias("__like"))
+    again = rows.where("not goes and n > 1").select(F.col("id.i").alias("__again_id"), F.col("id.like").alias("__again_like"))
+    marked = docs.withColumn("__row_like", like)
+    kept = common.without(marked, gone, f"`{id_col}` <=> __id and __row_like = __like")
+    if not again.limit(1).count():
+        return kept.drop("__row_like")
+    on = f"`{id_col}` <=> __again_id and __row_like = __again_like"
+    once = kept.join(again, F.expr(on), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__row_like").orderBy("__row_like"))).where("__n = 1").drop("__n")
+    return common.without(kept, again, on).unionByName(once).drop("__row_like")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
