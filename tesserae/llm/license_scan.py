@@ -59,7 +59,7 @@ def library(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """Rows (template, license, n, grams, bands): distinct shingles as text, and (class, hash) of every band."""
     rows = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, license string, notice string")
     made = rows.withColumn("w", tokens(F.col("notice"))).withColumn("h", hashes(F.col("w")))
-    every = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: gram(F.col("w"), i))
+    every = F.when(F.size("h") > 0, F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: gram(F.col("w"), i))).otherwise(F.array().cast("array<string>"))
     # segments are of near equal length, so each has over LONG / 2 shingles; all of a segment's shingles are in its sketch
     kind = F.when(F.size("h") <= SHORT, F.lit(0)).otherwise(F.lit(1))
     return made.select("template", "license", F.array_distinct(every).alias("grams"), kind.alias("kind"), F.array_distinct("h").alias("h")).withColumn("n", F.size("grams").cast("long"))

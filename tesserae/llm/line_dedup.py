@@ -53,10 +53,10 @@ class LineRuns:
         else:
             run = self.write(entries.withColumn("fresh", F.lit(1)))
         self.levels[0].append(run)
-        self.compact()
         return run
 
     def compact(self) -> None:
+        """To be called between batches: rewrites full levels and deletes their runs."""
         k = 0
         while k < len(self.levels):
             if len(full := self.levels[k]) >= self.fanout:
@@ -91,6 +91,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     store = LineRuns(spark)
     for k in range(batches):
         store.ingest(found.where(F.col("batch") == k))
+        store.compact()
     shared = store.total().where(F.col("n_docs") >= min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "max_id")
     lost = found.join(shared, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & ~F.col("id").eqNullSafe(F.col("max_id")))
     drops = common.materialise(lost.groupBy("id").agg(F.collect_list(F.struct(*KEY)).alias("__drops")).withColumnRenamed("id", "__drop_id"), "drops")
