@@ -852,3 +852,226 @@ def s1_sampling_plan(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", (F.col("n_chars") / 100.0).cast("double").alias("dur"))
     p = sampling.plan(d, "dur")
     return p.select("doc_id", F.col("frames"), *[F.round(c, 6).alias(c) for c in ("first", "last", "step")])
+
+
+# --- surfaces: lineitem rows as grid points ---
+
+GRID = """g AS (
+  SELECT l_quantity::BIGINT AS gx, round(l_discount * 100)::BIGINT AS gy, l_orderkey * 10 + l_linenumber AS id, round(l_tax, 4) AS confidence
+  FROM lineitem WHERE l_orderkey % 30 = 0),
+best AS (SELECT gx, gy, id FROM (SELECT *, row_number() OVER (PARTITION BY gx, gy ORDER BY confidence DESC, id) AS k FROM g) WHERE k = 1),
+cells AS (
+  SELECT gx - dx AS cx, gy - dy AS cy, max(CASE WHEN dx = 0 AND dy = 0 THEN id END) AS a, max(CASE WHEN dx = 1 AND dy = 0 THEN id END) AS b,
+         max(CASE WHEN dx = 0 AND dy = 1 THEN id END) AS c, max(CASE WHEN dx = 1 AND dy = 1 THEN id END) AS d
+  FROM best, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) s(dx, dy) GROUP BY 1, 2),
+tri AS (
+  SELECT cx, cy, a, b, c FROM cells WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL
+  UNION ALL SELECT cx, cy, b, d, c FROM cells WHERE b IS NOT NULL AND d IS NOT NULL AND c IS NOT NULL
+  UNION ALL SELECT cx, cy, a, b, d FROM cells WHERE a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL AND c IS NULL
+  UNION ALL SELECT cx, cy, a, d, c FROM cells WHERE a IS NOT NULL AND d IS NOT NULL AND c IS NOT NULL AND b IS NULL)"""
+
+
+def grid_points(spark, sf_dir) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 30 = 0")
+    return l.select(F.round("l_quantity").cast("long").alias("gx"), F.round(F.col("l_discount") * 100).cast("long").alias("gy"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.round("l_tax", 4).alias("confidence"))
+
+
+def grid_triangles(spark, sf_dir) -> DataFrame:
+    from tesserae.operators import surface
+
+    return surface.cell_triangles(surface.grid_cells(grid_points(spark, sf_dir)))
+
+
+@query("r2_grid_mesh", f"WITH {GRID} SELECT * FROM tri")
+def r2_grid_mesh(spark, sf_dir):
+    return grid_triangles(spark, sf_dir)
+
+
+@query(
+    "g8_boundary_edges",
+    f"""
+WITH {GRID}, e AS (
+  SELECT least(a, b) AS u, greatest(a, b) AS v FROM tri UNION ALL SELECT least(b, c), greatest(b, c) FROM tri UNION ALL SELECT least(c, a), greatest(c, a) FROM tri)
+SELECT u, v FROM e GROUP BY u, v HAVING count(*) = 1
+""",
+)
+def g8_boundary_edges(spark, sf_dir):
+    from tesserae.operators import surface
+
+    return surface.edges(grid_triangles(spark, sf_dir)).where("used = 1").select("u", "v")
+
+
+@query(
+    "a8_vertex_normals",
+    f"""
+WITH {GRID}, p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS z FROM lineitem),
+n AS (
+  SELECT t.a, t.b, t.c, (pb.y - pa.y) * (pc.z - pa.z) - (pb.z - pa.z) * (pc.y - pa.y) AS nx, (pb.z - pa.z) * (pc.x - pa.x) - (pb.x - pa.x) * (pc.z - pa.z) AS ny,
+         (pb.x - pa.x) * (pc.y - pa.y) - (pb.y - pa.y) * (pc.x - pa.x) AS nz
+  FROM tri t JOIN p pa ON t.a = pa.id JOIN p pb ON t.b = pb.id JOIN p pc ON t.c = pc.id),
+s AS (SELECT id, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT a AS id, nx, ny, nz FROM n UNION ALL SELECT b, nx, ny, nz FROM n UNION ALL SELECT c, nx, ny, nz FROM n) GROUP BY id)
+SELECT id, round(nx / sqrt(nx * nx + ny * ny + nz * nz), 5) AS nx, round(ny / sqrt(nx * nx + ny * ny + nz * nz), 5) AS ny, round(nz / sqrt(nx * nx + ny * ny + nz * nz), 5) AS nz FROM s
+""",
+)
+def a8_vertex_normals(spark, sf_dir):
+    from tesserae.operators import surface
+
+    p = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"))
+    n = surface.vertex_normals(grid_triangles(spark, sf_dir), p)
+    return n.select("id", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
+
+
+@query(
+    "j20_corner_regions",
+    """
+WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS triangle_index, l_partkey AS a, l_suppkey AS b, l_orderkey % 2000 AS c FROM lineitem WHERE l_orderkey % 10 = 0),
+e AS (SELECT triangle_index, unnest([a, b, c]) AS id FROM t),
+r AS (SELECT p_partkey // 64 AS region, p_partkey // 64 * 64 AS start FROM part GROUP BY ALL),
+o AS (SELECT triangle_index, region FROM e LEFT JOIN r ON id >= start AND id < start + 50)
+SELECT triangle_index, count(DISTINCT region) AS regions, CASE WHEN count(DISTINCT region) = 1 AND count(*) = count(region) THEN min(region) ELSE -1 END AS region,
+       count(DISTINCT region) > 1 OR count(*) > count(region) AS mixed FROM o GROUP BY triangle_index
+""",
+)
+def j20_corner_regions(spark, sf_dir):
+    from tesserae.operators import surface
+
+    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    t = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("triangle_index"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_orderkey") % 2000).alias("c"))
+    regions = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).cast("long").alias("region")).distinct().select("region", (F.col("region") * 64).alias("start"), F.lit(50).cast("long").alias("count"))
+    ids = t.select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
+    owners = spatial.locate(ids, "id", regions, 64).select("id", "region")
+    return surface.corner_owners(t, owners).withColumn("region", F.coalesce("region", F.lit(-1)))
+
+
+@query(
+    "f13_view_verdict",
+    """
+WITH v AS (SELECT l_suppkey, round(avg((l_quantity <= 30)::INT), 6) AS inside, round(avg(l_discount) * 10, 6) AS iou, round(avg((l_tax > 0.06)::INT), 6) AS violations FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, concat_ws(',', CASE WHEN inside < 0.6 THEN 'inside' END, CASE WHEN iou < 0.48 THEN 'iou' END, CASE WHEN violations > 0.2 THEN 'depth' END) AS reasons,
+       inside >= 0.6 AND iou >= 0.48 AND violations <= 0.2 AS valid FROM v
+""",
+)
+def f13_view_verdict(spark, sf_dir):
+    share = lambda c: F.round(F.avg(F.expr(c).cast("int")), 6)
+    v = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(share("l_quantity <= 30").alias("inside"), F.round(F.avg("l_discount") * 10, 6).alias("iou"), share("l_tax > 0.06").alias("violations"))
+    reasons = F.concat_ws(",", F.when(F.col("inside") < 0.6, "inside"), F.when(F.col("iou") < 0.48, "iou"), F.when(F.col("violations") > 0.2, "depth"))
+    return v.select("l_suppkey", reasons.alias("reasons"), (reasons == "").alias("valid"))
+
+
+@query(
+    "f14_invariants",
+    """
+SELECT 'orphan line' AS reason, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'order without lines', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'repeated line', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+UNION ALL SELECT 'bad discount', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 1
+""",
+)
+def f14_invariants(spark, sf_dir):
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    says = lambda df, reason: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(reason).alias("reason"), "n")
+    on = F.col("l_orderkey") == F.col("o_orderkey")
+    out = says(l.join(o, on, "left_anti"), "orphan line")
+    out = out.unionByName(says(o.join(l, on, "left_anti"), "order without lines"))
+    out = out.unionByName(says(l.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated line"))
+    return out.unionByName(says(l.where("l_discount < 0 or l_discount > 1"), "bad discount"))
+
+
+@query(
+    "f4_link_breaks",
+    f"""
+WITH {DAILY}, w AS (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY day) AS p FROM d)
+SELECT event_type, day, CASE WHEN abs(v - p) > 20 THEN 'hard_cut' WHEN v < 40 THEN 'lost_overlap' WHEN abs(v - p) > 10 THEN 'motion_jump' END AS break FROM w
+""",
+)
+def f4_link_breaks(spark, sf_dir):
+    p = F.lag("v").over(Window.partitionBy("event_type").orderBy("day"))
+    d = daily(spark, sf_dir).withColumn("p", p)
+    change = F.abs(F.col("v") - F.col("p"))
+    return d.select("event_type", "day", gates.first_gate([("hard_cut", change > 20), ("lost_overlap", F.col("v") < 40), ("motion_jump", change > 10)]).alias("break"))
+
+
+@query("a13_spread", "SELECT label, round(max(sqrt((x - mx) ** 2 + (y - my) ** 2)), 6) AS spread FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, avg(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS mx, avg(embedding[2]::DOUBLE) OVER (PARTITION BY label) AS my FROM embeddings) GROUP BY label")
+def a13_spread(spark, sf_dir):
+    """Largest distance from the group's mean."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    m = e.groupBy("label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    return e.join(m, "label").groupBy("label").agg(F.round(F.max(F.expr("sqrt(pow(x - mx, 2) + pow(y - my, 2))")), 6).alias("spread"))
+
+
+@query(
+    "a14_mask_support",
+    """
+WITH p AS (SELECT p_brand, ((p_partkey * 7) % 64 >= p_size % 16 AND (p_partkey * 7) % 64 < p_size % 16 + 8) AS inside FROM part)
+SELECT p_brand, count(*) AS visible, round(avg(inside::INT), 6) AS support FROM p GROUP BY p_brand HAVING count(*) >= 3
+""",
+)
+def a14_mask_support(spark, sf_dir):
+    size = F.col("p_size").cast("long")
+    p = table(spark, sf_dir, "part").select("p_brand", spatial.inside((F.col("p_partkey") * 7) % 64, spatial.mask_runs(F.array(size % 16, F.lit(8).cast("long")))).alias("inside"))
+    return p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("visible"), F.round(F.avg(F.col("inside").cast("int")), 6).alias("support")).where("visible >= 3")
+
+
+@query(
+    "r5_appearance_diff",
+    """
+WITH b AS (SELECT doc_id AS ref, sha256(text) AS k FROM documents WHERE doc_id % 5 <> 0), a AS (SELECT doc_id AS ref, CASE WHEN doc_id % 3 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS k FROM documents WHERE doc_id % 7 <> 0)
+SELECT coalesce(a.ref, b.ref) AS ref, CASE WHEN b.ref IS NULL THEN 'added' WHEN a.ref IS NULL THEN 'removed' WHEN a.k <> b.k THEN 'changed' ELSE 'same' END AS state FROM b FULL JOIN a ON a.ref = b.ref
+""",
+)
+def r5_appearance_diff(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    b = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("b"), F.sha2("text", 256).alias("kb"))
+    a = d.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("a"), F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("ka"))
+    state = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("ka") != F.col("kb"), "changed").otherwise("same")
+    return b.join(a, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("ref"), state.alias("state"))
+
+
+@query(
+    "r12_reconcile",
+    """
+WITH r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'stale' ELSE sha256(text) END AS recorded, doc_id % 13 <> 0 AS receipt FROM documents WHERE doc_id % 4 <> 0)
+SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN 'missing' WHEN NOT receipt THEN 'no_receipt' WHEN recorded <> sha256(d.text) THEN 'changed' ELSE 'reuse' END AS verdict FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+""",
+)
+def r12_reconcile(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    r = d.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("r"), F.when(F.col("doc_id") % 11 == 0, "stale").otherwise(F.col("h")).alias("recorded"), (F.col("doc_id") % 13 != 0).alias("receipt"))
+    verdict = F.when(F.col("r").isNull(), "missing").when(~F.col("receipt"), "no_receipt").when(F.col("recorded") != F.col("h"), "changed").otherwise("reuse")
+    return d.join(r, F.col("doc_id") == F.col("r"), "left").select("doc_id", verdict.alias("verdict"))
+
+
+@query(
+    "r16_mask_iou",
+    """
+WITH p AS (SELECT p_partkey, p_size % 16 AS s1, p_size % 16 + 8 AS e1, p_size % 10 AS s2, p_size % 10 + 12 AS e2 FROM part)
+SELECT p_partkey, round(greatest(0, least(e1, e2) - greatest(s1, s2)) / (e1 - s1 + e2 - s2 - greatest(0, least(e1, e2) - greatest(s1, s2))), 6) AS iou FROM p
+""",
+)
+def r16_mask_iou(spark, sf_dir):
+    """Overlap of two run-length masks of one run each."""
+    size = F.col("p_size").cast("long")
+    run = lambda off, on: spatial.mask_runs(F.array(off, F.lit(on).cast("long")))[0]
+    p = table(spark, sf_dir, "part").select("p_partkey", run(size % 16, 8).alias("a"), run(size % 10, 12).alias("b"))
+    both = F.greatest(F.lit(0).cast("long"), F.least("a.to", "b.to") - F.greatest("a.from", "b.from"))
+    return p.select("p_partkey", F.round(both / (F.expr("a.to - a.from + b.to - b.from") - both), 6).alias("iou"))
+
+
+@query(
+    "k9_widest",
+    "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k = 1",
+)
+def k9_widest(spark, sf_dir):
+    best = F.max_by(F.struct("l_orderkey", "l_linenumber"), F.struct(F.col("l_extendedprice"), -F.col("l_orderkey"), -F.col("l_linenumber")))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(best.alias("m")).select("l_suppkey", "m.l_orderkey", "m.l_linenumber")
+
+
+@query("k14_patch_order", "SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS rank FROM part GROUP BY p_brand")
+def k14_patch_order(spark, sf_dir):
+    n = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))  # a row for each patch
+    return n.select("p_brand", F.row_number().over(Window.orderBy(F.desc("n"), "p_brand")).cast("long").alias("rank"))
+
+
+from tesserae.plans import scenes  # noqa: E402
+
+QUERIES |= scenes.QUERIES
