@@ -42,7 +42,7 @@ def test_op3(spark, tmp_path):
 def test_bits_are_a_probability():
     """Over all next bytes of a token the model's probabilities add up to 1."""
     rng = np.random.default_rng(0)
-    tables = [rng.integers(0, 60, (1 << b, 2)).astype(np.uint8) for b in lm_scoring.SLOT_BITS]
+    tables = [rng.integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in lm_scoring.SLOT_BITS]
     tags = lm_scoring.tags_of([(b"abc", 0), (b"abd", 1)])
     model = lm_scoring.Model(tags, tables, lm_scoring.start_weights(), rng.uniform(0.01, 0.99, 256 * lm_scoring.STEPS))
     total = 0.0
@@ -52,7 +52,7 @@ def test_bits_are_a_probability():
         t = t._replace(byte=data)
         p = 1.0
         for j, node, bit in lm_scoring.bits_of(t):
-            x = lm_scoring.mixed(model.weights, np.minimum(t.place, lm_scoring.PLACES - 1) * 8 + j, *lm_scoring.inputs(model, t, node, bit, None))
+            x = lm_scoring.mixed(model.weights, np.minimum(t.place, lm_scoring.PLACES - 1) * 8 + j, *lm_scoring.inputs(model, t, node, bit, False))
             low, far = lm_scoring.cells(t, x)
             q = (0.5 * (1 + np.tanh(x / 2)) + model.last[low] * (1 - far) + model.last[low + 1] * far) / 2
             p *= q[1] if bit[1] else 1 - q[1]
