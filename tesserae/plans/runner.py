@@ -1,0 +1,61 @@
+"""Runs operations in waves of a content-addressed graph: what is current is reused, failures are retried and stop what depends on them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Protocol
+
+from tesserae.operators.graph import identities
+
+
+@dataclass(frozen=True)
+class Operation:
+    kind: str
+    parameters: str = ""
+    inputs: list[str] = field(default_factory=list)
+    attempts: int = 1
+
+
+class Executor(Protocol):
+    def execute(self, name: str, operation: Operation, inputs: dict[str, object]) -> object: ...
+
+
+def waves(operations: dict[str, Operation]) -> list[list[str]]:
+    """Operations by depth: each wave needs only earlier ones."""
+    depth: dict[str, int] = {}
+    identities({n: (o.kind, o.parameters, o.inputs) for n, o in operations.items()})  # raises on circles
+    left = dict(operations)
+    while left:
+        for n in [n for n, o in left.items() if all(i in depth for i in o.inputs)]:
+            depth[n] = 1 + max((depth[i] for i in left.pop(n).inputs), default=-1)
+    return [sorted(n for n, d in depth.items() if d == k) for k in range(1 + max(depth.values(), default=-1))]
+
+
+def run(operations: dict[str, Operation], executor: Executor, recorded: dict[str, tuple[str, object]] | None = None, canceled: Callable[[], bool] = lambda: False) -> dict[str, dict]:
+    """For each operation: state (reused, done, failed, blocked, canceled), identity, attempts, result. recorded: identity and result of earlier runs."""
+    now = identities({n: (o.kind, o.parameters, o.inputs) for n, o in operations.items()})
+    out: dict[str, dict] = {}
+    for wave in waves(operations):
+        for name in wave:
+            o = operations[name]
+            row = {"identity": now[name], "attempts": 0, "result": None}
+            if (recorded or {}).get(name, ("",))[0] == now[name]:
+                out[name] = row | {"state": "reused", "result": recorded[name][1]}
+                continue
+            if any(out[i]["state"] not in ("done", "reused") for i in o.inputs):
+                out[name] = row | {"state": "blocked"}
+                continue
+            state, error = "failed", None
+            while row["attempts"] < o.attempts and state == "failed":
+                if canceled():
+                    state = "canceled"
+                    break
+                row["attempts"] += 1
+                try:
+                    row["result"] = executor.execute(name, o, {i: out[i]["result"] for i in o.inputs})
+                    state = "done"
+                except Exception as e:
+                    error = str(e)
+            out[name] = row | {"state": state} | ({"error": error} if state == "failed" else {})
+    return out
