@@ -69,9 +69,9 @@ def test_lm_of_nothing(spark):
 
 
 def test_segments_are_causal():
-    teller = lm_scoring.Teller({b"x": 0, b"y": 1}, np.array([[0.0, -3.0], [-3.0, 0.0]]))
+    teller = lm_scoring.Teller({b"x": 0, b"y": 1}, np.array([[0.0, -3.0], [-3.0, 0.0], [0.0, 0.0]]))
     runs = lm_scoring.segments([b"y"] * 4 + [b"x"] * 20, teller)
-    assert runs[0] == (0, [b"y"] * 4) and runs[1] == (2, [b"x"] * 4) and [t for _, p in runs for t in p] == [b"y"] * 4 + [b"x"] * 20
+    assert runs[0] == (0, [b"y"] * 4) and runs[1] == (2, [b"x"] * 12) and runs[2][0] == 1 and [t for _, p in runs for t in p] == [b"y"] * 4 + [b"x"] * 20
 
 
 def junk(k):
