@@ -38,6 +38,16 @@ def expand(start: DataFrame, links: DataFrame, least: int, rounds: int) -> DataF
     return reached
 
 
+def ancestry(nodes: DataFrame, rounds: int) -> DataFrame:
+    """nodes: node, parent (null for roots). (node, root, depth) by pointer doubling; a parent that is missing ends a path there."""
+    known = nodes.select(F.col("node").alias("k"))
+    up = nodes.join(known, F.col("parent") == F.col("k"), "left").select("node", F.coalesce("k", "node").alias("root"), F.col("k").isNotNull().cast("long").alias("depth"))
+    for _ in range(rounds):
+        nxt = up.select(F.col("node").alias("n"), F.col("root").alias("r"), F.col("depth").alias("d"))
+        up = up.join(nxt, F.col("root") == F.col("n")).select("node", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"))
+    return up
+
+
 def identity(kind: str, parameters: str, inputs: list[str]) -> str:
     """Content identity of an operation: SHA-256 over its fields, separated by zero bytes."""
     return hashlib.sha256(b"\0".join(x.encode() for x in [kind, parameters, *inputs])).hexdigest()

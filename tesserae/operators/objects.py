@@ -67,3 +67,22 @@ def identify(candidates: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["clip_id", "object", "label", "motion", "observation"])
 
     return candidates.groupBy("clip_id", "label").applyInPandas(run, "clip_id string, object string, label string, motion string, observation string")
+
+
+def spread_views(views: DataFrame, extra: int = 4) -> DataFrame:
+    """views: clip_id, object, frame_index, score, x, y, z. The best view and up to `extra` more, each the farthest from those chosen (ties: lower frame).
+
+    Greedy, so one task sees an object's views.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["score", "frame_index"], ascending=[False, True]).reset_index(drop=True)
+        at = p[["x", "y", "z"]].to_numpy(float)
+        chosen, gap = [0], np.linalg.norm(at - at[0], axis=1)
+        while len(chosen) <= extra and gap.max() > 0:
+            k = min(np.flatnonzero(gap == gap.max()), key=lambda j: p["frame_index"].iat[j])
+            chosen.append(int(k))
+            gap = np.minimum(gap, np.linalg.norm(at - at[k], axis=1))
+        return p.loc[chosen, ["clip_id", "object", "frame_index"]].assign(rank=np.arange(len(chosen), dtype=np.int32))
+
+    return views.groupBy("clip_id", "object").applyInPandas(run, "clip_id string, object string, frame_index int, rank int")

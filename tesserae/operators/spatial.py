@@ -69,3 +69,29 @@ def boxes(cells: DataFrame, by: list) -> DataFrame:
     flat = rows.select(*by, F.col("start").alias("x0"), F.col("end").alias("x1"), "y")
     out = runs(flat, [*by, "x0", "x1"], F.col("y"))
     return out.select(*by, "x0", "x1", F.col("start").alias("y0"), F.col("end").alias("y1"))
+
+
+def overlapping(rectangles: DataFrame, size: float) -> DataFrame:
+    """rectangles: id, x0, x1, y0, y1. Pairs a < b that overlap, each once.
+
+    Both are dealt to the cells they touch; a pair is taken in the cell of the lower left corner of what they share, so it needs no distinct.
+    """
+    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))
+    dealt = rectangles.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    met = a.join(b, F.expr("a.cx = b.cx and a.cy = b.cy and a.id < b.id and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1"))
+    corner = (F.floor(F.greatest("a.x0", "b.x0") / size).cast("long") == F.col("a.cx")) & (F.floor(F.greatest("a.y0", "b.y0") / size).cast("long") == F.col("a.cy"))
+    return met.where(corner).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def complete(cells: DataFrame, least: int = 3, spread: float = 0.06, passes: int = 2) -> DataFrame:
+    """cells: x, y, v. Empty cells with `least` or more of their eight neighbours whose values agree within the spread get their mean; pass 0 are the given ones."""
+    now = cells.select("x", "y", "v", F.lit(0).alias("pass"))
+    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
+    for k in range(1, passes + 1):
+        near = now.withColumn("s", shifts).select((F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "v")
+        empty = near.join(now.select("x", "y"), ["x", "y"], "left_anti").groupBy("x", "y")
+        found = empty.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("v"))
+        kept = found.where((F.col("n") >= least) & (F.col("hi") - F.col("lo") <= spread * F.col("hi")))
+        now = now.unionByName(kept.select("x", "y", "v", F.lit(k).alias("pass")))
+    return now

@@ -1072,6 +1072,151 @@ def k14_patch_order(spark, sf_dir):
     return n.select("p_brand", F.row_number().over(Window.orderBy(F.desc("n"), "p_brand")).cast("long").alias("rank"))
 
 
+# --- more joins, choices and fix points ---
+
+
+@query(
+    "j21_overlaps",
+    """
+WITH r AS (SELECT o_orderkey AS id, o_custkey % 100 AS x0, o_custkey % 100 + o_totalprice / 200000 AS x1, (o_orderkey * 7) % 90 AS y0, (o_orderkey * 7) % 90 + 2 AS y1 FROM orders WHERE o_orderkey % 5 = 0)
+SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
+""",
+)
+def j21_overlaps(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    r = o.selectExpr("o_orderkey as id", "o_custkey % 100 as x0", "o_custkey % 100 + o_totalprice / 200000 as x1", "(o_orderkey * 7) % 90 as y0", "(o_orderkey * 7) % 90 + 2 as y1")
+    return spatial.overlapping(r, 4.0)
+
+
+@query(
+    "j23_fscore_within",
+    f"""
+WITH {POINTS}, hit AS (SELECT a AS id FROM near UNION SELECT b FROM near)
+SELECT grp, count(*) AS points, round(avg((hit.id IS NOT NULL)::INT), 6) AS within FROM v LEFT JOIN hit ON v.id = hit.id GROUP BY grp
+""",
+)
+def j23_fscore_within(spark, sf_dir):
+    """Share of each group's points with a point of another group within the threshold: precision and recall of one against another."""
+    near = near_points(spark, sf_dir)
+    hit = near.select(F.col("a").alias("h")).union(near.select("b")).distinct()
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"))
+    return v.join(hit, F.col("id") == F.col("h"), "left").groupBy("grp").agg(F.count(F.lit(1)).alias("points"), F.round(F.avg(F.col("h").isNotNull().cast("int")), 6).alias("within"))
+
+
+@query(
+    "a5_best_line",
+    """
+WITH d AS (SELECT l_partkey AS g, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem),
+h AS (SELECT a.g, a.k, (b.y - a.y) / (b.x - a.x) AS m, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS c FROM d a JOIN d b ON a.g = b.g AND b.k = a.k + 1 AND b.x <> a.x),
+s AS (SELECT h.g, h.k, count(*) FILTER (WHERE abs(y - m * x - c) <= 2000) AS inliers FROM h JOIN d ON h.g = d.g GROUP BY h.g, h.k)
+SELECT g AS l_partkey, k AS sample, inliers FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY inliers DESC, k) AS r FROM s) WHERE r = 1
+""",
+)
+def a5_best_line(spark, sf_dir):
+    """Argmax over samples: each neighbouring pair of a group proposes a line, the one with most rows near it wins, the first of equals."""
+    w = Window.partitionBy("g").orderBy("l_orderkey", "l_linenumber")
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("g"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"), "l_orderkey", "l_linenumber")
+    nxt = d.withColumn("k", F.row_number().over(w).cast("long")).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 <> x")
+    h = nxt.select(F.col("g").alias("hg"), "k", F.expr("(y2 - y) / (x2 - x)").alias("m"), F.expr("y - (y2 - y) / (x2 - x) * x").alias("c"))
+    s = d.join(h, F.col("g") == F.col("hg")).groupBy("hg", "k").agg(F.count_if(F.expr("abs(y - m * x - c) <= 2000")).alias("inliers"))
+    return s.groupBy(F.col("hg").alias("l_partkey")).agg(F.max(F.struct(F.col("inliers"), -F.col("k"))).alias("b")).select("l_partkey", (-F.col("b.col2")).alias("sample"), F.col("b.inliers").alias("inliers"))
+
+
+@query("k3_least_error", "SELECT l_partkey, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount, l_extendedprice, l_orderkey) AS k FROM lineitem) WHERE k = 1")
+def k3_least_error(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min_by("l_orderkey", F.struct("l_discount", "l_extendedprice", "l_orderkey")).alias("l_orderkey"))
+
+
+@query(
+    "k7_nearest_sources",
+    """
+SELECT a.n_nationkey AS frame, b.n_nationkey AS source FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey
+QUALIFY row_number() OVER (PARTITION BY a.n_nationkey ORDER BY abs(a.n_nationkey - b.n_nationkey), b.n_nationkey) <= 3
+""",
+)
+def k7_nearest_sources(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    met = n.select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("frame")).join(n.select("n_regionkey", F.col("n_nationkey").alias("source")), F.expr("r = n_regionkey and frame <> source"))
+    w = Window.partitionBy("frame").orderBy(F.abs(F.col("frame") - F.col("source")), "source")
+    return met.withColumn("k", F.row_number().over(w)).where("k <= 3").select("frame", "source")
+
+
+@query(
+    "k11_ranked_attempts",
+    """
+WITH a AS (SELECT o_custkey, o_orderkey, (o_orderstatus = 'F')::INT AS done, o_orderpriority AS p, o_totalprice AS t FROM orders)
+SELECT o_custkey, o_orderkey FROM a QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY done DESC, p DESC, t DESC, o_orderkey DESC) = 1
+""",
+)
+def k11_ranked_attempts(spark, sf_dir):
+    """The best attempt by a lexicographic score."""
+    score = F.struct((F.col("o_orderstatus") == "F").cast("int"), F.col("o_orderpriority"), F.col("o_totalprice"), F.col("o_orderkey"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", score).alias("o_orderkey"))
+
+
+COMPLETE_PASS = """
+n{k} AS (SELECT x + dx AS x, y + dy AS y, v FROM c{j}, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) s(dx, dy)),
+f{k} AS (SELECT x, y, avg(v) AS v, {k} AS pass FROM n{k} WHERE NOT EXISTS (SELECT 1 FROM c{j} WHERE c{j}.x = n{k}.x AND c{j}.y = n{k}.y) GROUP BY x, y HAVING count(*) >= 3 AND max(v) - min(v) <= 0.06 * max(v)),
+c{k} AS (SELECT * FROM c{j} UNION ALL SELECT * FROM f{k})"""
+
+
+@query(
+    "g10_completion",
+    """
+WITH c0 AS (SELECT p_size::BIGINT AS x, (p_partkey % 60)::BIGINT AS y, round(avg(p_retailprice), 4) AS v, 0 AS pass FROM part GROUP BY 1, 2),"""
+    + COMPLETE_PASS.format(k=1, j=0) + "," + COMPLETE_PASS.format(k=2, j=1) + " SELECT x, y, round(v, 7) AS v, pass FROM c2",
+)
+def g10_completion(spark, sf_dir):
+    cells = table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("x"), (F.col("p_partkey") % 60).alias("y")).agg(F.round(F.avg("p_retailprice"), 4).alias("v"))
+    return spatial.complete(cells).withColumn("v", F.round("v", 7))
+
+
+@query(
+    "r10_camera_states",
+    """
+WITH s AS (SELECT o_custkey, count(*) AS n, avg((o_orderstatus = 'F')::INT) AS share FROM orders GROUP BY o_custkey)
+SELECT c_custkey, CASE WHEN n IS NULL THEN 'unregistered' WHEN n < 3 THEN 'weak' WHEN share >= 0.5 THEN 'registered' ELSE 'uncertain' END AS state FROM customer LEFT JOIN s ON c_custkey = o_custkey
+""",
+)
+def r10_camera_states(spark, sf_dir):
+    s = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("share"))
+    state = F.when(F.col("n").isNull(), "unregistered").when(F.col("n") < 3, "weak").when(F.col("share") >= 0.5, "registered").otherwise("uncertain")
+    return table(spark, sf_dir, "customer").join(s, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", state.alias("state"))
+
+
+@query(
+    "r14_ancestry",
+    """
+WITH RECURSIVE n AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 64 >= 2 THEN p_partkey - p_partkey % 64 + (p_partkey % 64) // 2 END AS parent FROM part),
+t AS (
+  SELECT node, node AS root, 0::BIGINT AS depth FROM n WHERE parent IS NULL OR parent NOT IN (SELECT node FROM n)
+  UNION ALL SELECT n.node, t.root, t.depth + 1 FROM n JOIN t ON n.parent = t.node)
+SELECT node, root, depth FROM t
+""",
+)
+def r14_ancestry(spark, sf_dir):
+    """Roots and depths of assets under their parents."""
+    p = F.col("p_partkey")
+    nodes = table(spark, sf_dir, "part").select(p.alias("node"), F.when(p % 64 >= 2, p - p % 64 + F.floor((p % 64) / 2)).cast("long").alias("parent"))
+    return graph.ancestry(nodes, rounds=3)
+
+
+@query("r15_evidence_ratio", "SELECT event_type, round(avg((value IS NOT NULL AND isfinite(value) AND value > 0)::INT), 6) AS share FROM events GROUP BY event_type")
+def r15_evidence_ratio(spark, sf_dir):
+    ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")) & (F.col("value") > 0)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(F.coalesce(ok, F.lit(False)).cast("int")), 6).alias("share"))
+
+
+@query("w7_spread_views")
+def w7_spread_views(spark, sf_dir):
+    """Greedy farthest views by label; order is the semantics, so there is no SQL form."""
+    from tesserae.operators import objects
+
+    e = table(spark, sf_dir, "embeddings")
+    at = lambda k: F.col("embedding")[k].cast("double")
+    return objects.spread_views(e.select(F.lit("clip").alias("clip_id"), F.col("label").cast("string").alias("object"), F.col("vec_id").cast("int").alias("frame_index"), at(3).alias("score"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z")))
+
+
 from tesserae.plans import scenes  # noqa: E402
 
 QUERIES |= scenes.QUERIES
