@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators import geometry, graph, images, matching
+from tesserae.operators import cameras, geometry, graph, images, matching
 from tesserae.sources import fixtures
 
 QUERIES: dict = {}
@@ -94,3 +94,10 @@ def p5_projections(spark, sf_dir) -> DataFrame:
     at = met.withColumn("p", geometry.project(*cam, *SIZE)).withColumn("depth", cam[2])
     back = geometry.unproject(F.col("p.u"), F.col("p.v"), F.col("depth"), *SIZE)
     return at.select("point_index", "frame_index", F.round("p.u", 4).alias("u"), F.round("p.v", 4).alias("v"), F.round(F.abs(back["x"] - cam[0]), 9).alias("round_trip"))
+
+
+@query
+def g2_registered_cameras(spark, sf_dir) -> DataFrame:
+    """Cameras of the clip from its tracks alone, up to a similarity."""
+    got = cameras.solve_clips(observations(spark).select("clip_id", "track", "frame_index", "x", "y"), *SIZE)
+    return got.select("frame_index", "landmarks", "adjusted", *[F.round(F.col("center")[k], 3).alias(f"c{k}") for k in range(3)])

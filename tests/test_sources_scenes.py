@@ -85,3 +85,36 @@ def test_runner_reuses_retries_and_blocks():
     assert again["d"]["state"] == "reused" and set(calls) == {"bad"}
     assert runner.waves(ops) == [["a"], ["b", "bad"], ["c", "d"]]
     assert runner.run(ops, Flaky(), canceled=lambda: True)["a"]["state"] == "canceled"
+
+
+@pytest.mark.parametrize("scenario", ["lateral", "revisit"])
+def test_cameras_of_a_generated_clip(scenario):
+    """From exact tracks with half a pixel of noise: all frames, centers true up to a similarity."""
+    import pandas as pd
+
+    from tesserae.operators import cameras, geometry
+
+    rng, rows, pts, centers = np.random.default_rng(2), [], fixtures.scene()[:150, :3], fixtures.centers(scenario)
+    for f, c in enumerate(centers):
+        rel = pts - c
+        uv = rel[:, :2] / rel[:, 2:] * fixtures.FOCAL + [320, 240] + rng.normal(0, 0.3, (len(pts), 2))
+        rows += [(str(k), f, u, v) for k, (u, v) in enumerate(uv) if 0 <= u < 640 and 0 <= v < 480]
+    poses, marks, kept = cameras.solve(pd.DataFrame(rows, columns=["track", "frame_index", "x", "y"]), fixtures.FOCAL, 640, 480)
+    assert sorted(poses) == list(range(8)) and len(marks) >= 40
+    got = np.array([-poses[f][0].T @ poses[f][1] for f in range(8)])
+    # centers on a line don't fix a similarity, so landmarks are aligned with the points and the cameras with them
+    k, r, t = geometry.similarity(np.array(list(marks.values())), pts[[int(m) for m in marks]])
+    off = np.linalg.norm(k * got @ r.T + t - centers, axis=1)
+    assert np.sqrt((off**2).mean()) < 0.1
+
+
+def test_pure_rotation_has_no_seed():
+    import pandas as pd
+
+    from tesserae.operators import cameras
+
+    pts, rows = fixtures.scene()[:100, :3], []
+    for f in range(5):
+        q = pts @ cameras.turn(np.array([0, 1e-7 * f, 0])).T
+        rows += [(str(k), f, *(q[k, :2] / q[k, 2] * 520 + [320, 240])) for k in range(100)]
+    assert cameras.solve(pd.DataFrame(rows, columns=["track", "frame_index", "x", "y"]), 520.0, 640, 480) == ({}, {}, False)
