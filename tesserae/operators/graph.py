@@ -7,18 +7,23 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.lineage import discard, materialise
+
 
 def tracks(matches: DataFrame, rounds: int) -> DataFrame:
     """matches: frame_a, a, frame_b, b, one to one, to later frames. (frame, id, root_frame, root): each observation with its track's first one.
 
     Pointer doubling: in each round an observation takes over its root's root, so `rounds` need only be the log of the longest track.
+    Each round is written, as it reads the last one twice.
     """
     nodes = matches.select(F.col("frame_a").alias("frame"), F.col("a").alias("id")).union(matches.select("frame_b", "b")).distinct()
     back = matches.select(F.col("frame_b").alias("f"), F.col("b").alias("i"), F.col("frame_a").alias("pf"), F.col("a").alias("pi"))
     now = nodes.join(back, (F.col("frame") == F.col("f")) & (F.col("id") == F.col("i")), "left").select("frame", "id", F.coalesce("pf", "frame").alias("root_frame"), F.coalesce("pi", "id").alias("root"))
+    now = materialise(now, "tracks")
     for _ in range(rounds):
         up = now.select(F.col("frame").alias("f"), F.col("id").alias("i"), F.col("root_frame").alias("rf"), F.col("root").alias("r"))
-        now = now.join(up, (F.col("root_frame") == F.col("f")) & (F.col("root") == F.col("i"))).select("frame", "id", F.col("rf").alias("root_frame"), F.col("r").alias("root"))
+        old, now = now, materialise(now.join(up, (F.col("root_frame") == F.col("f")) & (F.col("root") == F.col("i"))).select("frame", "id", F.col("rf").alias("root_frame"), F.col("r").alias("root")), "tracks")
+        discard(old)
     return now
 
 
@@ -29,12 +34,12 @@ def track_stats(observations: DataFrame) -> DataFrame:
 
 def expand(start: DataFrame, links: DataFrame, least: int, rounds: int) -> DataFrame:
     """Fix point: nodes join the set once they have `least` links to it. start: node; links: a, b (undirected). At most `rounds` rounds."""
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     reached = start.select("node").distinct().withColumn("round", F.lit(0))
     for k in range(1, rounds + 1):
         met = both.join(reached.select(F.col("node").alias("b")), "b", "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         new = met.select(F.col("a").alias("node")).join(reached, "node", "left_anti").withColumn("round", F.lit(k))
-        reached = reached.unionByName(new)
+        reached = materialise(reached.unionByName(new), "reached")
     return reached
 
 
@@ -44,7 +49,7 @@ def ancestry(nodes: DataFrame, rounds: int) -> DataFrame:
     up = nodes.join(known, F.col("parent") == F.col("k"), "left").select("node", F.coalesce("k", "node").alias("root"), F.col("k").isNotNull().cast("long").alias("depth"))
     for _ in range(rounds):
         nxt = up.select(F.col("node").alias("n"), F.col("root").alias("r"), F.col("depth").alias("d"))
-        up = up.join(nxt, F.col("root") == F.col("n")).select("node", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"))
+        up = materialise(up.join(nxt, F.col("root") == F.col("n")).select("node", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth")), "ancestry")
     return up
 
 

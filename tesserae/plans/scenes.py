@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.lineage import materialise
 from tesserae.operators import cameras, geometry, graph, images, matching
 from tesserae.sources import fixtures
 
@@ -69,7 +70,7 @@ def x4_pair_poses(spark, sf_dir) -> DataFrame:
 
 
 def observations(spark) -> DataFrame:
-    found = features(spark)
+    found = materialise(features(spark), "features")
     m = matched(found)
     t = graph.tracks(m.select("frame_a", "a", "frame_b", "b"), rounds=3)
     named = t.select("frame", "id", F.concat_ws("-", "root_frame", "root").alias("track"))
