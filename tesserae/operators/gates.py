@@ -32,3 +32,39 @@ def motion_class(motion: Column, residual: Column, matches: Column) -> Column:
 def spread_outliers(df: DataFrame, by: list, value: str, factor: float) -> DataFrame:
     """Rows over factor times their group's median."""
     return df.withColumn("_m", F.median(value).over(Window.partitionBy(*by))).where(F.col(value) > factor * F.col("_m")).drop("_m")
+
+
+def low_parallax(matches: Column, motion: Column, residual: Column) -> Column:
+    """Too few matches, too little motion, or motion that a turn explains."""
+    return (matches < 6) | (motion < 1.4) | (residual < 0.55)
+
+
+def weak_link(matches: Column, overlap: Column) -> Column:
+    return (matches < 8) | ((overlap < 0.18) & (matches < 48))
+
+
+def accepted_pose(inliers: Column, matches: Column, median_error: Column) -> Column:
+    return (inliers >= 8) & (inliers >= 0.55 * matches) & (median_error <= 2.5)
+
+
+def reciprocal(depth: Column, back: Column, share: float = 0.08) -> Column:
+    """Whether the depth found in the other view agrees."""
+    return F.abs(back - depth) <= share * depth
+
+
+def closes(distance: Column, angle: Column, baseline: Column) -> Column:
+    """Eligible for closure: near in place and angle, but not where it is already."""
+    return (distance <= 0.35 * baseline) & (angle <= 8.0) & ((distance >= 0.005 * baseline) | (angle >= 0.1))
+
+
+def margin_score(margin: Column) -> Column:
+    """Depth margin to 0 .. 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), margin / 6))
+
+
+def confidence(*factors: Column) -> Column:
+    """Product of factors, each held to 0 .. 1."""
+    out = F.lit(1.0)
+    for f in factors:
+        out = out * F.greatest(F.lit(0.0), F.least(F.lit(1.0), f))
+    return out

@@ -1217,6 +1217,65 @@ def w7_spread_views(spark, sf_dir):
     return objects.spread_views(e.select(F.lit("clip").alias("clip_id"), F.col("label").cast("string").alias("object"), F.col("vec_id").cast("int").alias("frame_index"), at(3).alias("score"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z")))
 
 
+# --- single gates on aggregates ---
+
+PER_SUPPLIER = """p AS (SELECT l_suppkey, l_returnflag, count(*) AS matches, median(l_quantity) AS motion, round(stddev_pop(l_discount) * 20, 9) AS residual, round(avg(l_tax) * 4, 9) AS overlap FROM lineitem GROUP BY ALL)"""
+
+
+def per_supplier(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("matches"), F.median("l_quantity").alias("motion"), F.round(F.stddev_pop("l_discount") * 20, 9).alias("residual"), F.round(F.avg("l_tax") * 4, 9).alias("overlap"))
+
+
+@query("f2_low_parallax", f"WITH {PER_SUPPLIER} SELECT l_suppkey, l_returnflag, matches < 6 OR motion < 1.4 OR residual < 0.55 AS low FROM p")
+def f2_low_parallax(spark, sf_dir):
+    return per_supplier(spark, sf_dir).select("l_suppkey", "l_returnflag", gates.low_parallax(F.col("matches"), F.col("motion"), F.col("residual")).alias("low"))
+
+
+@query("f3_weak_links", f"WITH {PER_SUPPLIER} SELECT l_suppkey, l_returnflag, matches < 8 OR (overlap < 0.18 AND matches < 48) AS weak FROM p")
+def f3_weak_links(spark, sf_dir):
+    return per_supplier(spark, sf_dir).select("l_suppkey", "l_returnflag", gates.weak_link(F.col("matches"), F.col("overlap")).alias("weak"))
+
+
+@query(
+    "f8_accepted_poses",
+    "WITH p AS (SELECT l_suppkey, count(*) AS m, count(*) FILTER (WHERE l_discount <= 0.055) AS i, median(l_discount) * 50 AS e FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, i >= 8 AND i >= 0.55 * m AND e <= 2.5 AS accepted FROM p",
+)
+def f8_accepted_poses(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("l_discount") <= 0.055).alias("i"), (F.median("l_discount") * 50).alias("e"))
+    return p.select("l_suppkey", gates.accepted_pose(F.col("i"), F.col("m"), F.col("e")).alias("accepted"))
+
+
+@query(
+    "f11_reciprocal_fusion",
+    """
+WITH a AS (SELECT a.l_orderkey, a.l_extendedprice AS d, b.l_extendedprice AS back FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber)
+SELECT l_orderkey, count(*) AS views, round(avg(CASE WHEN abs(back - d) <= 0.08 * d THEN back END), 6) AS fused FROM a GROUP BY l_orderkey HAVING count(*) FILTER (WHERE abs(back - d) <= 0.08 * d) > 0
+""",
+)
+def f11_reciprocal_fusion(spark, sf_dir):
+    """Depths that agree both ways, fused to their mean."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    b = l.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("back"))
+    met = l.join(b, F.expr("l_orderkey = o and l_linenumber <> n")).withColumn("ok", gates.reciprocal(F.col("l_extendedprice"), F.col("back")))
+    out = met.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("views"), F.round(F.avg(F.when(F.col("ok"), F.col("back"))), 6).alias("fused"), F.count_if("ok").alias("n"))
+    return out.where("n > 0").drop("n")
+
+
+@query("f12_closures", "SELECT o_orderkey, (d <= 0.35 AND a <= 8 AND (d >= 0.005 OR a >= 0.1)) AS closes FROM (SELECT o_orderkey, (o_orderkey % 100) / 200.0 AS d, (o_custkey % 40) / 4.0 AS a FROM orders)")
+def f12_closures(spark, sf_dir):
+    d, a = (F.col("o_orderkey") % 100) / 200.0, (F.col("o_custkey") % 40) / 4.0
+    return table(spark, sf_dir, "orders").select("o_orderkey", gates.closes(d, a, F.lit(1.0)).alias("closes"))
+
+
+@query(
+    "p7_confidence",
+    "SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, l_quantity / 50)) * greatest(0, least(1, 1 - l_discount * 5)) * greatest(0, least(1, l_tax * 100 / 6)), 6) AS confidence FROM lineitem",
+)
+def p7_confidence(spark, sf_dir):
+    c = gates.confidence(F.col("l_quantity") / 50, 1 - F.col("l_discount") * 5, gates.margin_score(F.col("l_tax") * 100))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(c, 6).alias("confidence"))
+
+
 from tesserae.plans import scenes  # noqa: E402
 
 QUERIES |= scenes.QUERIES
