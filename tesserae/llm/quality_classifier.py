@@ -14,7 +14,7 @@ from tesserae.llm import common
 #: Units of the one hidden layer.
 HIDDEN = 16
 ROUNDS, RATE = 60, 0.1
-#: At most so many trusted positives are used, those of the least hash of the id. Unlabelled texts are all used.
+#: About so many trusted positives are used at most, chosen by hash of the id. Unlabelled texts are all used.
 POSITIVES = 200_000
 #: Bins of the score for the class prior.
 BINS = 200
@@ -212,7 +212,8 @@ def classify(docs: DataFrame, labels: DataFrame, may_learn, id_col: str = "doc_i
     """
     featured = common.materialise(with_features(docs, id_col, text_col), "features")
     wanted = labels.where(F.col(label_col) == 1).select(F.col(label_id).alias("l")).where(F.col("l").isNotNull()).distinct()
-    chosen = wanted.orderBy(F.xxhash64("l"), "l").limit(POSITIVES)
+    share = min(1.0, POSITIVES / max(1, wanted.count()))
+    chosen = wanted.where(F.pmod(F.xxhash64("l"), F.lit(1 << 30)) < int(share * (1 << 30)))
     marked = featured.where(may_learn).join(chosen, F.col("id") == F.col("l"), "left")
     kind = F.when(F.col("l").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.lit(9), "l"), F.lit(2)).cast("int")).cast("int")
     table = common.materialise(marked.select("x", kind.alias("kind")), "learn")
