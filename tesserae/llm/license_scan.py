@@ -9,7 +9,7 @@ from tesserae.llm import common
 
 WIDTH = 5
 CONTAINMENT = 0.8
-#: Bands of a signature: the BANDS least shingle hashes of a window (a bottom-k MinHash sketch), each a band of its own.
+#: Bands of a signature: the BANDS least different shingle hashes of a window (a bottom-k MinHash sketch), each a band of its own.
 #: Templates of up to SHORT shingles are searched in windows of 2 * SHORT = BANDS shingles, whose sketch is the whole window, so a
 #: band is sure to meet. Longer ones are cut into segments of at most LONG and more than LONG / 2 shingles and searched in windows
 #: of 2 * LONG that begin every LONG. A segment at containment 0.8 shares 14 shingles or more with a window that holds it; a shared one
@@ -88,7 +88,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     # windows of 2 * SHORT shingles that begin every SHORT: their sketches together are all shingles
     short = F.transform(F.filter("h", lambda x: among(x, [0])), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("band")))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("h") - 1) / LONG).cast("int") - F.when(F.size("h") > LONG, 1).otherwise(0)))
-    sketch = lambda s: F.filter(F.slice(F.sort_array(F.slice(F.col("h"), s * LONG + 1, 2 * LONG)), 1, BANDS), lambda x: among(x, [1]))
+    sketch = lambda s: F.filter(F.slice(F.sort_array(F.array_distinct(F.slice(F.col("h"), s * LONG + 1, 2 * LONG))), 1, BANDS), lambda x: among(x, [1]))
     long = F.transform(F.flatten(F.transform(starts, sketch)), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("band")))
     # no filter before the rows are written: pushed down, it would put the words' expression into every lambda
     found = base.withColumn("bands", F.array_distinct(F.concat(short, long)))

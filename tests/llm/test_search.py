@@ -92,6 +92,14 @@ def test_op2_against_brute_force(spark, tmp_path):
     assert got == expected and len(got) > 30
 
 
+def test_op2_notice_between_repeats(spark):
+    """A shingle that fills most of a window takes one place of its sketch, whatever its hash."""
+    notice = dict(license_scan.TEMPLATES)["BSD-3-Clause"]
+    texts = [" ".join([f"r{k}"] * 100 + [notice] + [f"r{k}"] * 100) for k in range(200)]
+    found = license_scan.scan_licenses(util.docs(spark, texts)).where("license = 'BSD-3-Clause'")
+    assert sorted((r.doc, r.n_shared) for r in found.collect()) == [(k, 17) for k in range(200)]
+
+
 def test_license_library(spark, monkeypatch):
     import pytest
 
