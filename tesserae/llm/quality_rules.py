@@ -75,14 +75,15 @@ def frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sou
     """Rows (host, digest, holder): lines that more than `limit` different documents of a host have; null hosts are one host.
 
     Lines are lower-cased (A-Z), without white space at their ends; those under MIN_LINE code points don't count. Copies of a
-    document count once, however many there are: a document is known by the least digest of its lines, which exact and most
-    near copies share. Removing copies is for near-duplicate removal, which keeps one; here all of them would go. holder is the
-    least id that has the line in the host: it keeps the line, so that no text is lost altogether.
+    document count once, however many there are: a document is known by 128 bits over the whole set of its lines' digests, so
+    documents that differ in any line that counts are two. Removing copies is for near-duplicate removal, which keeps one; here
+    all of them would go. holder is the least id that has the line in the host: it keeps the line, so that no text is lost altogether.
     """
     digests = F.transform(F.filter(normalised_lines(text_col), lambda x: F.char_length(x) >= MIN_LINE), digest)
     each = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.array_distinct(digests).alias("lines"))
-    lines = each.select("id", "host", F.array_min("lines").alias("document"), F.explode("lines").alias("digest"))
-    known = lines.groupBy("host", "document", "digest").agg(F.min("id").alias("id"))
+    whole = each.withColumn("lines", F.sort_array("lines"))
+    lines = whole.select("id", "host", *common.text_hash(F.col("lines")), F.explode("lines").alias("digest"))
+    known = lines.groupBy("host", "h1", "h2", "digest").agg(F.min("id").alias("id"))
     counted = known.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("documents"), F.min("id").alias("holder"))
     return counted.where(F.col("documents") > limit).select("host", "digest", "holder")
 

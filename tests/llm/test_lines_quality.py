@@ -103,6 +103,17 @@ def test_copies_do_not_make_lines_frequent(spark):
     assert sorted(r.text for r in stripped.collect()) == sorted(r.text for r in df.collect())
 
 
+def test_different_documents_with_one_least_line_are_counted(spark):
+    """A line that is the least digest of all its documents is still counted in each of them; exact copies count once."""
+    shared = min((util.prose(12, 500 + k) for k in range(200)), key=lambda x: hashlib.md5(x.encode()).digest())
+    own = [util.prose(12, 1000 + k) for k in range(400)]
+    own = [x for x in own if hashlib.md5(x.encode()).digest() > hashlib.md5(shared.encode()).digest()]
+    texts = [shared + "\n" + x for x in own[:21]]
+    found = quality_rules.frequent_lines(util.docs(spark, texts)).collect()
+    assert [(bytes(r.digest), r.holder) for r in found] == [(hashlib.md5(shared.encode()).digest(), 0)]
+    assert quality_rules.frequent_lines(util.docs(spark, texts[:20] + texts[:5])).count() == 0
+
+
 def test_quality_rules_keep_columns(spark):
     df = util.clash(util.docs(spark, util.odd_texts()))
     out = quality_rules.keep_good(df)
