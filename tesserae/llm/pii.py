@@ -24,9 +24,13 @@ CONTEXT_CHARS = 48
 #: Words whose assignment (with = or :) names an identifier. They are patterns that are known from the start.
 NAMES = "password passwd pwd secret token key api_key apikey access_key ssn iban passport account license phone tel mobile fax email mail user_id customer_id"
 SEED_CONTEXT = r"(?i)^(" + NAMES.replace(" ", "|") + r")[\s\"']*[=:][\s\"']*$"
-ROUNDS = 3
+#: What is assigned to such a word: the whole run (group 2) up to white space or a quote, of any length and with any characters. A word
+#: of the list that is itself assigned a value after white space (`token: secret: x`) is no value.
+ASSIGNED = r"(?i)(?<![\p{L}_])(NAMES)[\s\"']*+[=:][\s\"']*+(?!(?:NAMES)[\"']*+[=:][\"']*+\s)([^\s\"']++)".replace("NAMES", NAMES.replace(" ", "|"))
 #: A pattern is trusted if so many different known instances follow it and they are this share of all that follow it.
 SUPPORT, PRECISION = 3, 0.5
+#: ASSIGNED on a match of it alone.
+ASSIGNED_WHOLE = r"(?i)^(" + NAMES.replace(" ", "|") + r")[\s\"']*+[=:][\s\"']*+([^\s\"']++)$"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -93,30 +97,42 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumn("__digits", F.col("t").rlike("[0-9]"))
     rows = rows.select("id", "text_hash", "t", "__digits", *[base_spans(F.col("t"), k).alias(k) for k in KINDS])
     every = F.concat(*KINDS)
-    free = F.filter(F.when(F.col("__digits"), matches(F.col("t"), CANDIDATE)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>")), lambda c: ~F.exists("every", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    rows = rows.withColumn("every", every).withColumn("free", free)
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    apart = lambda c, others: ~F.exists(others, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+    named = F.when(F.contains("t", F.lit("=")) | F.contains("t", F.lit(":")), matches(F.col("t"), ASSIGNED)).otherwise(none)
+    value = lambda m: F.regexp_extract(m["v"], ASSIGNED_WHOLE, 2)
+    named = F.transform(named, lambda m: F.struct((m["e"] - F.char_length(value(m))).alias("s"), m["e"].alias("e"), value(m).alias("v")))
+    rows = rows.withColumn("every", every).withColumn("named", named)
+    rows = rows.withColumn("named", F.filter("named", lambda c: apart(c, "every")))
+    rows = rows.withColumn("free", F.filter(F.when(F.col("__digits"), matches(F.col("t"), CANDIDATE)).otherwise(none), lambda c: apart(c, "every")))
+    # the beginning of an assigned value is known by itself, so that it is found elsewhere, but its span is the whole value's
+    rows = rows.withColumn("heads", F.filter("free", lambda c: F.exists("named", lambda b: (b["s"] == c["s"]) & (b["e"] > c["e"]))))
+    rows = rows.withColumn("free", F.concat("named", F.filter("free", lambda c: apart(c, "named"))))
     told = lambda known: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), context(F.col("t"), x["s"]).alias("context"), F.lit(known).alias("known"))
-    return rows.select("id", "text_hash", *KINDS, F.concat(F.transform("every", told(True)), F.transform("free", told(False))).alias("seen"))
+    return rows.select("id", "text_hash", *KINDS, F.concat(F.transform("every", told(True)), F.transform("heads", told(True)), F.transform("free", told(False))).alias("seen"))
 
 
-def trusted(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, precision: float = PRECISION) -> tuple[DataFrame, DataFrame]:
-    """edges: context, v, known. Returns the trusted contexts and the known instances after the rounds of bootstrapping.
+def trusted(edges: DataFrame, support: int = SUPPORT, precision: float = PRECISION) -> tuple[DataFrame, DataFrame]:
+    """edges: context, v, known. Returns the trusted contexts and the known instances once bootstrapping has settled.
 
     A round scores each pattern of the graph by the share of known ones among the different instances that it extracts;
-    patterns of enough support and precision are trusted, and all that they extract is known in the next round.
+    patterns of enough support and precision are trusted, and all that they extract is known in the next round. Rounds end when one adds no pattern.
     """
     graph = common.materialise(edges.groupBy("context", "v").agg(F.max("known").alias("known")), "graph")
     seeds = graph.select("context").distinct().where(F.col("context").rlike(SEED_CONTEXT)).withColumnRenamed("context", "p")
     good = common.materialise(seeds, "patterns")
     known = common.materialise(graph.where("known").select("v").distinct(), "known")
-    for _ in range(rounds):
+    while True:
         found = graph.join(good, F.expr("context = p"), "left_semi").select("v")
-        grown = common.materialise(known.unionByName(found).distinct(), "known")
-        scored = graph.join(grown.select(F.col("v").alias("k")), F.expr("v = k"), "left").groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("hits"))
+        old, known = known, common.materialise(known.unionByName(found).distinct(), "known")
+        common.discard(old)
+        scored = graph.join(known.select(F.col("v").alias("k")), F.expr("v = k"), "left").groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("hits"))
         better = scored.where((F.col("context") != "") & (F.col("hits") >= support) & (F.col("hits") >= precision * F.col("n"))).select(F.col("context").alias("p"))
-        good = common.materialise(good.unionByName(better).distinct(), "patterns")
-        known = grown
-    return good, known
+        fresh = common.materialise(better.join(good, "p", "left_anti"), "patterns")
+        if fresh.isEmpty():
+            return good, known
+        old, good = good, common.materialise(good.unionByName(fresh), "patterns")
+        common.discard(old)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

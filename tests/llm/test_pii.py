@@ -54,6 +54,23 @@ def test_contexts_are_learnt_from_seeds(spark):
     assert got[11] == where(11, "AB12-9981-XZ")  # known by its value
 
 
+def test_assigned_values_are_whole(spark):
+    values = ["0123456789abcdef" * 8, "AKIA1234/abcd5678efgh", "hunter", "a_b.c+d==", "é!x"]
+    texts = [f"it has password={v} now" for v in values] + [f'{{"Token" : "{v}", "n": 1}}' for v in values] + ["token: secret: x-1 ok", "a tokens: none", "AKIA1234 again"]
+    got = {r.id: [(s.s, s.e) for s in r.id_spans] for r in pii.find_pii(util.docs(spark, texts)).collect()}
+    for k, v in enumerate(values * 2):
+        assert got[k] == [(texts[k].index(v), texts[k].index(v) + len(v))], texts[k]
+    assert got[10] == [(15, 18)] and got[11] == [] and got[12] == [(0, 8)]
+
+
+def test_rounds_go_on_until_nothing_is_added(spark):
+    rows = [("password=", f"v0-{i}", False) for i in range(3)]
+    for c in range(1, 9):
+        rows += [(f"context{chr(96 + c)} ", f"v{k}-{i}", False) for k in (c - 1, c) for i in range(3)]
+    good, known = pii.trusted(spark.createDataFrame(rows, "context string, v string, known boolean"))
+    assert good.count() == 9 and known.count() == 27
+
+
 def test_pii_of_nothing_and_repeats(spark):
     assert pii.find_pii(util.docs(spark, [])).count() == 0
     df = util.docs(spark, ["password=7602ad27cf5550de1c"] * 3, ids=[1, 1, None])
