@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +33,16 @@ def track_stats(observations: DataFrame) -> DataFrame:
     return observations.groupBy("root_frame", "root").agg(F.count(F.lit(1)).alias("length"), (F.max("frame") - F.min("frame")).cast("long").alias("span"))
 
 
-def expand(start: DataFrame, links: DataFrame, least: int, rounds: int) -> DataFrame:
-    """Fix point: nodes join the set once they have `least` links to it. start: node; links: a, b (undirected). At most `rounds` rounds."""
+def expand(start: DataFrame, links: DataFrame, least: int, rounds: int | None = None) -> DataFrame:
+    """Fix point: nodes join the set once they have `least` links to it. start: node; links: a, b (undirected). Ends when a round adds no node, or after `rounds` rounds."""
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     reached = start.select("node").distinct().withColumn("round", F.lit(0))
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1) if rounds is None else range(1, rounds + 1):
         met = both.join(reached.select(F.col("node").alias("b")), "b", "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         new = met.select(F.col("a").alias("node")).join(reached, "node", "left_anti").withColumn("round", F.lit(k))
+        new = materialise(new, "reached")
+        if new.isEmpty():
+            break
         reached = materialise(reached.unionByName(new), "reached")
     return reached
 

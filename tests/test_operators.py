@@ -150,3 +150,11 @@ def test_triangle_gate_and_edges(spark):
     d = spark.createDataFrame([(1.0, 1.0, 1.05, 20.0, 0.01), (1.0, 1.0, 1.5, 20.0, 0.01), (1.0, 1.0, 1.0, -1.0, 0.01), (1.0, 1.0, 1.0, 20.0, 9.0)], "a double, b double, c double, area double, edge double")
     g = surface.triangle_gate([F.col(x) for x in "abc"], F.col("area"), [F.col("edge"), F.col("edge") / 2], 4.0, 300.0)
     assert [r.g for r in d.select(g.alias("g")).collect()] == [None, "discontinuity", "degenerate", "discontinuity"]
+
+
+def test_expand_goes_on_until_nothing_is_added(spark):
+    from tesserae.operators import graph
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(1, 7)] + [(20, 21)], "a long, b long")
+    got = graph.expand(spark.createDataFrame([(1,)], "node long"), links, 1)
+    assert sorted((r.node, r.round) for r in got.collect()) == [(k, k - 1) for k in range(1, 8)]
