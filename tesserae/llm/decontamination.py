@@ -16,15 +16,15 @@ from tesserae.llm import shingles as sh
 WIDTH = 5
 CONTAINMENT = 0.8
 #: Hash functions of a signature; each is a band of its own.
-#: A size partition holds items of U/2 < n <= U shingles and searches windows of 2U shingles that begin every U, so an item that
-#: stands in a text lies whole in one of them. At the containment C the Jaccard index with that window is at least
+#: A size partition holds items of U/2 < n <= U shingles and searches windows of 2U shingles that begin every U, among those of the
+#: text that any item has. So an item that stands in a text lies whole in one of them. At the containment C the Jaccard index with that window is at least
 #: C * U/2 / (2U + (1 - C) * U/2) = 0.19, and no band meets with a probability of 0.81 ** 64 = 1.4e-6. Items that stand whole
 #: have 0.25 or more: 1e-8.
 HASHES = 64
 MULTIPLIERS = sh.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: log2 of the bits of each filter that goes to every task: 4 MB, whatever the number of items. With many items it only lets more through.
-FILTER_BITS = 25
-#: Shingles of a text whose signatures are held at a time.
+#: log2 of the bits of a filter: FILTER_SPARE bits a key, between the two bounds. Beyond the upper one (16 MB) more keys only let more through.
+FILTER_LEAST, FILTER_MOST, FILTER_SPARE = 16, 27, 6
+#: Shingles of a text's windows whose signatures are held at a time.
 CHUNK = 1 << 15
 
 
@@ -37,12 +37,13 @@ class Search(NamedTuple):
     short: tuple[int, ...]
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def filter_bits(keys: int) -> int:
+    return min(max(FILTER_LEAST, keys.bit_length() + FILTER_SPARE), FILTER_MOST)
 
 
 def lookup(filt: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = slots(hashes)
+    """Whether the filter, whose bits are a power of 2, lets each hash through."""
+    at = (hashes >> np.uint64(64 - (len(filt).bit_length() + 2))).astype(np.int64)
     return (filt[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -100,52 +101,52 @@ def item_rows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def filter_of(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bit array of 2 ** FILTER_BITS bits with the slot of every value set. Bits are gathered in words of 64, so the driver gets a bounded number of rows."""
-    slot = F.shiftrightunsigned(F.col("x"), 64 - FILTER_BITS)
-    bits = hashes.select(F.explode(column).alias("x")).select(F.shiftrightunsigned(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(x, {}), 64) as int))".format(64 - FILTER_BITS)).alias("bit"))
-    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    """A bit array with the slot of every value set. Bits are gathered in words of 64, so the driver gets a bounded number of rows."""
+    bits = filter_bits(hashes.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0])
+    slot = F.shiftrightunsigned(F.col("x"), 64 - bits)
+    each = hashes.select(F.explode(column).alias("x")).select(F.shiftrightunsigned(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(x, {64 - bits}), 64) as int))").alias("bit"))
+    found = each.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out.view(np.uint8)
 
 
-def window_bands(five: np.ndarray, search: Search) -> list[np.ndarray]:
-    """Keys of the windows of some shingles, for each size partition, that the filter lets through."""
-    low, numbers, found = search.partitions[0], np.arange(HASHES), []
-    size = 1 << low
-    count = -(-len(five) // size)
-    padded = np.full(count * size, five[-1], np.uint64)
-    padded[: len(five)] = five
-    shifted = padded >> np.uint64(29)
-    mins = np.stack([((padded * m) ^ shifted).reshape(-1, size).min(1) for m in MULTIPLIERS])
+def window_bands(known: np.ndarray, search: Search) -> list[np.ndarray]:
+    """Keys of a text's windows, for each size partition, that the filter lets through.
+
+    known: the text's shingles that some item may have, in order; the windows are over these, so that no signature is taken of
+    what no item has. An item's shingles that stand together do so here too, and its Jaccard index with a window is at least
+    what it would be among all of the text's shingles.
+    """
+    found, numbers = [], np.arange(HASHES)
     for p in search.partitions:
-        while low < p:  # blocks of twice the size
-            if mins.shape[1] % 2:
-                mins = np.concatenate([mins, mins[:, -1:]], 1)
-            mins, low = np.minimum(mins[:, ::2], mins[:, 1::2]), low + 1
-        windows = np.minimum(mins[:, :-1], mins[:, 1:]) if mins.shape[1] > 1 else mins
-        keys = band(windows, numbers[:, None], p).ravel()
-        found.append(keys[lookup(search.bands, keys)])
+        size = 1 << p
+        starts = np.arange(0, max(1, len(known) - size), size)
+        step = max(1, CHUNK // (2 * size))
+        for k in range(0, len(starts), step):
+            at = np.minimum(starts[k : k + step, None] + np.arange(2 * size), len(known) - 1)
+            values = known[at]
+            shifted = values >> np.uint64(29)
+            mins = np.stack([((values * m) ^ shifted).min(1) for m in MULTIPLIERS])
+            keys = band(mins, numbers[:, None], p).ravel()
+            found.append(keys[lookup(search.bands, keys)])
     return found
 
 
-def candidate_bands(words: np.ndarray, five: np.ndarray, search: Search) -> np.ndarray:
+def candidate_bands(words: np.ndarray, known: np.ndarray, search: Search) -> np.ndarray:
     """Keys of the text's windows that the filter lets through."""
     found = []
     for width in search.short:
         keys = band(sh.shingle_hashes(words, width), np.zeros(1, np.uint64), -width + 64)
         found.append(keys[lookup(search.bands, keys)])
-    if len(five) and search.partitions:
-        largest = 1 << search.partitions[-1]
-        step = max(CHUNK // largest, 4) * largest
-        for k in range(0, len(five), step):  # chunks overlap by a block of the largest size, so every window lies whole in one
-            found += window_bands(five[k : k + step + largest], search)
+    if len(known):
+        found += window_bands(known, search)
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def document_rows(docs: DataFrame, search: Search, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc, bands, grams) of the texts that a band brings near some item; grams are the text's shingles that the filter lets through."""
-    sent = docs.sparkSession.sparkContext.broadcast(search)  # bounded: two filters of 2 ** FILTER_BITS bits
+    sent = docs.sparkSession.sparkContext.broadcast(search)  # bounded: two filters of at most 2 ** FILTER_MOST bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = sent.value
@@ -157,13 +158,14 @@ def document_rows(docs: DataFrame, search: Search, id_col: str, text_col: str) -
                 starts, ends = sh.bounds(data)
                 words = sh.word_hashes(data, starts, ends)
                 five = sh.shingle_hashes(words, WIDTH)
-                keys = candidate_bands(words, five, search)
+                known = lookup(search.shingles, five)
+                keys = candidate_bands(words, five[known], search)
                 if not len(keys):
                     continue
                 grams = set()
                 for width in (*search.short, WIDTH):
-                    hashes = five if width == WIDTH else sh.shingle_hashes(words, width)
-                    for i in np.flatnonzero(lookup(search.shingles, hashes)).tolist():
+                    has = known if width == WIDTH else lookup(search.shingles, sh.shingle_hashes(words, width))
+                    for i in np.flatnonzero(has).tolist():
                         grams.add(b" ".join(raw[x:y] for x, y in zip(starts[i : i + width].tolist(), ends[i : i + width].tolist())))
                 if grams:
                     out.append((k, keys.view(np.int64).tolist(), list(grams)))
@@ -199,8 +201,8 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows whose text holds an item."""
-    hit = common.materialise(contained(docs, items, doc_id, doc_text, item_id, item_text).select(F.col("doc").alias("__doc")).distinct(), "hit")
-    return common.without(docs, hit, f"`{doc_id}` <=> __doc")
+    hit = common.materialise(contained(docs, items, doc_id, doc_text, item_id, item_text).select("doc").distinct(), "hit")
+    return common.without(docs, hit, {"doc": F.col(f"`{doc_id}`")})
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
