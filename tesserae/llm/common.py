@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.lineage import discard, materialise
 
-__all__ = ["discard", "materialise", "table", "ascii_lower", "words", "word_count", "text_hash", "unit", "without"]
+__all__ = ["discard", "materialise", "table", "ascii_lower", "words", "word_count", "text_hash", "unit", "without", "row_hash"]
 
 #: The six ASCII whitespace characters that separate words, as a regex class and as text.
 WHITE_CLASS = r"[\x20\x09-\x0D]"
@@ -52,7 +52,19 @@ def unit(*keys: Column) -> Column:
 BROADCAST_KEYS = 1_000_000
 
 
-def without(docs: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """docs less the rows that match a row of keys (written before, as it is counted and then joined)."""
+def without(docs: DataFrame, keys: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """docs less the rows that match a row of keys (written before, as it is counted and then joined).
+
+    on: for each column of keys what it equals in docs (nulls are equal). docs may have columns of any names.
+    """
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, F.expr(on), "left_anti")
+    left = docs.select(F.struct("*").alias("row"), *[c.alias(f"d{i}") for i, c in enumerate(on.values())])
+    right = keys.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(on)])
+    same = F.expr(" and ".join(f"d{i} <=> k{i}" for i in range(len(on))))
+    return left.join(F.broadcast(right) if few else right, same, "left_anti").select("row.*")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64 bits over all columns; a null counts by its place."""
+    each = [c for name in df.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`").cast("string"))]
+    return F.xxhash64(*each)

@@ -19,21 +19,43 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap:
 
     sizes has source and size. Sources in code-point order, null last, get the weights in turn and share the sum of all sizes
     by weight; a target stops at cap times its source's size and the excess goes to the others by weight until none is above.
-    That fix point fills by one common level: with sources sorted by cap * size / weight, the first k are full, and the level
-    is what the rest share by weight. An empty table gives no rows; sources of size 0 get target 0.
+    An empty table gives no rows; sources of size 0 get target 0.
     """
-    each = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").cast("long").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    listed = each.withColumn("nth", nth).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int")))
-    full = F.col("source_size") * F.lit(float(cap))
-    order = Window.orderBy((full / F.col("weight")).asc(), F.col("nth"))
-    upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    # the level if all sources before this one are full and this one is not
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum(full).over(upto), F.lit(0.0))) / F.sum("weight").over(after)
-    levels = listed.withColumn("full", full).withColumn("level", level)
-    fits = F.min(F.when(F.col("level") * F.col("weight") <= F.col("full"), F.struct(F.col("full") / F.col("weight"), F.col("nth"), F.col("level")))).over(Window.partitionBy())
-    filled = levels.withColumn("common", fits.getItem("level"))
-    return filled.select("source", "docs", "source_size", F.least("full", F.coalesce(F.col("common") * F.col("weight"), F.col("full"))).alias("target"))
+    each = common.materialise(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").cast("long").alias("source_size")), "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    full = (F.col("source_size") * F.lit(float(cap))).alias("full")
+    listed = common.materialise(numbered(each).select("source", "docs", "source_size", full, weight.alias("weight")), "mix-weights")
+    total = listed.agg(F.sum("source_size")).first()[0] or 0
+    # each round adds the sources that the common level fills; it only rises, and ends with a round that adds none
+    level, filled = 0.0, -1
+    while True:
+        is_full = F.col("full") <= F.lit(level) * F.col("weight")
+        held, open_weight, n = listed.agg(F.coalesce(F.sum(F.when(is_full, F.col("full"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~is_full, F.col("weight"))), F.lit(0.0)), F.count(F.when(is_full, 1))).first()
+        if n == filled or not open_weight:
+            break
+        level, filled = max(level, (total - held) / open_weight), n
+    target = F.least("full", F.lit(level) * F.col("weight")) if open_weight else F.col("full")
+    common.discard(each)
+    return listed.select("source", "docs", "source_size", target.alias("target"))
+
+
+def numbered(each: DataFrame) -> DataFrame:
+    """each (written before) with nth, its place in the order of source, null last.
+
+    Sources are dealt to ranges of the order and numbered in each; a range begins after the rows of those before it. So no task
+    sees all sources, and only the ranges' sizes (one row a partition) go through one.
+    """
+    spark = each.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = common.materialise(each.repartitionByRange(most, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    sizes = {r["range"]: r["n"] for r in dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a partition
+    starts, at = [], 0
+    for k in sorted(sizes):
+        starts.append((k, at))
+        at += sizes[k]
+    begun = spark.createDataFrame(starts, "r int, start long")
+    within = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return dealt.withColumn("within", within).join(F.broadcast(begun), F.expr("range = r")).withColumn("nth", F.col("start") + F.col("within")).drop("range", "within", "r", "start")
 
 
 def fold(seed: int, level: int) -> str:
@@ -142,7 +164,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     Sizes are words (null text: none). Rows that are alike in every column are counted one by one. Null ids and sources are
     values like others. An empty table stays empty.
     """
-    like = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    like = common.row_hash(docs)
     base = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), like.alias("__h"), F.col(source_col).alias("__source"), common.word_count(F.col(text_col)).alias("__size"))
     counted = common.materialise(base.groupBy("__id", "__h", "__source", "__size").agg(F.count(F.lit(1)).alias("__n")), "mix-rows")
     nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))

@@ -19,6 +19,9 @@ MATCHES = BYTES - DISTANCE
 #: The index lists fingerprints by three positional bytes at a time: a list for a single byte would hold a fixed share of all rows.
 #: The sets of positions are chosen so that any MATCHES equal bytes hold one of the sets whole (see covering()), so no link is lost.
 WIDTH = 3
+#: A fingerprint that more rows than this have is named by a broadcast of such fingerprints (at most rows / HOT of them), so
+#: that no join gathers a group of copies in one task.
+HOT = 1 << 20
 #: Fingerprints of one list that a task compares at once; longer lists are cut into blocks and pairs of blocks.
 BLOCK = 4096
 
@@ -74,20 +77,20 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def distances(one: np.uint64, many: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(np.bitwise_xor(many, one))
-
-
 def shared_bytes(x: np.ndarray) -> np.ndarray:
     """How many of the 8 positional bytes are equal, from the xor of two fingerprints."""
-    return (x.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+    y = x | (x >> np.uint64(4))
+    y |= y >> np.uint64(2)
+    y |= y >> np.uint64(1)
+    return BYTES - np.bitwise_count(y & np.uint64(0x0101010101010101))  # the lowest bit of each byte tells whether any of it is set
 
 
-def forest(fps: np.ndarray, matches: int = MATCHES, distance: int = DISTANCE) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, matches: int = MATCHES, distance: int = DISTANCE, tally: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the same fingerprints as all links among fps would: a spanning forest.
 
     Breadth first: what links to the one at hand leaves the pool. A dense group of near copies is used up in a few steps, so
-    neither work nor output are the group's pairs. Pairs are counted first (shared positional bytes), then verified.
+    neither work nor output are the group's pairs. Shared positional bytes are tallied first; only pairs that reach `matches`
+    are verified. tally, if given, counts pairs met, retained by the filter, and linked.
     """
     pool, links = fps, []
     while len(pool) > 1:
@@ -95,12 +98,14 @@ def forest(fps: np.ndarray, matches: int = MATCHES, distance: int = DISTANCE) ->
         while queue and len(pool):
             one = queue.pop()
             x = np.bitwise_xor(pool, one)
-            near = np.bitwise_count(x) <= distance
-            if near.any():
-                near &= shared_bytes(x) >= matches  # holds for every such pair; the count filter and the check agree
+            retained = np.flatnonzero(shared_bytes(x) >= matches)
+            near = retained[np.bitwise_count(x[retained]) <= distance]
+            if tally is not None:
+                tally += (len(x), len(retained), len(near))
+            if len(near):
                 links += [(int(one.view(np.int64)), int(o)) for o in pool[near].view(np.int64)]
                 queue += list(pool[near])
-                pool = pool[~near]
+                pool = np.delete(pool, near)
     return links
 
 
@@ -188,12 +193,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and link like any other. A component all of whose ids are null has component null. An empty table stays empty.
     """
     prints = common.materialise(with_fingerprints(docs, id_col, text_col), "prints")
-    nodes = common.materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = common.materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "n"), F.col("fp") == F.col("n"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots.withColumnRenamed("node", "m"), F.col("fp") == F.col("m"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
-    named = rooted.join(first, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component")
-    return prints.join(named, F.col("fp") == F.col("f")).select("id", "fp", "component")
+    named = common.materialise(rooted.join(first, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component", "rows"), "named")
+    hot = [r["f"] for r in named.where(F.col("rows") > HOT).select("f").collect()]  # at most rows / HOT
+    cold = prints.where(~F.col("fp").isin(hot)).join(named.where(F.col("rows") <= HOT), F.col("fp") == F.col("f"))
+    if not hot:
+        return cold.select("id", "fp", "component")
+    warm = prints.where(F.col("fp").isin(hot)).join(F.broadcast(named.where(F.col("rows") > HOT)), F.col("fp") == F.col("f"))
+    return cold.select("id", "fp", "component").unionByName(warm.select("id", "fp", "component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,19 +211,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of several rows with this id the one with the least hash over all columns stays, once if it is repeated.
     """
-    like = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    groups = near_duplicates(docs.select(F.struct(F.col(id_col).alias("i"), like.alias("like")).alias("key"), text_col), "key", text_col)
+    like, key = common.row_hash(docs), F.col(f"`{id_col}`")
+    groups = near_duplicates(docs.select(F.struct(key.alias("i"), like.alias("like")).alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text")
     rows = groups.groupBy("id", "component").agg(F.count(F.lit(1)).alias("n"))
-    rows = common.materialise(rows.withColumn("goes", ~F.col("id").eqNullSafe(F.col("component"))), "rows")
-    gone = rows.where("goes").select(F.col("id.i").alias("__id"), F.col("id.like").alias("__like"))
-    again = rows.where("not goes and n > 1").select(F.col("id.i").alias("__again_id"), F.col("id.like").alias("__again_like"))
-    marked = docs.withColumn("__row_like", like)
-    kept = common.without(marked, gone, f"`{id_col}` <=> __id and __row_like = __like")
+    rows = common.materialise(rows.withColumn("goes", ~F.col("id").eqNullSafe(F.col("component"))).select("id.i", "id.like", "n", "goes"), "rows")
+    on = {"i": key, "like": like}
+    kept = common.without(docs, rows.where("goes"), on)
+    again = rows.where("not goes and n > 1")
     if not again.limit(1).count():
-        return kept.drop("__row_like")
-    on = f"`{id_col}` <=> __again_id and __row_like = __again_like"
-    once = kept.join(again, F.expr(on), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__row_like").orderBy("__row_like"))).where("__n = 1").drop("__n")
-    return common.without(kept, again, on).unionByName(once).drop("__row_like")
+        return kept
+    # rows that repeat as a whole: one of each
+    packed = kept.select(F.struct("*").alias("row"), key.alias("i"), like.alias("like"))
+    once = packed.join(again.select(F.col("i").alias("ai"), F.col("like").alias("al")), F.expr("i <=> ai and like = al"), "left_semi")
+    once = once.withColumn("nth", F.row_number().over(Window.partitionBy("i", "like").orderBy("like"))).where("nth = 1").select("row.*")
+    return common.without(kept, again, on).unionByName(once)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,117 +24,143 @@ def neighbours_equal(s: Column, part=lambda x: x) -> Column:
     return F.filter(s, lambda x, i: ((i > 0) & (part(x) == part(F.get(s, i - 1)))) | ((i < F.size(s) - 1) & (part(x) == part(F.get(s, i + 1)))))
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs (whose columns must not begin with two underscores) with __words and the five counts, as __n_words and so on.
+def with_counts(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text; a null one has no words.
 
-    Windows of three words that occur twice are found by sorting window hashes packed with their positions; only the positions
-    found so are compared by full 64-bit hashes again. A null text has no words.
+    Windows of three words that occur twice are looked for only where the set of window hashes is smaller than their number. They
+    are found by sorting the hashes packed with their positions; positions found so are compared by full 64-bit hashes again.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.translate(text, common.WHITE, "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(common.WHITE)) != "")
+    text = F.coalesce(text, F.lit(""))
     low = (1 << POSITION_BITS) - 1
-    out = docs.withColumn("__words", common.words(F.col(text_col))).withColumn("__n_words", F.size("__words").cast("long"))
-    hashed = F.when(F.size("__words") >= 3, F.transform(F.sequence(F.lit(0), F.size("__words") - 3), lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("__h", hashed)
-    packed = F.sort_array(F.transform("__h", lambda h, i: F.shiftleft(F.shiftright(h, POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long"))))
-    near = neighbours_equal(F.col("__packed"), lambda x: F.shiftright(x, POSITION_BITS))
-    at = F.transform(near, lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
-    every = F.sequence(F.lit(0), F.size("__h") - 1)
-    out = out.withColumn("__packed", F.when(F.size("__h") <= low, packed)).withColumn("__at", F.when(F.size("__h") <= low, at).otherwise(every))
-    out = out.withColumn("__same", F.array_sort(F.transform("__at", lambda i: F.struct(F.get("__h", i).alias("h"), i.alias("i")))))
-    repeats = F.array_sort(F.transform(neighbours_equal(F.col("__same"), lambda x: x["h"]), lambda x: x["i"]))
-    out = out.withColumn("__repeats", repeats).withColumn("__lines", lines)
+    out = rows.withColumn("_text", text).withColumn("_words", common.words(F.col("_text"))).withColumn("_size", F.size("_words"))
+    hashed = F.transform(F.sequence(F.lit(0), F.col("_size") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))
+    out = out.withColumn("_h", F.when(F.col("_size") >= 3, hashed).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn("_again", F.size(F.array_distinct("_h")) < F.size("_h"))
+    packed = F.sort_array(F.transform("_h", lambda h, i: F.shiftleft(F.shiftright(h, POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long"))))
+    out = out.withColumn("_packed", F.when(F.col("_again") & (F.size("_h") <= low), packed))
+    at = F.transform(neighbours_equal(F.col("_packed"), lambda x: F.shiftright(x, POSITION_BITS)), lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
+    every = F.sequence(F.lit(0), F.size("_h") - 1)
+    none = F.array().cast("array<int>")
+    out = out.withColumn("_at", F.when(~F.col("_again"), none).when(F.size("_h") <= low, at).otherwise(every))
+    out = out.withColumn("_same", F.array_sort(F.transform("_at", lambda i: F.struct(F.get("_h", i).alias("h"), i.alias("i")))))
+    repeats = F.array_sort(F.transform(neighbours_equal(F.col("_same"), lambda x: x["h"]), lambda x: x["i"]))
+    bare = F.translate("_text", common.WHITE, "")
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.btrim(x, F.lit(common.WHITE)) != "")
+    out = out.withColumn("_repeats", repeats).withColumn("_lines", lines).withColumn("_bare", bare)
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        "__n_words",
-        F.char_length(bare).cast("long").alias("__word_chars"),
-        (F.char_length(bare) - F.char_length(F.translate(bare, SYMBOLS, ""))).cast("long").alias("__n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
-        covered(F.col("__repeats"), 3).cast("long").alias("__n_repeat_words"),
+        *rows.columns,
+        F.col("_size").cast("long").alias("n_words"),
+        F.char_length("_bare").cast("long").alias("word_chars"),
+        (F.char_length("_bare") - F.char_length(F.translate("_bare", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        covered(F.col("_repeats"), 3).cast("long").alias("n_repeat_words"),
     )
 
 
 #: Code points of the shortest line that counts across documents.
 MIN_LINE = 20
-#: A line is removed from a host once more than this many different documents of it have the line.
-MAX_DOCUMENTS = 20
-#: A document is depleted if less than this share of its words is left.
-KEEP_SHARE = 0.3
+#: A line is above the limit of a host once more documents of it than this have the line.
+MAX_DOCUMENTS = 10
+#: A document is depleted if less than this share of its words, or fewer than so many words, are left.
+KEEP_SHARE, MIN_WORDS = 0.3, 50
+#: Up to so many removed lines (positions) go to every task; more are joined by shuffle.
+BROADCAST_LINES = 4_000_000
 
 
-def normalised_lines(text_col: str) -> Column:
-    return F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: common.ascii_lower(F.btrim(x, F.lit(common.WHITE))))
+def normalised_lines(text: Column) -> Column:
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: common.ascii_lower(F.btrim(x, F.lit(common.WHITE))))
 
 
 def digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
+def keyed(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
+    """Rows (id, host, text): names of docs' own columns play no part after this."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("text"))
+
+
 def frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: int = MAX_DOCUMENTS) -> DataFrame:
-    """Rows (host, digest, holder): lines that more than `limit` different documents of a host have; null hosts are one host.
+    """Rows (host, digest, documents, holder): lines that more than `limit` different documents (ids) of a host have.
 
-    Lines are lower-cased (A-Z), without white space at their ends; those under MIN_LINE code points don't count. Copies of a
-    document count once, however many there are: a document is known by 128 bits over the whole set of its lines' digests, so
-    documents that differ in any line that counts are two. Removing copies is for near-duplicate removal, which keeps one; here
-    all of them would go. holder is the least id that has the line in the host: it keeps the line, so that no text is lost altogether.
+    Lines are lower-cased (A-Z), without white space at their ends; those under MIN_LINE code points don't count. A line counts
+    once a document, however often it has it; rows of one id are one document; null hosts are one host. holder is the least id of
+    them: there the line is at its place, everywhere else it is a repeat.
     """
-    digests = F.transform(F.filter(normalised_lines(text_col), lambda x: F.char_length(x) >= MIN_LINE), digest)
-    each = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.array_distinct(digests).alias("lines"))
-    whole = each.withColumn("lines", F.sort_array("lines"))
-    lines = whole.select("id", "host", *common.text_hash(F.col("lines")), F.explode("lines").alias("digest"))
-    known = lines.groupBy("host", "h1", "h2", "digest").agg(F.min("id").alias("id"))
-    counted = known.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("documents"), F.min("id").alias("holder"))
-    return counted.where(F.col("documents") > limit).select("host", "digest", "holder")
+    kept = F.filter(normalised_lines(F.col("text")), lambda x: F.char_length(x) >= MIN_LINE)
+    lines = keyed(docs, id_col, host_col, text_col).select("id", "host", F.explode(F.transform(F.array_distinct(kept), digest)).alias("digest"))
+    # a line of many documents is counted in two steps, spread by id first
+    counted = lines.distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("documents"), F.min("id").alias("holder"))
+    return counted.where(F.col("documents") > limit)
 
 
 def lines_lost(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Rows (id, text_hash, digests, lost_words): what frequent lines take from each text that has any. Repeated rows count once."""
-    line = F.posexplode(normalised_lines(text_col)).alias("pos", "line")
-    at = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(host_col).alias("h"), line)
-    at = at.where(F.char_length("line") >= MIN_LINE).select("id", "text_hash", "h", "pos", digest(F.col("line")).alias("d"), common.word_count(F.col("line")).alias("n"))
-    hits = at.join(frequent, F.expr("h <=> host and d = digest and not id <=> holder")).groupBy("id", "text_hash", "pos").agg(F.max("n").alias("n"), F.max("d").alias("d"))
-    return hits.groupBy("id", "text_hash").agg(F.collect_set("d").alias("digests"), F.sum("n").alias("lost_words"))
+    """Rows (id, host, text_hash, lost, lost_words): places of the lines that each text loses, and their words. Repeated rows count once."""
+    line = F.posexplode(normalised_lines(F.col("text"))).alias("pos", "line")
+    at = keyed(docs, id_col, host_col, text_col).select("id", "host", F.xxhash64("text").alias("text_hash"), line).where(F.char_length("line") >= MIN_LINE)
+    at = at.select("id", "host", "text_hash", "pos", digest(F.col("line")).alias("digest"), common.word_count(F.col("line")).alias("n"))
+    much = frequent.select(F.col("host").alias("h"), F.col("digest").alias("d"), "holder")
+    hits = at.join(much, F.expr("host <=> h and digest = d and not id <=> holder")).groupBy("id", "host", "text_hash", "pos").agg(F.max("n").alias("n"))
+    return hits.groupBy("id", "host", "text_hash").agg(F.collect_list("pos").alias("lost"), F.sum("n").alias("lost_words"))
+
+
+def with_verdict(rows: DataFrame, docs: DataFrame, id_col: str, host_col: str, text_col: str, limit: int, keep_share: float) -> DataFrame:
+    """rows (id, host, text and others) with the counts, text_hash, lost, lost_words, base_failed and kept; the lines are those of docs."""
+    frequent = common.materialise(frequent_lines(docs, id_col, host_col, text_col, limit), "frequent-lines")
+    lost = common.materialise(lines_lost(docs, frequent, id_col, host_col, text_col), "lost-lines")
+    few = (lost.agg(F.sum(F.size("lost") + 8)).first()[0] or 0) <= BROADCAST_LINES
+    told = lost.select(F.col("id").alias("i"), F.col("host").alias("o"), F.col("text_hash").alias("t"), "lost", "lost_words")
+    counted = with_counts(rows.withColumn("text_hash", F.xxhash64("text")), F.col("text"))
+    met = counted.join(F.broadcast(told) if few else told, F.expr("id <=> i and host <=> o and text_hash = t"), "left").drop("i", "o", "t")
+    met = met.withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    left = F.col("n_words") - F.col("lost_words")
+    depleted = (left < keep_share * F.col("n_words")) | (left < MIN_WORDS)
+    return met.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+
+
+def stripped(met: DataFrame) -> DataFrame:
+    """met with `text` less the lines at the places `lost` (null: none); a null text stays null."""
+    lines = met.withColumn("lines", F.split("text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")  # by a hash set, in order
+    text = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    return lines.withColumn("text", F.when(F.col("lost").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: int = MAX_DOCUMENTS, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """docs (only the three columns) with the counts of with_counts, __lost_words, __base_failed and __kept.
+    """Rows (id, host, the counts of with_counts, lost_words, base_failed, kept, text_hash, lost), one for each row of docs.
 
     base_failed: under 50 words, or over half of the words in windows of three words that the text repeats. Any other document
-    is kept unless the lines that its host repeats too often (frequent_lines) leave less than keep_share of its words.
-    Repeated rows fare alike. A null or empty text fails. An empty table stays empty.
+    is kept unless the lines that its host repeats too often (frequent_lines) leave less than keep_share of its words or fewer
+    than 50. Repeated rows fare alike. A null or empty text fails. A line of any length is one line. An empty table stays empty.
     """
-    narrow = docs.select(id_col, host_col, text_col)
-    frequent = common.materialise(frequent_lines(narrow, id_col, host_col, text_col, limit), "frequent-lines")
-    lost = lines_lost(narrow, frequent, id_col, host_col, text_col).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lost_words").alias("__lost"))
-    counted = with_counts(narrow, text_col).withColumn("__text_hash", F.xxhash64(text_col)).drop(text_col)
-    joined = counted.join(lost, F.expr(f"`{id_col}` <=> __id and __text_hash = __hash"), "left").withColumn("__lost_words", F.coalesce("__lost", F.lit(0)).cast("long"))
-    failed = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
-    depleted = (F.col("__n_words") - F.col("__lost_words")) < keep_share * F.col("__n_words")
-    return joined.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~depleted).drop("__id", "__hash", "__lost")
+    rows = keyed(docs, id_col, host_col, text_col)
+    return with_verdict(rows, docs, id_col, host_col, text_col, limit, keep_share).drop("text")
 
 
-def remove_frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: int = MAX_DOCUMENTS) -> DataFrame:
-    """docs whose texts have lost the lines that their host repeats too often; a null text without such lines stays null."""
-    frequent = common.materialise(frequent_lines(docs, id_col, host_col, text_col, limit), "frequent-lines")
-    lost = lines_lost(docs, frequent, id_col, host_col, text_col).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("digests").alias("__digests"))
-    joined = docs.join(lost, F.expr(f"`{id_col}` <=> __id and xxhash64(`{text_col}`) = __hash"), "left")
-    line = lambda x: common.ascii_lower(F.btrim(x, F.lit(common.WHITE)))
-    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains("__digests", digest(line(x)))), "\n")
-    return joined.select(*[F.when(F.col("__digests").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: int = MAX_DOCUMENTS, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """docs without the rows that judge() rejects; the texts of the others lose the lines above the limit. Columns stay, in their order."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("text"))
+    judged = with_verdict(rows, docs, id_col, host_col, text_col, limit, keep_share).select("row", "lost", "kept")
+    # written before it is filtered: a filter pushed below the counts would work them out anew in every lambda
+    kept = common.materialise(judged, "judged").where("kept").withColumn("text", F.col(f"row.`{text_col}`"))
+    return stripped(kept).select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs without the rows that judge() rejects; columns and texts stay as they are."""
-    verdicts = judge(docs, id_col, host_col, text_col).where(~F.col("__kept")).select(F.col(id_col).alias("__id"), F.col("__text_hash").alias("__hash")).distinct()
-    return common.without(docs, common.materialise(verdicts, "rejected"), f"`{id_col}` <=> __id and xxhash64(`{text_col}`) = __hash")
+def remove_frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: int = MAX_DOCUMENTS) -> DataFrame:
+    """docs whose texts have lost the lines above the limit, but none rejected."""
+    frequent = common.materialise(frequent_lines(docs, id_col, host_col, text_col, limit), "frequent-lines")
+    lost = lines_lost(docs, frequent, id_col, host_col, text_col).select(F.col("id").alias("i"), F.col("host").alias("o"), F.col("text_hash").alias("t"), "lost")
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("text"))
+    met = rows.join(lost, F.expr("id <=> i and host <=> o and xxhash64(text) = t"), "left")
+    return stripped(met).select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     """All documents with the base counts and the verdict."""
     judged = judge(common.table(spark, sf_dir, "documents"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words"]
-    return judged.select("doc_id", *[F.col(f"__{n}").alias(n) for n in names])
+    return judged.select(F.col("id").alias("doc_id"), *names, F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_lost_lines"))
 
 
 OP5_SQL = rf"""
@@ -158,19 +184,20 @@ lines AS (
                translate(trim(unnest(string_split(text, chr(10))), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                          '{common.UPPER}', '{common.LOWER}') AS k FROM d)
   WHERE length(k) >= {MIN_LINE}),
-known AS (SELECT doc_id, min(m) AS document FROM lines GROUP BY doc_id),
 bad AS (
-  SELECT source, m, min(doc_id) AS holder FROM lines JOIN known USING (doc_id)
-  GROUP BY source, m HAVING count(DISTINCT document) > {MAX_DOCUMENTS}),
+  SELECT source, m, min(doc_id) AS holder FROM lines
+  GROUP BY source, m HAVING count(DISTINCT doc_id) > {MAX_DOCUMENTS}),
 lost AS (
-  SELECT doc_id, sum(n) AS n FROM lines l JOIN bad b ON l.m = b.m AND l.source IS NOT DISTINCT FROM b.source AND doc_id <> holder GROUP BY doc_id),
+  SELECT doc_id, sum(n) AS n, count(*) AS k FROM lines l JOIN bad b ON l.m = b.m AND l.source IS NOT DISTINCT FROM b.source AND doc_id <> holder GROUP BY doc_id),
 c AS (
   SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-         coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS lost_words
+         coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS lost_words,
+         coalesce(lost.k, 0)::BIGINT AS n_lost_lines
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id LEFT JOIN lost ON w.doc_id = lost.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - lost_words >= {KEEP_SHARE} * n_words AS kept, lost_words
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - lost_words >= {KEEP_SHARE} * n_words
+         AND n_words - lost_words >= {MIN_WORDS} AS kept, lost_words, n_lost_lines
 FROM c
 """

@@ -95,23 +95,57 @@ def test_op5_against_brute_force_and_sql(spark, tmp_path):
     assert depleted and all(boiler in texts[i] for i in depleted)
 
 
-def test_copies_do_not_make_lines_frequent(spark):
-    one = util.prose(40, 1) + "\n" + util.prose(40, 2)
-    df = util.docs(spark, [one] * 60 + [util.prose(90, k) for k in range(3, 9)])
-    assert quality_rules.keep_good(df).count() == 66
-    stripped = quality_rules.remove_frequent_lines(df)
-    assert sorted(r.text for r in stripped.collect()) == sorted(r.text for r in df.collect())
-
-
-def test_different_documents_with_one_least_line_are_counted(spark):
-    """A line that is the least digest of all its documents is still counted in each of them; exact copies count once."""
-    shared = min((util.prose(12, 500 + k) for k in range(200)), key=lambda x: hashlib.md5(x.encode()).digest())
-    own = [util.prose(12, 1000 + k) for k in range(400)]
-    own = [x for x in own if hashlib.md5(x.encode()).digest() > hashlib.md5(shared.encode()).digest()]
-    texts = [shared + "\n" + x for x in own[:21]]
-    found = quality_rules.frequent_lines(util.docs(spark, texts)).collect()
-    assert [(bytes(r.digest), r.holder) for r in found] == [(hashlib.md5(shared.encode()).digest(), 0)]
-    assert quality_rules.frequent_lines(util.docs(spark, texts[:20] + texts[:5])).count() == 0
+def verdict_brute(rows, limit=quality_rules.MAX_DOCUMENTS):
+    """rows of (id, host, text), ids differ: (lost words, lost lines, kept) of each; a document is its id."""
+    white = str.maketrans({c: " " for c in WHITE})
+    norm = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(WHITE))
+    n_words = lambda x: len([w for w in x.translate(white).split(" ") if w])
+    holders = {}
+    for i, host, text in rows:
+        for line in {norm(x) for x in (text or "").split("\n")}:
+            if len(line) >= 20:
+                holders.setdefault((host, line), set()).add(i)
+    out = {}
+    for i, host, text in rows:
+        gone = [x for x in (text or "").split("\n") if len(h := holders.get((host, norm(x)), ())) > limit and i != min(h)]
+        lost, n = sum(map(n_words, gone)), n_words(text or "")
+        failed = counts_brute(text)[-1]
+        out[i] = (lost, len(gone), not failed and n - lost >= 0.3 * n and n - lost >= 50)
+    return out
+
+
+def test_verdict_against_brute_force_by_id(spark):
+    boiler = ["Shared line number one of the host, long enough.", util.prose(60, 7), "  Shared LINE number three, with white space  "]
+    texts, sources = [], []
+    for k in range(120):
+        lines = [util.prose(20 + 3 * (k % 30), 1000 + k)] + boiler[: k % 4] + (["short one"] if k % 3 else [])
+        texts.append("\n".join(lines) if k % 17 else None)
+        sources.append(["a", "b", None][k % 3] if k % 5 else "a")
+    texts += [util.prose(60, 5)] * 30  # copies are documents too: the first keeps its line
+    sources += ["copies"] * 30
+    got = {r.id: (r.lost_words, len(r.lost or []), r.kept) for r in quality_rules.judge(util.docs(spark, texts, sources)).collect()}
+    expected = verdict_brute(list(zip(range(len(texts)), sources, texts)))
+    assert got == expected
+    assert sum(kept for _, _, kept in list(got.values())[120:]) == 1
+
+
+def test_pages_that_share_one_long_line(spark):
+    """500 different documents of one host whose only long line is the same: it is found, and taken from all but the first."""
+    boiler = "This notice stands at the end of every page of this host."
+    texts = ["\n".join([*(f"row {k} {j}" for j in range(30)), boiler]) for k in range(500)]
+    df = util.docs(spark, texts)
+    (found,) = quality_rules.frequent_lines(df).collect()
+    assert (bytes(found.digest), found.documents, found.holder) == (hashlib.md5(boiler.lower().encode()).digest(), 500, 0)
+    kept = {r.doc_id: r.text for r in quality_rules.keep_good(df).collect()}
+    assert len(kept) == 500 and kept[0] == texts[0]
+    assert all(kept[k] == texts[k].rsplit("\n", 1)[0] for k in range(1, 500))
+
+
+def test_repeated_windows_beyond_packed_positions(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", 4)
+    texts = [util.prose(60, 1) + " " + util.prose(20, 1), "a b c d " * 4, util.prose(90, 3)]
+    for r in quality_rules.judge(util.docs(spark, texts)).collect():
+        assert r.n_repeat_words == counts_brute(texts[r.id])[4]
 
 
 def test_quality_rules_keep_columns(spark):

@@ -35,6 +35,6 @@ def clash(df):
     """The table with extra columns whose names operators use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("size", "shard", "id", "key", "n", "kept", "row", "fp", "target"):
+    for name in ("size", "shard", "id", "key", "n", "kept", "row", "fp", "target", "doc", "host", "i", "like", "lost", "__id", "__doc", "__row", "__hash", "__row_like", "__digests"):
         df = df.withColumn(name, F.lit(7))
     return df
