@@ -12,8 +12,9 @@ from tesserae.llm import common, decontamination, mixing, near_dedup, quality_ru
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; texts stay as they are."""
-    return quality_rules.keep_good(docs)
+    """Documents that the quality rules reject go; the others lose the lines that their host repeats above the limit, and n_chars follows."""
+    kept = quality_rules.keep_good(docs)
+    return kept.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
