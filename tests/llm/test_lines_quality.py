@@ -50,7 +50,7 @@ def test_runs_compact_and_know_what_is_fresh(spark):
     batch = lambda ids: spark.createDataFrame([(i, k, k) for i, k in ids], "id long, h1 long, h2 long")
     fresh = []
     for b in ([(1, 10), (1, 11)], [(2, 10), (2, 12)], [(3, 12)], [(4, 13), (4, 10)]):
-        fresh.append(store.ingest(batch(b)).where("fresh = 1").count())
+        fresh.append(store.ingest(batch(b)).count())
         store.compact()
     assert fresh == [2, 1, 0, 1]
     assert [len(x) for x in store.levels] == [0, 0, 1]
@@ -58,6 +58,29 @@ def test_runs_compact_and_know_what_is_fresh(spark):
     assert total == {10: (3, 4), 11: (1, 1), 12: (2, 3), 13: (1, 4)}
 
 
+def test_the_anti_join_decides(spark, monkeypatch):
+    """Without what the anti-join hands on, keys that come up after the first batch are never dropped; if it lets all through, keys repeat."""
+    texts = [f"the first shared line of part {k % 8}" for k in range(48)]
+    df = util.docs(spark, texts)
+    assert sum(r.n_dropped for r in line_dedup.dedup_lines(df, batches=6).collect()) == 40
+    batch = lambda ids: spark.createDataFrame([(i, k, k) for i, k in ids], "id long, h1 long, h2 long")
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup.LineRuns, "absent", lambda self, entries, known: entries)
+        store = line_dedup.LineRuns(spark)
+        store.ingest(batch([(1, 10)]))
+        store.ingest(batch([(2, 10)]))
+        assert store.total().count() == 2
+    monkeypatch.setattr(line_dedup.LineRuns, "absent", lambda self, entries, known: entries.limit(0))
+    assert sum(r.n_dropped for r in line_dedup.dedup_lines(df, batches=6).collect()) < 40
+
+
+def test_many_dropped_lines_in_one_text(spark):
+    lines = [f"line number {k} of a very long text" for k in range(30000)]
+    texts = ["\n".join(lines), "\n".join(lines[:20000]), "\n".join(lines[10000:])]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(util.docs(spark, texts)).collect()}
+    assert got == {0: (30000, 10000), 1: (20000, 10000), 2: (20000, 0)}
+
+
 def test_line_dedup_of_nothing_and_repeated_ids(spark):
     assert line_dedup.dedup_lines(util.docs(spark, [])).count() == 0
     df = util.docs(spark, [LINE, LINE + "\nb", LINE, LINE], ids=[1, 1, 2, None])
