@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
@@ -16,38 +16,45 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What else an identifier may look like: 6 to 64 letters and digits (hyphens inside), with three digits at least.
-CANDIDATE = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z-]*[0-9]){3})[A-Za-z0-9][A-Za-z0-9-]{4,62}[A-Za-z0-9](?![A-Za-z0-9])"
-#: Context of an identifier: the last word before it and what stands between.
-CONTEXT = r"([\p{L}_]+[^\p{L}\p{N}]*)$"
-CONTEXT_CHARS = 48
-#: Words whose assignment (with = or :) names an identifier. They are patterns that are known from the start.
-NAMES = "password passwd pwd secret token key api_key apikey access_key ssn iban passport account license phone tel mobile fax email mail user_id customer_id"
-SEED_CONTEXT = r"(?i)^(" + NAMES.replace(" ", "|") + r")[\s\"']*[=:][\s\"']*$"
-#: What is assigned to such a word: the whole run (group 2) up to white space or a quote, of any length and with any characters. A word
-#: of the list that is itself assigned a value after white space (`token: secret: x`) is no value.
-ASSIGNED = r"(?i)(?<![\p{L}_])(NAMES)[\s\"']*+[=:][\s\"']*+(?!(?:NAMES)[\"']*+[=:][\"']*+\s)([^\s\"']++)".replace("NAMES", NAMES.replace(" ", "|"))
-#: A pattern is trusted if so many different known instances follow it and they are this share of all that follow it.
-SUPPORT, PRECISION = 3, 0.5
-#: ASSIGNED on a match of it alone.
-ASSIGNED_WHOLE = r"(?i)^(" + NAMES.replace(" ", "|") + r")[\s\"']*+[=:][\s\"']*+([^\s\"']++)$"
+#: What may be an identifier: a run up to white space or a quote that has a digit, or whatever stands after = or :, of any length.
+CANDIDATE = r"(?<=[=:][\x20\"']{0,3})[^\s\"']+|(?<![^\s\"'=:(])(?=[^\s\"'=:(]*[0-9])[^\s\"'=:(]{4,}"
+#: Punctuation at the end of a run is not part of it.
+TAIL = r"[.,;:!?)\]}>]+$"
+#: Seed entities beside the spans of the fixed kinds: strings that are keys by their form (hexadecimal digests and the public formats of
+#: access keys and tokens).
+KEY_FORMS = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)$"
+#: Lexical patterns of a candidate: the word before it with what stands between, and the two words before it with the marks after it.
+#: They are looked for in so many characters before and after.
+NEAR, WIDE, AFTER = r"([\p{L}_]+[^\p{L}\p{N}]*)$", r"([\p{L}_]+[^\p{L}\p{N}]+[\p{L}_]+[^\p{L}\p{N}]*)$", r"^([^\p{L}\p{N}]*)"
+CONTEXT_CHARS, AFTER_CHARS = 48, 16
+#: Every place where a near pattern stands, whatever follows.
+PLACE = r"[\p{L}_]+[^\p{L}\p{N}]*"
+#: A pattern is trusted with this much support (sum of its known instances' confidence) and this confidence (that sum by all that it extracts).
+SUPPORT, CONFIDENCE = 3.0, 0.5
+#: Matches that are appended to one block, so that the work on a text grows with its matches and not with their square.
+BLOCK = 512
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (s, e, v): the leftmost non-overlapping matches, in code points, end exclusive.
+    """Array of (s, e, v, before, after): the leftmost non-overlapping matches, in code points, end exclusive, and what lies beside them.
 
     Positions are sums of the lengths of matches and of what lies between them, so nothing is searched again.
     """
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"))
-    empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    gaps = F.split(text, pattern, -1)
+    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+    one = "s:int,e:int,v:string,before:string,after:string"
+    none, blocks = F.array().cast(f"array<struct<{one}>>"), F.array().cast(f"array<array<struct<{one}>>>")
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.coalesce(F.char_length(x["v"]), F.lit(0))
-        out = F.when(x["v"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"))))
-        return F.struct(end.alias("at"), out.alias("out"))
+        found = F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"), F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(x["next"], F.lit(AFTER_CHARS)).alias("after"))
+        full = F.size(acc["block"]) >= BLOCK
+        block = F.when(x["v"].isNull(), acc["block"]).when(full, F.array(found)).otherwise(F.array_append(acc["block"], found))
+        return F.struct(end.alias("at"), block.alias("block"), F.when(full & x["v"].isNotNull(), F.array_append(acc["out"], acc["block"])).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("at"), none.alias("block"), blocks.alias("out"))
+    return F.aggregate(parts, start, add, lambda acc: F.flatten(F.array_append(acc["out"], acc["block"])))
 
 
 def digits(v: Column) -> Column:
@@ -81,73 +88,114 @@ def holds(kind: str, v: Column) -> Column:
 def base_spans(text: Column, kind: str) -> Column:
     """Spans of a kind, with a cheap test first so that most texts don't meet the pattern at all."""
     may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, F.col("__digits"))
-    return F.when(may, F.filter(matches(text, PATTERNS[kind]), lambda m: holds(kind, m["v"]))).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
+    found = F.transform(F.filter(matches(text, PATTERNS[kind]), lambda m: holds(kind, m["v"])), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))
+    return F.when(may, found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
-def context(text: Column, start: Column) -> Column:
-    """The lexical pattern in which something stands: lower-cased, digits gone, white space as one space."""
-    left = F.substring(text, F.greatest(F.lit(1), start + 1 - CONTEXT_CHARS), F.least(start, F.lit(CONTEXT_CHARS)))
-    return F.regexp_replace(F.lower(F.regexp_extract(left, CONTEXT, 1)), r"\s+", " ")
+def plain(c: Column) -> Column:
+    """A lexical pattern: lower-cased, white space as one space."""
+    return F.regexp_replace(F.lower(c), r"\s+", " ")
 
 
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, text_hash, one column of spans for each kind, seen): seen lists (s, e, v, context, known) of all identifiers."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text_col).alias("text_hash"))
+    """Rows (id, text_hash, one column of spans for each kind, seen): seen lists the candidates (s, e, v, near, wide)."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
     rows = rows.withColumn("__digits", F.col("t").rlike("[0-9]"))
-    rows = rows.select("id", "text_hash", "t", "__digits", *[base_spans(F.col("t"), k).alias(k) for k in KINDS])
-    every = F.concat(*KINDS)
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    apart = lambda c, others: ~F.exists(others, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    named = F.when(F.contains("t", F.lit("=")) | F.contains("t", F.lit(":")), matches(F.col("t"), ASSIGNED)).otherwise(none)
-    value = lambda m: F.regexp_extract(m["v"], ASSIGNED_WHOLE, 2)
-    named = F.transform(named, lambda m: F.struct((m["e"] - F.char_length(value(m))).alias("s"), m["e"].alias("e"), value(m).alias("v")))
-    rows = rows.withColumn("every", every).withColumn("named", named)
-    rows = rows.withColumn("named", F.filter("named", lambda c: apart(c, "every")))
-    rows = rows.withColumn("free", F.filter(F.when(F.col("__digits"), matches(F.col("t"), CANDIDATE)).otherwise(none), lambda c: apart(c, "every")))
-    # the beginning of an assigned value is known by itself, so that it is found elsewhere, but its span is the whole value's
-    rows = rows.withColumn("heads", F.filter("free", lambda c: F.exists("named", lambda b: (b["s"] == c["s"]) & (b["e"] > c["e"]))))
-    rows = rows.withColumn("free", F.concat("named", F.filter("free", lambda c: apart(c, "named"))))
-    told = lambda known: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), context(F.col("t"), x["s"]).alias("context"), F.lit(known).alias("known"))
-    return rows.select("id", "text_hash", *KINDS, F.concat(F.transform("every", told(True)), F.transform("heads", told(True)), F.transform("free", told(False))).alias("seen"))
-
-
-def trusted(edges: DataFrame, support: int = SUPPORT, precision: float = PRECISION) -> tuple[DataFrame, DataFrame]:
-    """edges: context, v, known. Returns the trusted contexts and the known instances once bootstrapping has settled.
-
-    A round scores each pattern of the graph by the share of known ones among the different instances that it extracts;
-    patterns of enough support and precision are trusted, and all that they extract is known in the next round. Rounds end when one adds no pattern.
+    none = F.array().cast("array<struct<s:int,e:int,v:string,before:string,after:string>>")
+    may = F.col("__digits") | F.contains("t", F.lit("=")) | F.contains("t", F.lit(":"))
+    rows = rows.select("id", "text_hash", *[base_spans(F.col("t"), k).alias(k) for k in KINDS], F.when(may, matches(F.col("t"), CANDIDATE)).otherwise(none).alias("found"))
+
+    def told(x: Column) -> Column:
+        v = F.regexp_replace(x["v"], TAIL, "")
+        wide = F.concat(F.regexp_extract(x["before"], WIDE, 1), F.lit("_"), F.regexp_extract(F.concat(F.substring(x["v"], F.char_length(v) + 1, F.lit(AFTER_CHARS)), F.coalesce(x["after"], F.lit(""))), AFTER, 1))
+        return F.struct(x["s"].alias("s"), (x["s"] + F.char_length(v)).alias("e"), v.alias("v"), plain(F.regexp_extract(x["before"], NEAR, 1)).alias("near"), F.when(F.regexp_extract(x["before"], WIDE, 1) != "", plain(wide)).alias("wide"))
+
+    return rows.select("id", "text_hash", *KINDS, F.filter(F.transform("found", told), lambda x: x["e"] > x["s"]).alias("seen"))
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """Rows (id, text_hash, s, e, v, near, wide, seed): candidates that meet no span of the fixed kinds, and the seeds.
+
+    A candidate that begins a span of a fixed kind is a seed (with its contexts; s and e null, as its span is there already);
+    others that meet one are dropped. Spans and candidates of a text are compared in the order of their places, not pair by pair.
+    """
+    every = F.concat(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("string").alias("near"), F.lit(None).cast("string").alias("wide"))) for k in KINDS])
+    rows = found.where(F.size("seen") > 0).select("id", "text_hash", F.explode(F.concat(every, "seen")).alias("x")).select("id", "text_hash", "x.*").distinct()
+    fixed = F.col("v").isNull()
+    order = Window.partitionBy("id", "text_hash").orderBy("s", F.col("v").isNotNull())
+    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("reach", F.max(F.when(fixed, F.col("e"))).over(upto)).withColumn("begun", F.max(F.when(fixed, F.col("s"))).over(upto)).withColumn("next", F.min(F.when(fixed, F.col("s"))).over(after)).where(~fixed)
+    meets = (F.coalesce(F.col("reach") > F.col("s"), F.lit(False))) | F.coalesce(F.col("next") < F.col("e"), F.lit(False))
+    begins = F.coalesce(F.col("begun") == F.col("s"), F.lit(False))
+    rows = rows.withColumn("meets", meets).where(~F.col("meets") | begins)
+    seed = F.col("meets") | F.col("v").rlike(KEY_FORMS)
+    place = lambda c: F.when(~F.col("meets"), F.col(c)).alias(c)
+    return rows.select("id", "text_hash", place("s"), place("e"), F.lower("v").alias("v"), "near", "wide", seed.alias("seed"))
+
+
+def edges_of(seen: DataFrame) -> DataFrame:
+    """Rows (pattern, v, seed): the pattern-instance graph. Near patterns begin with "1", wide ones with "2"."""
+    patterns = F.array_compact(F.array(F.when(F.col("near") != "", F.concat(F.lit("1"), "near")), F.concat(F.lit("2"), "wide")))
+    return seen.select(F.explode(patterns).alias("pattern"), "v", "seed")
+
+
+def blanks(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
+    """Rows (pattern, places): how often each near pattern stands in the texts, whatever follows it."""
+    at = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(PLACE), F.lit(0))).alias("w"))
+    near = F.concat(F.lit("1"), plain(F.right("w", F.lit(CONTEXT_CHARS))))
+    counted = at.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(near.alias("p"), "n").groupBy("p").agg(F.sum("n").alias("places"))
+    return counted.join(patterns.select("pattern"), F.expr("p = pattern"), "left_semi").withColumnRenamed("p", "pattern")
+
+
+def trusted(edges: DataFrame, places: DataFrame | None = None, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """edges: pattern, v, seed. Returns the trusted patterns (pattern, conf) and the known instances (v, conf) once bootstrapping has settled.
+
+    An instance's confidence is 1 for a seed, else that not all trusted patterns that extract it are wrong, 1 - prod(1 - conf). A round
+    scores every pattern by the sum of its instances' confidence over all that it extracts; what stands in `places` without a
+    candidate after it counts as wrong extractions. Patterns of enough support and confidence are trusted from then on, with
+    the confidence they had. Rounds end when one adds no pattern. Ties don't matter: all patterns above the bounds enter.
     """
-    graph = common.materialise(edges.groupBy("context", "v").agg(F.max("known").alias("known")), "graph")
-    seeds = graph.select("context").distinct().where(F.col("context").rlike(SEED_CONTEXT)).withColumnRenamed("context", "p")
-    good = common.materialise(seeds, "patterns")
-    known = common.materialise(graph.where("known").select("v").distinct(), "known")
+    graph = common.materialise(edges.groupBy("pattern", "v").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times")), "graph")
+    sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
+    if places is not None:
+        sizes = sizes.join(places.withColumnRenamed("pattern", "p"), F.expr("pattern = p"), "left").withColumn("n", F.col("n") + F.greatest(F.lit(0), F.coalesce("places", F.lit(0)) - F.col("times")))
+    sizes = common.materialise(sizes.where(F.col("n") >= support).select("pattern", "n"), "pattern-sizes")
+    known = common.materialise(graph.where("seed").select("v").distinct().withColumn("conf", F.lit(1.0)), "known")
+    good = None
     while True:
-        found = graph.join(good, F.expr("context = p"), "left_semi").select("v")
-        old, known = known, common.materialise(known.unionByName(found).distinct(), "known")
-        common.discard(old)
-        scored = graph.join(known.select(F.col("v").alias("k")), F.expr("v = k"), "left").groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("hits"))
-        better = scored.where((F.col("context") != "") & (F.col("hits") >= support) & (F.col("hits") >= precision * F.col("n"))).select(F.col("context").alias("p"))
-        fresh = common.materialise(better.join(good, "p", "left_anti"), "patterns")
+        told = graph.join(known.withColumnRenamed("v", "k"), F.expr("v = k")).groupBy("pattern").agg(F.sum(F.col("conf").cast("decimal(28,12)")).cast("double").alias("mass"))
+        scored = told.join(sizes.withColumnRenamed("pattern", "p"), F.expr("pattern = p")).withColumn("score", F.col("mass") / F.col("n"))
+        better = scored.where((F.col("mass") >= support - 1e-9) & (F.col("score") >= confidence)).select("pattern", F.least("score", F.lit(0.999)).alias("conf"))
+        fresh = common.materialise(better if good is None else better.join(good, "pattern", "left_anti"), "patterns")
         if fresh.isEmpty():
-            return good, known
-        old, good = good, common.materialise(good.unionByName(fresh), "patterns")
-        common.discard(old)
+            return (fresh if good is None else good), known
+        good = fresh if good is None else common.materialise(good.unionByName(fresh), "patterns")
+        wrong = F.sum(F.log(1 - F.col("conf")).cast("decimal(28,12)")).cast("double")
+        led = graph.join(good.withColumnRenamed("pattern", "p"), F.expr("pattern = p")).groupBy("v").agg(F.max("seed").alias("seed"), (1 - F.exp(wrong)).alias("conf"))
+        learnt = led.where("not seed").select("v", "conf").join(known.where("conf = 1").select("v"), "v", "left_anti")
+        known = common.materialise(known.where("conf = 1").unionByName(learnt), "known")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, text_hash, email, ip, card, phone, id_spans): spans of the fixed kinds and of identifiers found by their contexts.
 
-    One row for each row of docs. Null and empty texts have no spans. An identifier is reported if its context is trusted or if
-    the same value stands in a trusted context anywhere; it never overlaps a span of the fixed kinds, which all stay.
+    One row for each row of docs. Null and empty texts have no spans. An identifier is reported if it is a key by its form, if a
+    trusted pattern extracts it, or if the same value is known from elsewhere; it never meets a span of the fixed kinds, which all stay. Of
+    identifiers that meet each other the one that begins first is reported. Very long texts and many matches cost in proportion.
     """
     found = common.materialise(spans_of(docs, id_col, text_col), "spans")
-    seen = found.select("id", "text_hash", F.explode("seen").alias("x")).select("id", "text_hash", "x.*")
-    good, known = trusted(seen.select("context", "v", "known"))
-    fresh = seen.where("not known and length(v) > 0").select("id", "text_hash", "s", "e", "v", "context").distinct()
-    named = fresh.join(good, F.expr("context = p"), "left").join(known.select(F.col("v").alias("k")), F.expr("v = k"), "left")
-    added = named.where("p is not null or k is not null").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("id_spans"))
-    added = added.withColumnsRenamed({"id": "i", "text_hash": "h"})
+    seen = common.materialise(candidates(found), "candidates")
+    edges = common.materialise(edges_of(seen), "edges")
+    # near patterns that could reach the support are counted over all texts
+    some = edges.where("pattern like '1%'").groupBy("pattern").agg(F.countDistinct("v").alias("n")).where(F.col("n") >= SUPPORT)
+    good, known = trusted(edges, common.materialise(blanks(docs, text_col, some), "places"))
+    fresh = seen.where("s is not null")
+    led = fresh.join(good.select(F.col("pattern").alias("p1")), F.expr("p1 = concat('1', near)"), "left").join(good.select(F.col("pattern").alias("p2")), F.expr("p2 = concat('2', wide)"), "left")
+    named = led.join(known.select(F.col("v").alias("k")), F.expr("v = k"), "left").where("seed or p1 is not null or p2 is not null or k is not null").select("id", "text_hash", "s", "e").distinct()
+    order = Window.partitionBy("id", "text_hash").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    first = named.withColumn("reach", F.max("e").over(order)).where("reach is null or reach <= s")
+    added = first.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("id_spans")).withColumnsRenamed({"id": "i", "text_hash": "h"})
     return found.join(added, F.expr("id <=> i and text_hash = h"), "left").select("id", "text_hash", *KINDS, F.coalesce("id_spans", F.array().cast("array<struct<s:int,e:int>>")).alias("id_spans"))
 
 
