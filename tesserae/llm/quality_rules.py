@@ -63,8 +63,6 @@ MIN_LINE = 20
 MAX_DOCUMENTS = 10
 #: A document is depleted if less than this share of its words, or fewer than so many words, are left.
 KEEP_SHARE, MIN_WORDS = 0.3, 50
-#: Up to so many removed lines (positions) go to every task; more are joined by shuffle.
-BROADCAST_LINES = 4_000_000
 
 
 def normalised_lines(text: Column) -> Column:
@@ -108,10 +106,9 @@ def with_verdict(rows: DataFrame, docs: DataFrame, id_col: str, host_col: str, t
     """rows (id, host, text and others) with the counts, text_hash, lost, lost_words, base_failed and kept; the lines are those of docs."""
     frequent = common.materialise(frequent_lines(docs, id_col, host_col, text_col, limit), "frequent-lines")
     lost = common.materialise(lines_lost(docs, frequent, id_col, host_col, text_col), "lost-lines")
-    few = (lost.agg(F.sum(F.size("lost") + 8)).first()[0] or 0) <= BROADCAST_LINES
     told = lost.select(F.col("id").alias("i"), F.col("host").alias("o"), F.col("text_hash").alias("t"), "lost", "lost_words")
     counted = with_counts(rows.withColumn("text_hash", F.xxhash64("text")), F.col("text"))
-    met = counted.join(F.broadcast(told) if few else told, F.expr("id <=> i and host <=> o and text_hash = t"), "left").drop("i", "o", "t")
+    met = counted.join(told.hint("merge"), F.expr("id <=> i and host <=> o and text_hash = t"), "left").drop("i", "o", "t")
     met = met.withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("lost_words")
