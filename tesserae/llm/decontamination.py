@@ -35,6 +35,7 @@ class Search(NamedTuple):
     shingles: np.ndarray
     partitions: tuple[int, ...]
     short: tuple[int, ...]
+    containment: float
 
 
 def filter_bits(keys: int) -> int:
@@ -118,9 +119,11 @@ def window_bands(known: np.ndarray, search: Search) -> list[np.ndarray]:
     what no item has. An item's shingles that stand together do so here too, and its Jaccard index with a window is at least
     what it would be among all of the text's shingles.
     """
-    found, numbers = [], np.arange(HASHES)
+    found, numbers, distinct = [], np.arange(HASHES), len(np.unique(known))
     for p in search.partitions:
         size = 1 << p
+        if distinct < search.containment * (size // 2 + 1) - 1e-9:  # fewer than any item of this size shares with a text that holds it
+            continue
         starts = np.arange(0, max(1, len(known) - size), size)
         step = max(1, CHUNK // (2 * size))
         for k in range(0, len(starts), step):
@@ -187,7 +190,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_tex
     """
     known = common.materialise(item_rows(items, item_id, item_text), "items")
     used = [r["partition"] for r in known.select("partition").distinct().collect()]  # at most 64 + WIDTH different values
-    search = Search(filter_of(known, "bands"), filter_of(known, "hashes"), tuple(sorted(p for p in used if p >= 0)), tuple(sorted(-p for p in used if p < 0)))
+    search = Search(filter_of(known, "bands"), filter_of(known, "hashes"), tuple(sorted(p for p in used if p >= 0)), tuple(sorted(-p for p in used if p < 0)), containment)
     near = common.materialise(document_rows(docs, search, doc_id, doc_text).withColumn("row", F.xxhash64("doc", F.array_sort("grams"))), "near")
     keys = known.select("item", F.explode("bands").alias("key"))
     pairs = near.select("doc", "row", F.explode("bands").alias("band")).join(keys, F.col("band") == F.col("key")).select("doc", "row", "item").distinct()
