@@ -47,6 +47,26 @@ def expand(start: DataFrame, links: DataFrame, least: int, rounds: int | None =
     return reached
 
 
+def clusters(links: DataFrame) -> DataFrame:
+    """links: a, b. (node, root) for every node that has a link: root is the least node that links reach.
+
+    Each round a node takes the least root among itself and its neighbours, and then its root's root, so a chain shortens by
+    half; rounds end when none changes anything. Minima by node are combined before they are shuffled, so a hub costs its links.
+    """
+    both = materialise(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct(), "links")
+    now = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
+    while True:
+        near = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        low = now.join(near, F.expr("node = a")).select("node", F.least("root", "near").alias("low"), "root")
+        jump = now.select(F.col("node").alias("n"), F.col("root").alias("far"))
+        step = materialise(low.join(jump, F.expr("low = n")).select("node", F.least("low", "far").alias("root"), (F.least("low", "far") < F.col("root")).alias("changed")), "roots")
+        discard(now)
+        now = step
+        if not step.where("changed").limit(1).count():
+            discard(both)
+            return now.select("node", "root")
+
+
 def ancestry(nodes: DataFrame, rounds: int) -> DataFrame:
     """nodes: node, parent (null for roots). (node, root, depth) by pointer doubling; a parent that is missing ends a path there."""
     known = nodes.select(F.col("node").alias("k"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -139,3 +139,25 @@ def patch_contrast(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarra
     d = np.arange(-1, 2)
     p = image[y[:, None, None] + d[None, :, None], x[:, None, None] + d[None, None, :]].reshape(len(x), -1)
     return p.max(1) - p.min(1)
+
+
+def linear(c: Column) -> Column:
+    """Linear light of an sRGB channel in [0, 1]."""
+    return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+
+
+def resampled(maps: DataFrame, column: str, size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """maps with x, y and `column` for each pixel of a map of size `to` (width, height): bilinear, pixel centres at halves, clamped at the edges.
+
+    column: a row-major array of the map of size `size`.
+    """
+    (w, h), (tw, th) = size, to
+    pixels = maps.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tw - 1).cast("long")))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(th - 1).cast("long"))))
+    place = lambda c, n, tn: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), (F.col(c) + 0.5) * n / tn - 0.5))
+    u, v = place("x", w, tw), place("y", h, th)
+    x0, y0 = F.floor(u), F.floor(v)
+    x1, y1 = F.least(F.lit(w - 1), x0 + 1), F.least(F.lit(h - 1), y0 + 1)
+    at = lambda x, y: F.get(column, (y * w + x).cast("int")).cast("double")
+    fx, fy = u - x0, v - y0
+    value = (1 - fy) * ((1 - fx) * at(x0, y0) + fx * at(x1, y0)) + fy * ((1 - fx) * at(x0, y1) + fx * at(x1, y1))
+    return pixels.select(*[c for c in maps.columns if c != column], "x", "y", value.alias(column))

@@ -789,14 +789,14 @@ def u5_triangle_keys(spark, sf_dir):
 @query(
     "u6_cells",
     """
-WITH p AS (SELECT DISTINCT (l_quantity)::BIGINT AS x, (l_discount * 100)::BIGINT AS y FROM lineitem WHERE l_orderkey % 50 = 0),
+WITH p AS (SELECT DISTINCT (l_quantity)::BIGINT AS x, (l_discount * 100)::BIGINT AS y FROM lineitem),
 o AS (SELECT DISTINCT x - dx AS x, y - dy AS y FROM p, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) s(dx, dy))
 SELECT o.x, o.y, (SELECT count(*) FROM p WHERE p.x BETWEEN o.x AND o.x + 1 AND p.y BETWEEN o.y AND o.y + 1) AS corners FROM o
 """,
 )
 def u6_cells(spark, sf_dir):
     """Each point opens the four cells of which it is a corner; a cell's corners are then a count."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    l = table(spark, sf_dir, "lineitem")
     p = l.select(F.round("l_quantity").cast("long").alias("x"), F.round(F.col("l_discount") * 100).cast("long").alias("y")).distinct()
     shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (0, 1) for j in (0, 1)]))
     return p.withColumn("s", shifts).groupBy((F.col("x") - F.col("s.dx")).alias("x"), (F.col("y") - F.col("s.dy")).alias("y")).agg(F.count(F.lit(1)).alias("corners"))
@@ -812,13 +812,13 @@ def u7_disjoint(spark, sf_dir):
 @query(
     "a11_boxes",
     """
-WITH c AS (SELECT DISTINCT l_linenumber AS g, (l_quantity)::BIGINT AS x, (l_discount * 100)::BIGINT AS y FROM lineitem WHERE l_orderkey % 20 = 0),
+WITH c AS (SELECT DISTINCT l_linenumber AS g, (l_quantity)::BIGINT AS x, (l_discount * 100)::BIGINT AS y FROM lineitem),
 r AS (SELECT g, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY g, y ORDER BY x) AS k FROM c) GROUP BY g, y, k)
 SELECT g, x0, x1, min(y) AS y0, max(y) AS y1 FROM (SELECT *, y - row_number() OVER (PARTITION BY g, x0, x1 ORDER BY y) AS k FROM r) GROUP BY g, x0, x1, k
 """,
 )
 def a11_boxes(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    l = table(spark, sf_dir, "lineitem")
     return spatial.boxes(l.select(F.col("l_linenumber").alias("g"), F.round("l_quantity").cast("long").alias("x"), F.round(F.col("l_discount") * 100).cast("long").alias("y")), ["g"])
 
 
@@ -858,7 +858,7 @@ def s1_sampling_plan(spark, sf_dir):
 
 GRID = """g AS (
   SELECT l_quantity::BIGINT AS gx, round(l_discount * 100)::BIGINT AS gy, l_orderkey * 10 + l_linenumber AS id, round(l_tax, 4) AS confidence
-  FROM lineitem WHERE l_orderkey % 30 = 0),
+  FROM lineitem),
 best AS (SELECT gx, gy, id FROM (SELECT *, row_number() OVER (PARTITION BY gx, gy ORDER BY confidence DESC, id) AS k FROM g) WHERE k = 1),
 cells AS (
   SELECT gx - dx AS cx, gy - dy AS cy, max(CASE WHEN dx = 0 AND dy = 0 THEN id END) AS a, max(CASE WHEN dx = 1 AND dy = 0 THEN id END) AS b,
@@ -872,7 +872,7 @@ tri AS (
 
 
 def grid_points(spark, sf_dir) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 30 = 0")
+    l = table(spark, sf_dir, "lineitem")
     return l.select(F.round("l_quantity").cast("long").alias("gx"), F.round(F.col("l_discount") * 100).cast("long").alias("gy"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.round("l_tax", 4).alias("confidence"))
 
 
@@ -924,7 +924,7 @@ def a8_vertex_normals(spark, sf_dir):
 @query(
     "j20_corner_regions",
     """
-WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS triangle_index, l_partkey AS a, l_suppkey AS b, l_orderkey % 2000 AS c FROM lineitem WHERE l_orderkey % 10 = 0),
+WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS triangle_index, l_partkey AS a, l_suppkey AS b, l_orderkey % 2000 AS c FROM lineitem),
 e AS (SELECT triangle_index, unnest([a, b, c]) AS id FROM t),
 r AS (SELECT p_partkey // 64 AS region, p_partkey // 64 * 64 AS start FROM part GROUP BY ALL),
 o AS (SELECT triangle_index, region FROM e LEFT JOIN r ON id >= start AND id < start + 50)
@@ -935,7 +935,7 @@ SELECT triangle_index, count(DISTINCT region) AS regions, CASE WHEN count(DISTIN
 def j20_corner_regions(spark, sf_dir):
     from tesserae.operators import surface
 
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    l = table(spark, sf_dir, "lineitem")
     t = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("triangle_index"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_orderkey") % 2000).alias("c"))
     regions = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).cast("long").alias("region")).distinct().select("region", (F.col("region") * 64).alias("start"), F.lit(50).cast("long").alias("count"))
     ids = t.select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
@@ -991,12 +991,19 @@ def f4_link_breaks(spark, sf_dir):
     return d.select("event_type", "day", gates.first_gate([("hard_cut", change > 20), ("lost_overlap", F.col("v") < 40), ("motion_jump", change > 10)]).alias("break"))
 
 
-@query("a13_spread", "SELECT label, round(max(sqrt((x - mx) ** 2 + (y - my) ** 2)), 6) AS spread FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, avg(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS mx, avg(embedding[2]::DOUBLE) OVER (PARTITION BY label) AS my FROM embeddings) GROUP BY label")
+@query(
+    "a13_spread",
+    """
+WITH p AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey) AS k, l_quantity AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS depth FROM lineitem),
+d AS (SELECT a.g, max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS widest FROM p a JOIN p b ON a.g = b.g AND a.k < b.k GROUP BY a.g)
+SELECT g AS l_orderkey, round(widest / mean, 5) AS spread FROM d JOIN (SELECT g, avg(depth) AS mean FROM p GROUP BY g) USING (g)
+""",
+)
 def a13_spread(spark, sf_dir):
-    """Largest distance from the group's mean."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    m = e.groupBy("label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    return e.join(m, "label").groupBy("label").agg(F.round(F.max(F.expr("sqrt(pow(x - mx, 2) + pow(y - my, 2))")), 6).alias("spread"))
+    """Largest distance between two places of a group by the mean depth; groups are an object's few observations, and one place has no spread."""
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey")).agg(F.collect_list(F.struct(F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))).alias("p"), F.avg(F.col("l_extendedprice") / 1000).alias("mean"))
+    far = lambda a: F.array_max(F.transform("p", lambda b: F.sqrt(F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2))))
+    return p.where(F.size("p") > 1).select("l_orderkey", F.round(F.array_max(F.transform("p", far)) / F.col("mean"), 5).alias("spread"))
 
 
 @query(
@@ -1078,12 +1085,12 @@ def k14_patch_order(spark, sf_dir):
 @query(
     "j21_overlaps",
     """
-WITH r AS (SELECT o_orderkey AS id, o_custkey % 100 AS x0, o_custkey % 100 + o_totalprice / 200000 AS x1, (o_orderkey * 7) % 90 AS y0, (o_orderkey * 7) % 90 + 2 AS y1 FROM orders WHERE o_orderkey % 5 = 0)
+WITH r AS (SELECT o_orderkey AS id, o_custkey % 100 AS x0, o_custkey % 100 + o_totalprice / 200000 AS x1, (o_orderkey * 7) % 90 AS y0, (o_orderkey * 7) % 90 + 2 AS y1 FROM orders)
 SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
 """,
 )
 def j21_overlaps(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    o = table(spark, sf_dir, "orders")
     r = o.selectExpr("o_orderkey as id", "o_custkey % 100 as x0", "o_custkey % 100 + o_totalprice / 200000 as x1", "(o_orderkey * 7) % 90 as y0", "(o_orderkey * 7) % 90 + 2 as y1")
     return spatial.overlapping(r, 4.0)
 
@@ -1276,6 +1283,6 @@ def p7_confidence(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(c, 6).alias("confidence"))
 
 
-from tesserae.plans import scenes  # noqa: E402
+from tesserae.plans import evidence, scenes  # noqa: E402, F401
 
 QUERIES |= scenes.QUERIES
