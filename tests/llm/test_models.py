@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tesserae.llm import lm_scoring, quality_classifier
 from tests.llm import util
@@ -39,12 +41,110 @@ def test_op3(spark, tmp_path):
     assert sum(x.score for x in out) > sum(x.base_score for x in out)
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    r = random.Random(4)
+    pool = util.prose(2000, 1, 1500).split()
+    texts = [" ".join(r.choices(pool, k=r.randint(5, 120))) for _ in range(400)]
+    df = util.docs(spark, texts, langs=["en", "de"] * 200)
+    got = []
+    for n in (4, 8, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = lm_scoring.score_documents(df.repartition(n), df.doc_id % 10 != 0).collect()
+        got.append({x.id: (x.base_score, x.score) for x in rows})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for other in got[1:]:
+        assert all(abs(x - y) < 1e-9 * abs(x) for i in got[0] for x, y in zip(got[0][i], other[i]))
+
+
+def test_the_token_before_is_a_context(spark):
+    """After one of the commonest tokens the next one is sure; the model finds out, the base can't."""
+    r = random.Random(6)
+    follow = {w: f"{w}{k}zz" for k, w in enumerate(["aa", "bb", "cc", "dd"])}
+    texts = [" ".join(x for w in r.choices(list(follow), k=40) for x in (w, follow[w])) for _ in range(200)]
+    rows = lm_scoring.score_documents(util.docs(spark, texts), F.col("doc_id") % 10 != 0).where("not train").collect()
+    score, base = sum(x.score for x in rows), sum(x.base_score for x in rows)
+    assert score > 0.72 * base  # knowing the follower would save half of the base's cost
+    for x in rows:
+        assert x.n_bytes == len(texts[x.id].encode()) + 2 and abs(x.bits_per_byte + x.score * math.log2(10) / x.n_bytes) < 1e-9
+
+
+def slot_brute(token, place, state, order, node, bits):
+    """Slot of a node, from the bytes one by one."""
+    mask = (1 << 64) - 1
+    mix = lambda x: int(lm_scoring.sh.mix(np.array([x & mask], np.uint64))[0])
+    cls = state & ((1 << lm_scoring.CLASS_BITS) - 1)
+    if order < lm_scoring.WHOLE:
+        total = sum(token[place - 1 - k] << (8 * k) for k in range(order + 2) if place - 1 - k >= 0)
+        context = mix((total | (cls << 56 if order in lm_scoring.STATED else 0)) + int(lm_scoring.SALT[order]))
+    else:
+        base = int(lm_scoring.sh.BASE)
+        whole = mix(sum(int(lm_scoring.sh.BYTE[b]) * pow(base, k, 1 << 64) for k, b in enumerate(token[:place])) + place * int(lm_scoring.NODE))
+        context = mix((whole ^ ((cls if order == lm_scoring.WHOLE else state) << 56)) + int(lm_scoring.SALT[order]))
+    return ((context + node * int(lm_scoring.NODE)) * 0xBF58476D1CE4E5B9 & mask) >> (64 - bits)
+
+
+def test_counts_against_brute_force():
+    """The count tables hold what going through the bits one by one gives."""
+    bits, r = 16, random.Random(1)
+    rows = [(bytes(r.choices(b"abcde", k=r.randint(0, 7))), r.randrange(64), r.randint(1, 9)) for _ in range(60)]
+    tags = np.zeros(1 << bits, np.uint16)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int64()))], ["tok", "z", "c"])
+    got = {b.column(0)[0].as_py(): lm_scoring.unpacked(b.column(1)[0].as_py()) for b in lm_scoring.count_tables(iter([batch]), tags, bits)}
+    flat = np.zeros(lm_scoring.ORDERS * (2 << bits))
+    for row, (places, values) in got.items():
+        flat[row * lm_scoring.ROW + places.astype(np.int64)] += values
+    expected = np.zeros_like(flat)
+    for token, state, c in rows:
+        coded = token + b" " if token else b"\n"
+        for place, byte in enumerate(coded):
+            for j in range(8):
+                node, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
+                for order in range(lm_scoring.ORDERS):
+                    if order != lm_scoring.WHOLE:  # whose nodes need a tag
+                        expected[order * (2 << bits) + (bit << bits) + slot_brute(coded, place, state, order, node, bits)] += c
+    assert (flat == expected).all()
+
+
+def test_mixing_against_brute_force():
+    """Mixed and refined probabilities of tokens, one bit at a time."""
+    rng, bits = np.random.default_rng(3), 16
+    tables = [rng.integers(0, 1 << 16, 1 << bits).astype(np.uint16) for _ in range(lm_scoring.ORDERS)]
+    model = lm_scoring.Model(bits, np.zeros(1 << bits, np.uint16), tables, rng.normal(0.2, 0.1, (lm_scoring.PLACES * 8, lm_scoring.ORDERS, lm_scoring.LEVELS)), rng.uniform(0.01, 0.99, 256 * lm_scoring.STEPS))
+    tokens, states = [b"ab", b"", b"c" * 9], [3, 17, 100]
+    got = lm_scoring.token_scores(tokens, np.array(states), model)
+    for token, state, score in zip(tokens, states, got):
+        coded, total = (token + b" " if token else b"\n"), 0.0
+        for place, byte in enumerate(coded):
+            for j in range(8):
+                node, bit, x = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1, 0.0
+                for order in range(lm_scoring.ORDERS):
+                    n = 0 if order == lm_scoring.WHOLE else int(tables[order][slot_brute(coded, place, state, order, node, bits)])
+                    n0, n1 = 2 ** ((n & 255) / lm_scoring.GRAIN) - 1, 2 ** ((n >> 8) / lm_scoring.GRAIN) - 1
+                    level = min(math.frexp(n0 + n1 + 0.5)[1] // 2, lm_scoring.LEVELS // 2 - 1) + (lm_scoring.LEVELS // 2 if n0 == 0 or n1 == 0 else 0)
+                    x += model.weights[min(place, lm_scoring.PLACES - 1) * 8 + j, order, level] * math.log((n1 + lm_scoring.PRIOR) / (n0 + lm_scoring.PRIOR))
+                x = max(-16.0, min(16.0, x))
+                at = (max(-8.0, min(8.0, x)) + 8) * (lm_scoring.STEPS - 1) / 16
+                low = min(int(at), lm_scoring.STEPS - 2) + (coded[place - 1] if place else 0) * lm_scoring.STEPS
+                far = at - min(int(at), lm_scoring.STEPS - 2)
+                p = (1 / (1 + math.exp(-x)) + model.last[low] * (1 - far) + model.last[low + 1] * far) / 2
+                p = min(max(p, 2**-16), 1 - 2**-16)
+                total += math.log10(p if bit else 1 - p)
+        assert abs(total - score) < 1e-3 * abs(total)
+
+
+def test_a_very_long_token_is_scored(spark):
+    rows = lm_scoring.score_documents(util.docs(spark, ["x" * 300_000, "a b c"]), F.lit(True)).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+
+
 def test_bits_are_a_probability():
     """Over all next bytes of a token the model's probabilities add up to 1."""
     rng = np.random.default_rng(0)
-    tables = [rng.integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in lm_scoring.SLOT_BITS]
-    tags = lm_scoring.tags_of([(b"abc", 0), (b"abd", 1)])
-    model = lm_scoring.Model(tags, tables, lm_scoring.start_weights(), rng.uniform(0.01, 0.99, 256 * lm_scoring.STEPS))
+    tables = [rng.integers(0, 1 << 16, 1 << 16).astype(np.uint16) for _ in range(lm_scoring.ORDERS)]
+    tags = lm_scoring.tags_of([(b"abc", 0), (b"abd", 1)], 16)
+    model = lm_scoring.Model(16, tags, tables, lm_scoring.start_weights(), rng.uniform(0.01, 0.99, 256 * lm_scoring.STEPS))
     total = 0.0
     for byte in range(256):
         data = np.array([97, byte], np.uint8)
@@ -69,7 +169,7 @@ def test_lm_of_nothing(spark):
 
 
 def test_segments_are_causal():
-    teller = lm_scoring.Teller({b"x": 0, b"y": 1}, np.array([[0.0, -3.0], [-3.0, 0.0], [0.0, 0.0]]))
+    teller = lm_scoring.Teller({b"x": 0, b"y": 1}, np.array([[0.0, -3.0], [-3.0, 0.0], [0.0, 0.0]]), {})
     runs = lm_scoring.segments([b"y"] * 4 + [b"x"] * 20, teller)
     assert runs[0] == (0, [b"y"] * 4) and runs[1] == (2, [b"x"] * 12) and runs[2][0] == 1 and [t for _, p in runs for t in p] == [b"y"] * 4 + [b"x"] * 20
 
