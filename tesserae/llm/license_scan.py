@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
 
 WIDTH = 5
 CONTAINMENT = 0.8
-#: Bands of a signature: the BANDS least different shingle hashes of a window (a bottom-k MinHash sketch), each a band of its own.
-#: Templates of up to SHORT shingles are searched in windows of 2 * SHORT = BANDS shingles, whose sketch is the whole window, so a
-#: band is sure to meet. Longer ones are cut into segments of at most LONG and more than LONG / 2 shingles and searched in windows
-#: of 2 * LONG that begin every LONG. A segment at containment 0.8 shares 14 shingles or more with a window that holds it; a shared one
-#: is among the BANDS least of at most 66 with a probability of 32 / 66, and all 14 are missed with less than 0.0001.
-SHORT, LONG, BANDS = 16, 32, 32
-#: So many template shingles are looked up as literals of the plan. A larger library is joined instead.
-LITERALS = 20_000
+#: Hash functions of a MinHash signature, each a band of one row. Templates of U/2 < n <= U shingles are searched in windows of 2U that
+#: begin every U, over those shingles of a text that some template has, so a template that stands in a text lies whole in a window.
+#: At the containment C its Jaccard index with that window is at least C * U/2 / (2U + (1 - C) * U/2) = 0.19, so a band meets with a
+#: probability of 1 - 0.81 ** 64 = 1 - 1.4e-6 or more; templates that stand whole have 0.25 or more: 1 - 1e-8.
+BANDS = 64
+#: Up to so many template shingles (and rows of a few of them) go to every task; a larger library is joined by shuffle.
+LIBRARY = 4_000_000
 
 #: Notices of well-known licenses, by SPDX identifier.
 TEMPLATES = [
@@ -37,6 +36,14 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    # whole license texts
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
 ]
 
 
@@ -56,53 +63,60 @@ def gram(words: Column, at: Column) -> Column:
 
 
 def library(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """Rows (template, license, n, grams, bands): distinct shingles as text, and (class, hash) of every band."""
+    """Rows (template, license, n, size, grams, h): distinct shingles as text and as hashes; size is log2 of the U of the size partition."""
     rows = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, license string, notice string")
     made = rows.withColumn("w", tokens(F.col("notice"))).withColumn("h", hashes(F.col("w")))
     every = F.when(F.size("h") > 0, F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: gram(F.col("w"), i))).otherwise(F.array().cast("array<string>"))
-    # segments are of near equal length, so each has over LONG / 2 shingles; all of a segment's shingles are in its sketch
-    kind = F.when(F.size("h") <= SHORT, F.lit(0)).otherwise(F.lit(1))
-    return made.select("template", "license", F.array_distinct(every).alias("grams"), kind.alias("kind"), F.array_distinct("h").alias("h")).withColumn("n", F.size("grams").cast("long"))
+    out = made.select("template", "license", F.array_distinct(every).alias("grams"), F.array_distinct("h").alias("h")).withColumn("n", F.size("grams").cast("long"))
+    return out.withColumn("size", F.ceil(F.log2("n")).cast("int"))
+
+
+def signatures(rows: DataFrame, *by: str) -> DataFrame:
+    """rows: by, size, h. Rows (by, size, band, key): the least value of the group's shingles under each of BANDS hash functions."""
+    least = [F.min(F.xxhash64(F.lit(k), "h")).alias(f"m{k}") for k in range(BANDS)]
+    mins = rows.groupBy(*by, "size").agg(*least)
+    return mins.select(*by, "size", F.posexplode(F.array(*[f"m{k}" for k in range(BANDS)])).alias("band", "key"))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """Rows (doc, template, license, n_shingles, n_shared, containment): templates whose share of shingles in a text is at least `containment`.
 
     templates: (license, notice) with at least WIDTH words each; template is the number in that list. Null, empty and short texts
-    hold none. Rows of one id count as one text for the pairs they yield (the largest share). Empty tables give no rows.
+    hold none; very long ones are searched whole. Rows of one id count as one text for the pairs they yield (the largest share).
+    Empty tables give no rows.
     """
     spark = docs.sparkSession
     known = common.materialise(library(spark, TEMPLATES if templates is None else templates), "templates")
     if known.where("n = 0").limit(1).count():
         raise ValueError(f"a template needs at least {WIDTH} words")
-    bands = known.select("template", "kind", F.explode("h").alias("band"))
-    sets = {0: [], 1: []}
-    literal = bands.limit(LITERALS + 1).count() <= LITERALS
-    if literal:
-        for r in bands.select("kind", "band").distinct().collect():  # at most LITERALS
-            sets[r["kind"]].append(r["band"])
-    among = lambda x, kinds: x.isin(sorted({b for k in kinds for b in sets[k]})) if literal else F.lit(True)
-
-    base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), tokens(F.col(text_col)).alias("w"))
-    base = base.withColumn("h", hashes(F.col("w")))
-    # windows of 2 * SHORT shingles that begin every SHORT: their sketches together are all shingles
-    short = F.transform(F.filter("h", lambda x: among(x, [0])), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("band")))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("h") - 1) / LONG).cast("int") - F.when(F.size("h") > LONG, 1).otherwise(0)))
-    sketch = lambda s: F.filter(F.slice(F.sort_array(F.array_distinct(F.slice(F.col("h"), s * LONG + 1, 2 * LONG))), 1, BANDS), lambda x: among(x, [1]))
-    long = F.transform(F.flatten(F.transform(starts, sketch)), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("band")))
-    # no filter before the rows are written: pushed down, it would put the words' expression into every lambda
-    found = base.withColumn("bands", F.array_distinct(F.concat(short, long)))
-    near = F.filter(F.transform("h", lambda x, i: F.when(among(x, [0, 1]), i)), lambda i: i.isNotNull())
-    found = found.select("doc", "text_hash", "bands", F.array_distinct(F.transform(near, lambda i: gram(F.col("w"), i))).alias("grams"))
-    found = common.materialise(found, "licensed").where(F.size("bands") > 0)
-
-    pairs = found.select("doc", "text_hash", F.explode("bands").alias("b")).select("doc", "text_hash", F.col("b.kind").alias("k"), F.col("b.band").alias("v"))
-    keys = F.broadcast(bands) if literal else bands
-    met = pairs.join(keys, F.expr("k = kind and v = band")).select("doc", "text_hash", "template").distinct()
-    texts = found.select(F.col("doc").alias("d"), F.col("text_hash").alias("t"), F.col("grams").alias("own")).dropDuplicates(["d", "t"])
-    notices = known.select(F.col("template").alias("m"), "license", "n", "grams")
-    full = met.join(texts, F.expr("doc <=> d and text_hash = t")).join(F.broadcast(notices) if literal else notices, F.expr("template = m"))
-    counted = full.groupBy("doc", "template", "license", F.col("n").alias("n_shingles")).agg(F.max(F.size(F.array_intersect("grams", "own"))).cast("long").alias("n_shared"))
+    few = (known.agg(F.sum("n")).first()[0] or 0) <= LIBRARY
+    wide = lambda df: F.broadcast(df) if few else df
+    shingles = known.select("template", "size", F.explode("h").alias("h"))
+
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    # outer, as a filter for empty arrays would be pushed below and put the expression of the words into every lambda
+    each = texts.select("doc", "text_hash", tokens(F.col("text")).alias("w")).withColumn("hs", hashes(F.col("w"))).select("doc", "text_hash", F.posexplode_outer("hs").alias("pos", "h"))
+    # only shingles that some template has go on: a window's signature over these meets a template's at least as often as over all
+    met = each.join(wide(shingles.select(F.col("h").alias("t")).distinct()), F.expr("h = t")).select("doc", "text_hash", "pos", "h")
+    met = common.materialise(met, "licensed")
+    nth = F.row_number().over(Window.partitionBy("doc", "text_hash").orderBy("pos")) - 1
+    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most 64
+    placed = met.withColumn("nth", nth).withColumn("size", F.explode(F.array(*[F.lit(k) for k in sorted(sizes)])))
+    last = F.expr("cast(shiftrightunsigned(nth, size) as int)")
+    windows = placed.select("doc", "text_hash", "size", "h", F.explode(F.array_distinct(F.array(last, F.greatest(last - 1, F.lit(0))))).alias("window"))
+    bands = signatures(windows, "doc", "text_hash", "window")
+    keys = signatures(shingles, "template").select("template", F.col("size").alias("s"), F.col("band").alias("b"), F.col("key").alias("k"))
+    pairs = common.materialise(bands.join(wide(keys), F.expr("size = s and band = b and key = k")).select("doc", "text_hash", "template").distinct(), "license-pairs")
+
+    # the texts that a band brought near a template, shingle by shingle
+    near = texts.join(pairs.select(F.col("doc").alias("d"), F.col("text_hash").alias("x")).distinct(), F.expr("doc <=> d and text_hash = x"), "left_semi")
+    near = near.select("doc", "text_hash", tokens(F.col("text")).alias("w")).withColumn("hs", hashes(F.col("w")))
+    every = F.array_distinct(F.transform("hs", lambda _, i: gram(F.col("w"), i)))
+    grams = near.select("doc", "text_hash", F.explode_outer(every).alias("gram")).distinct()
+    notices = known.select(F.col("template").alias("m"), "license", "n", F.explode("grams").alias("g"))
+    shared = grams.join(wide(notices), F.expr("gram = g")).groupBy("doc", "text_hash", "m", "license", "n").agg(F.count(F.lit(1)).alias("shared"))
+    sure = pairs.select(F.col("doc").alias("d"), F.col("text_hash").alias("x"), "template")
+    counted = shared.join(sure, F.expr("doc <=> d and text_hash = x and m = template"), "left_semi").groupBy("doc", F.col("m").alias("template"), "license", F.col("n").alias("n_shingles")).agg(F.max("shared").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_shingles")
     return counted.where(share >= containment).withColumn("containment", share)
 
