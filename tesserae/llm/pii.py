@@ -31,6 +31,8 @@ CONTEXT_CHARS, AFTER_CHARS = 48, 16
 PLACE = r"[\p{L}_]+[^\p{L}\p{N}]*"
 #: A pattern is trusted with this much support (sum of its known instances' confidence) and this confidence (that sum by all that it extracts).
 SUPPORT, CONFIDENCE = 3.0, 0.5
+#: Up to so many patterns (some tens of bytes each) go to every task.
+PATTERNS_SENT = 500_000
 #: Matches that are appended to one block, so that the work on a text grows with its matches and not with their square.
 BLOCK = 512
 
@@ -141,11 +143,15 @@ def edges_of(seen: DataFrame) -> DataFrame:
 
 
 def blanks(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """Rows (pattern, places): how often each near pattern stands in the texts, whatever follows it."""
+    """Rows (pattern, places): how often each near pattern stands in the texts, whatever follows it.
+
+    patterns is written before. Places of other patterns are dropped where they are met, so that only counts are shuffled.
+    """
+    few = patterns.limit(PATTERNS_SENT + 1).count() <= PATTERNS_SENT
     at = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(PLACE), F.lit(0))).alias("w"))
-    near = F.concat(F.lit("1"), plain(F.right("w", F.lit(CONTEXT_CHARS))))
-    counted = at.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(near.alias("p"), "n").groupBy("p").agg(F.sum("n").alias("places"))
-    return counted.join(patterns.select("pattern"), F.expr("p = pattern"), "left_semi").withColumnRenamed("p", "pattern")
+    near = at.select(F.concat(F.lit("1"), plain(F.right("w", F.lit(CONTEXT_CHARS)))).alias("p"))
+    wanted = patterns.select("pattern")
+    return near.join(F.broadcast(wanted) if few else wanted, F.expr("p = pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
 
 
 def trusted(edges: DataFrame, places: DataFrame | None = None, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +195,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = common.materialise(edges_of(seen), "edges")
     # near patterns that could reach the support are counted over all texts
     some = edges.where("pattern like '1%'").groupBy("pattern").agg(F.countDistinct("v").alias("n")).where(F.col("n") >= SUPPORT)
-    good, known = trusted(edges, common.materialise(blanks(docs, text_col, some), "places"))
+    good, known = trusted(edges, common.materialise(blanks(docs, text_col, common.materialise(some, "near-patterns")), "places"))
     fresh = seen.where("s is not null")
     led = fresh.join(good.select(F.col("pattern").alias("p1")), F.expr("p1 = concat('1', near)"), "left").join(good.select(F.col("pattern").alias("p2")), F.expr("p2 = concat('2', wide)"), "left")
     named = led.join(known.select(F.col("v").alias("k")), F.expr("v = k"), "left").where("seed or p1 is not null or p2 is not null or k is not null").select("id", "text_hash", "s", "e").distinct()
