@@ -48,10 +48,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again as the next one's input."""
+    """The stages applied to documents, each written to the shared folder and read again as the next one's input.
+
+    What a stage writes on its way, and its input once its output is written, is deleted; the last stage's tables are read by the result.
+    """
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        before = docs
+        with common.scratch():
+            docs = common.keep(common.materialise(stage(spark, docs, sf_dir), name))
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +28,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tesserae_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Whatever materialise() writes within is deleted at the end, but for tables that the caller takes out of the list with keep()."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for df in _scopes.pop():
+            discard(df)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Takes a materialised table out of the scope at hand, so that it stays; an outer scope has it then."""
+    if _scopes:
+        _scopes[-1][:] = [x for x in _scopes[-1] if x is not df]
+        if len(_scopes) > 1:
+            _scopes[-2].append(df)
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing reads it any more."""
     path = getattr(df, "_tesserae_path", None)
