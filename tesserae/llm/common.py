@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.lineage import discard, materialise
+from tesserae.functions.lineage import discard, keep, materialise, scratch
 
-__all__ = ["discard", "materialise", "table", "ascii_lower", "words", "word_count", "text_hash", "unit", "without", "row_hash"]
+__all__ = ["discard", "keep", "materialise", "scratch", "table", "ascii_lower", "words", "word_count", "text_hash", "unit", "without", "row_hash"]
 
 #: The six ASCII whitespace characters that separate words, as a regex class and as text.
 WHITE_CLASS = r"[\x20\x09-\x0D]"
