@@ -103,20 +103,35 @@ class Net:
         return np.concatenate([(z.T @ back).ravel(), back.sum(0), slope @ h, [slope.sum()]])
 
 
+#: Vectors that the driver adds up at last, whatever the number of partitions.
+FAN = 8
+
+
 def sums(table: DataFrame, work) -> np.ndarray:
-    """The sum over all partitions of what work(x, kind) returns: a vector of fixed length."""
+    """The sum over all partitions of what work(x, kind) returns: a vector of fixed length. Partitions are added in their order, in FAN groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         total = None
         for b in batches:
             if b.num_rows:
                 part = work(matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False))
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["p", "v"])
 
-    found = table.select("x", "kind").mapInArrow(run, "v binary").collect()  # one vector of fixed length for each partition
-    return np.sum([np.frombuffer(r["v"]) for r in found], axis=0)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = None, None
+        for b in batches:
+            for p, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                first, total = (p, np.frombuffer(v).copy()) if total is None else (first, total + np.frombuffer(v))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["p", "v"])
+
+    each = table.select("x", "kind").mapInArrow(run, "p int, v binary")
+    found = each.repartition(FAN, F.col("p") % FAN).sortWithinPartitions("p").mapInArrow(add, "p int, v binary").collect()  # FAN vectors of fixed length at most
+    return np.sum([np.frombuffer(r["v"]) for r in sorted(found, key=lambda r: r["p"])], axis=0)
 
 
 def sigmoid(f: np.ndarray) -> np.ndarray:
@@ -166,6 +181,15 @@ def class_prior(net: Net, table: DataFrame) -> float:
     return float(np.clip(ratio, 0.02, 0.98))
 
 
+def risk_direction(total: np.ndarray, prior: float) -> np.ndarray:
+    """Where the non-negative risk falls, from the sums of descend(): rows (count, loss, gradient) of both halves of the positives as class 1, the
+    same as class 0, and of the unlabelled as class 0. Where the negatives' risk comes out below 0, its own gradient is gone up."""
+    n = max(1.0, total[0, 0] + total[1, 0])
+    as_one, as_zero, unlabelled = (total[0] + total[1]) / n, (total[2] + total[3]) / n, total[4] / max(1.0, total[4, 0])
+    negative = unlabelled - prior * as_zero  # its loss estimates the negatives' risk, which can't be below 0
+    return prior * as_one[2:] + negative[2:] if negative[1] >= 0 else -negative[2:]
+
+
 def fit(table: DataFrame) -> tuple[Net, float]:
     """table: x, kind (0 unlabelled, 1 and 2 trusted positives). Returns the net and the estimated class prior."""
     moments = sums(table, lambda x, kind: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]))
@@ -180,14 +204,8 @@ def fit(table: DataFrame) -> tuple[Net, float]:
 
     prior = class_prior(descend(Net(mean, scale), table, against, ROUNDS // 2), table)
 
-    def risk(total: np.ndarray) -> np.ndarray:
-        n = max(1.0, total[0, 0] + total[1, 0])
-        as_one, as_zero, unlabelled = (total[0] + total[1]) / n, (total[2] + total[3]) / n, total[4] / max(1.0, total[4, 0])
-        negative = unlabelled - prior * as_zero  # its loss estimates the negatives' risk, which can't be below 0
-        return prior * as_one[2:] + negative[2:] if negative[1] >= 0 else -negative[2:]
-
     assert size == len(against(np.zeros((5, 2 + size))))
-    return descend(Net(mean, scale), table, risk, ROUNDS), prior
+    return descend(Net(mean, scale), table, lambda total: risk_direction(total, prior), ROUNDS), prior
 
 
 def scores(featured: DataFrame, net: Net) -> DataFrame:

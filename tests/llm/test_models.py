@@ -210,3 +210,53 @@ def test_classifier_without_labels_or_texts(spark):
     assert quality_classifier.classify(util.docs(spark, []), none, F.lit(True)).count() == 0
     rows = quality_classifier.classify(util.docs(spark, util.odd_texts()), none, F.lit(True)).collect()
     assert len(rows) == len(util.odd_texts()) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_risk_and_gradient_against_brute_force(spark, monkeypatch):
+    """One step's sums, and the direction of the non-negative risk, against losses row by row and finite differences."""
+    rng = np.random.default_rng(5)
+    x, kind = rng.normal(0, 1, (60, quality_classifier.FEATURES)), rng.integers(0, 3, 60)
+    table = spark.createDataFrame([(list(map(float, r)), int(k)) for r, k in zip(x, kind)], "x array<float>, kind int").repartition(7)
+    net, seen = quality_classifier.Net(np.zeros(quality_classifier.FEATURES), np.ones(quality_classifier.FEATURES)), []
+    quality_classifier.descend(net, table, lambda total: seen.append(total) or np.zeros(len(net.theta)), 1)
+    x = x.astype(np.float32).astype(float)
+
+    def loss(theta, rows, sign):
+        f = quality_classifier.Net(net.mean, net.scale, theta).forward(x[rows])[2]
+        return sum(math.log1p(math.exp(-v if sign else v)) for v in f)
+
+    groups = [(kind == 1, 1), (kind == 2, 1), (kind == 1, 0), (kind == 2, 0), (kind == 0, 0)]
+    for got, (rows, sign) in zip(seen[0], groups):
+        assert got[0] == rows.sum() and abs(got[1] - loss(net.theta, rows, sign)) < 1e-6
+        for k in rng.integers(0, len(net.theta), 12):
+            step = np.zeros(len(net.theta))
+            step[k] = 1e-5
+            assert abs(got[2 + k] - (loss(net.theta + step, rows, sign) - loss(net.theta - step, rows, sign)) / 2e-5) < 1e-4
+
+    def risk(theta, prior):
+        """(positives' part, negatives' part) of the unbiased risk."""
+        p = kind > 0
+        return prior * loss(theta, p, 1) / p.sum(), loss(theta, ~p, 0) / (~p).sum() - prior * loss(theta, p, 0) / p.sum()
+
+    for prior in (0.1, 0.98):
+        got, negative = quality_classifier.risk_direction(seen[0], prior), risk(net.theta, prior)[1]
+        for k in rng.integers(0, len(net.theta), 12):
+            step = np.zeros(len(net.theta))
+            step[k] = 1e-5
+            up, down = risk(net.theta + step, prior), risk(net.theta - step, prior)
+            expected = (sum(up) - sum(down)) / 2e-5 if negative >= 0 else -(up[1] - down[1]) / 2e-5
+            assert abs(got[k] - expected) < 1e-4
+    below = seen[0].copy()
+    below[4, 1] = 0.0  # unlabelled texts without loss: the negatives' risk is below 0
+    flat = quality_classifier.risk_direction(below, 0.5)
+    n = max(1.0, below[2, 0] + below[3, 0])
+    assert np.allclose(flat, -(below[4, 2:] / max(1.0, below[4, 0]) - 0.5 * (below[2, 2:] + below[3, 2:]) / n))
+
+
+def test_class_prior_of_known_shares(spark):
+    """Unlabelled rows of which 30 % are like the positives, and ties of scores."""
+    rng = np.random.default_rng(8)
+    row = lambda good: [float(good * 3 + v) for v in rng.normal(0, 0.5, quality_classifier.FEATURES)]
+    rows = [(row(k % 10 < 3), 0) for k in range(2000)] + [(row(True), 1 + k % 2) for k in range(800)] + [([0.0] * quality_classifier.FEATURES, 0)] * 20
+    _, prior = quality_classifier.fit(spark.createDataFrame(rows, "x array<float>, kind int"))
+    assert 0.25 < prior < 0.36

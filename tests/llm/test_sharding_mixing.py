@@ -111,3 +111,80 @@ def test_rounding_keeps_expectations(spark):
         for r in mixing.round_tree(rows, seed).collect():
             hits[r.row.k] += r.bit
     assert 0.24 < sum(hits.values()) / (40 * 12) < 0.36 and len(hits) > 30
+
+
+MASK = (1 << 64) - 1
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+
+def rotl(x, n):
+    return ((x << n) | (x >> (64 - n))) & MASK
+
+
+def hashed(*values):
+    """xxhash64 of ints (value, 4) and longs (value, 8), chained as Spark does."""
+    seed = 42
+    for v, width in values:
+        if width == 4:
+            h = (seed + P5 + 4) & MASK
+            h ^= ((v & 0xFFFFFFFF) * P1) & MASK
+            h = (rotl(h, 23) * P2 + P3) & MASK
+        else:
+            h = (seed + P5 + 8) & MASK
+            h ^= (rotl(((v & MASK) * P2) & MASK, 31) * P1) & MASK
+            h = (rotl(h, 27) * P1 + P4) & MASK
+        h ^= h >> 33
+        h = (h * P2) & MASK
+        h ^= h >> 29
+        h = (h * P3) & MASK
+        seed = h ^ (h >> 32)
+    return seed
+
+
+def fold_brute(units, seed, level):
+    """units of (p, size, key, row): (row, bit) of the settled ones, and the one that is left."""
+    done, left = [], units[0]
+    for x in units[1:]:
+        if left[0] <= 1e-12 or left[0] >= 1 - 1e-12:
+            done.append((left[3], left[0] > 0.5))
+            left = x
+            continue
+        u = (hashed((seed, 4), (level, 4), (left[2], 8), (x[2], 8)) >> 11) * 2.0**-53
+        up, down = min((1 - left[0]) * left[1], x[0] * x[1]), min(left[0] * left[1], (1 - x[0]) * x[1])
+        m = up if u * (up + down) < down else -down
+        a, b = left[0] + m / left[1], x[0] - m / x[1]
+        if a <= 1e-12 or a >= 1 - 1e-12:
+            done.append((left[3], a > 0.5))
+            left = (b, *x[1:])
+        else:
+            done.append((x[3], b > 0.5))
+            left = (a, *left[1:])
+    return done, left
+
+
+def test_fold_against_brute_force(spark):
+    r = random.Random(9)
+    for seed in (0, 5):
+        units = [(r.choice([0.0, r.random(), r.random()]), float(r.randint(1, 50)), r.randrange(-(1 << 63), 1 << 63), k) for k in range(80)]
+        df = spark.createDataFrame([(units,)], "units array<struct<p:double,size:double,key:long,row:long>>")
+        got = df.select(F.expr(mixing.fold(seed, 2)).alias("got")).first().got
+        done, left = fold_brute(units, seed, 2)
+        assert [(d.row, d.bit) for d in got.done] == done and got.left.row == left[3] and abs(got.left.p - left[0]) < 1e-9
+
+
+def test_shards_are_those_of_lpt_over_the_groups(spark):
+    """Groups too large for a bundle are scheduled by themselves: all of them here."""
+    r = random.Random(3)
+    texts = ["x" * n for n in r.sample(range(500, 4000), 150)]
+    df = util.docs(spark, texts * 2)
+    got = sharding.assign_shards(df, F.octet_length("text") + 1, F.col("text"), [F.col("doc_id")], prefix="to_").collect()
+    expected = sharding.lpt([(2 * (len(t) + 1), t) for t in texts], 16)
+    assert {x.text: x.to_shard for x in got} == expected
+
+
+def test_sources_are_numbered_across_ranges(spark):
+    rows = [(f"host{k:04d}", 1 + k % 7) for k in range(500)] + [(None, 3)]
+    got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    names = sorted(x for x, _ in rows if x) + [None]
+    expected = water([dict(rows)[n] for n in names], [(5, 2, 1)[k % 3] for k in range(len(names))])
+    assert all(abs(got[n] - expected[k]) < 1e-6 for k, n in enumerate(names))
