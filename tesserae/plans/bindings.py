@@ -827,15 +827,13 @@ def a11_boxes(spark, sf_dir):
     """
 WITH RECURSIVE l AS (
   SELECT DISTINCT a, b FROM (SELECT l_suppkey AS a, 100000 + l_partkey AS b FROM lineitem UNION ALL SELECT 100000 + l_partkey, l_suppkey FROM lineitem)),
-r0 AS (SELECT 1::BIGINT AS node),
-r1 AS (SELECT node, 0 AS round FROM r0 UNION ALL SELECT a, 1 FROM (SELECT a, count(*) AS n FROM l WHERE b IN (SELECT node FROM r0) GROUP BY a) WHERE n >= 1 AND a NOT IN (SELECT node FROM r0)),
-r2 AS (SELECT * FROM r1 UNION ALL SELECT a, 2 FROM (SELECT a, count(*) AS n FROM l WHERE b IN (SELECT node FROM r1) GROUP BY a) WHERE n >= 1 AND a NOT IN (SELECT node FROM r1))
-SELECT node, round FROM r2
+r AS (SELECT 1::BIGINT AS node, 0 AS round UNION SELECT l.a, round + 1 FROM r JOIN l ON l.b = r.node WHERE round < 64)
+SELECT node, min(round) AS round FROM r GROUP BY node
 """,
 )
 def g2_expansion(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b")).distinct()
-    return graph.expand(spark.createDataFrame([(1,)], "node long"), l, 1, 2)
+    return graph.expand(spark.createDataFrame([(1,)], "node long"), l, 1)
 
 
 @query(
@@ -1214,9 +1212,23 @@ def r15_evidence_ratio(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(F.coalesce(ok, F.lit(False)).cast("int")), 6).alias("share"))
 
 
-@query("w7_spread_views")
+def spread_sql(extra: int = 4) -> str:
+    """The greedy choice, one step after another: gaps to the chosen so far, then the widest."""
+    parts = [
+        """v AS (SELECT label::VARCHAR AS object, vec_id::INT AS frame, embedding[4]::DOUBLE AS score, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)""",
+        "c0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object ORDER BY score DESC, frame) AS k FROM v) WHERE k = 1)",
+    ]
+    for n in range(extra):
+        far = f"sqrt((v.x - c{n}.x) ** 2 + (v.y - c{n}.y) ** 2 + (v.z - c{n}.z) ** 2)"
+        gap, more = (f"least(g{n - 1}.gap, {far})", f" JOIN g{n - 1} ON g{n - 1}.object = v.object AND g{n - 1}.frame = v.frame") if n else (far, "")
+        parts.append(f"g{n} AS (SELECT v.*, {gap} AS gap FROM v JOIN c{n} ON c{n}.object = v.object{more})")
+        parts.append(f"c{n + 1} AS (SELECT object, frame, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY object ORDER BY gap DESC, frame) AS k FROM g{n}) WHERE k = 1 AND gap > 0)")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT 'clip' AS clip_id, object, frame AS frame_index, {n} AS rank FROM c{n}" for n in range(extra + 1))
+
+
+@query("w7_spread_views", spread_sql())
 def w7_spread_views(spark, sf_dir):
-    """Greedy farthest views by label; order is the semantics, so there is no SQL form."""
+    """Greedy farthest views by label; order is the semantics."""
     from tesserae.operators import objects
 
     e = table(spark, sf_dir, "embeddings")

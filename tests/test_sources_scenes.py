@@ -1,11 +1,10 @@
-"""Readers, artifacts, objects, depth and the runner."""
+"""Readers, artifacts, objects, depth and cameras."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import dense, objects
-from tesserae.plans import runner
 from tesserae.sources import artifacts, fixtures, sparse_text
 
 
@@ -66,27 +65,6 @@ def test_depth_points_of_a_clip(spark):
     assert got.where("support < 2 or depth < 3 or depth > 12.001").count() == 0
 
 
-def test_runner_reuses_retries_and_blocks():
-    calls = []
-
-    class Flaky:
-        def execute(self, name, operation, inputs):
-            calls.append(name)
-            if name == "bad" or (name == "b" and calls.count("b") == 1):
-                raise RuntimeError("no")
-            return name + "".join(map(str, inputs.values()))
-
-    ops = {"a": runner.Operation("k"), "b": runner.Operation("k", "x", ["a"], 2), "bad": runner.Operation("k", "y", ["a"]), "c": runner.Operation("k", "", ["bad"]), "d": runner.Operation("k", "", ["b"])}
-    out = runner.run(ops, Flaky())
-    assert {n: o["state"] for n, o in out.items()} == {"a": "done", "b": "done", "bad": "failed", "c": "blocked", "d": "done"} and out["b"]["attempts"] == 2
-    assert out["d"]["result"] == "dba"
-    calls.clear()
-    again = runner.run(ops, Flaky(), {n: (o["identity"], o["result"]) for n, o in out.items() if o["state"] == "done"})
-    assert again["d"]["state"] == "reused" and set(calls) == {"bad"}
-    assert runner.waves(ops) == [["a"], ["b", "bad"], ["c", "d"]]
-    assert runner.run(ops, Flaky(), canceled=lambda: True)["a"]["state"] == "canceled"
-
-
 @pytest.mark.parametrize("scenario", ["lateral", "revisit"])
 def test_cameras_of_a_generated_clip(scenario):
     """From exact tracks with half a pixel of noise: all frames, centers true up to a similarity."""
