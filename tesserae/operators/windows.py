@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +34,35 @@ def runs(df: DataFrame, by: list, value: Column) -> DataFrame:
 def budget_marks(df: DataFrame, by: list, order: str, spend: str, weak: str, budget: float) -> DataFrame:
     """Keyframes by a resettable budget: spends add up until the budget is reached, which marks the row and starts anew; a weak row resets.
 
-    A fold over each group's ordered array; groups are clips, small by nature.
+    The rows of a group lie together in their order, and the sum is carried from batch to batch, so a task holds one batch however
+    long the group is. Null keys are a group of their own; rows of equal order follow each other as they come.
     """
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(spend).alias("s"), F.col(weak).alias("w")))).alias("r"))
-
-    def step(acc: Column, x: Column) -> Column:
-        total = F.when(x["w"], F.lit(0.0)).otherwise(acc["t"] + x["s"])
-        full = total >= budget
-        return F.struct(F.when(full, 0.0).otherwise(total).alias("t"), (acc["n"] + full.cast("int")).alias("n"), F.when(full, F.array_append(acc["m"], x["o"])).otherwise(acc["m"]).alias("m"))
-
-    kind = df.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("m"))
-    return rows.select(*by, F.aggregate("r", start, step).alias("f")).select(*by, F.col("f.n").cast("long").alias("marks"), F.col("f.m").alias("at"))
+    rows = df.select(*by, F.col(order).alias("_o"), F.col(spend).cast("double").alias("_s"), F.coalesce(F.col(weak), F.lit(False)).alias("_w"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"_o {kinds['_o']}"])
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, 0.0
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(n))))
+            at, orders = [], []
+            for i, (k, s, w) in enumerate(zip(keys, b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist())):
+                if (k,) != key:
+                    key, total = (k,), 0.0
+                    at.append(i)
+                    orders.append(None)  # one row without a place for each group, so that none is lost
+                total = 0.0 if w else total + (s or 0.0)
+                if total >= budget:
+                    total = 0.0
+                    at.append(i)
+                    orders.append(i)
+            if at:
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(n)), b.column(n).take(pa.array(orders, pa.int64()))], [*by, "_o"])
+
+    marked = rows.repartition(*by).sortWithinPartitions(*by, "_o").mapInArrow(run, schema)
+    return marked.groupBy(*by).agg(F.count("_o").alias("marks"), F.array_sort(F.collect_list("_o")).alias("at"))
 
 
 def intervals(df: DataFrame, by: list, order: list, time: str, asked: str | None = None) -> DataFrame:
