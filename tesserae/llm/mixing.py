@@ -49,13 +49,10 @@ def numbered(each: DataFrame) -> DataFrame:
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = common.materialise(each.repartitionByRange(most, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "mix-ranges")
     sizes = {r["range"]: r["n"] for r in dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a partition
-    starts, at = [], 0
-    for k in sorted(sizes):
-        starts.append((k, at))
-        at += sizes[k]
-    begun = spark.createDataFrame(starts, "r int, start long")
+    starts = [sum(n for j, n in sizes.items() if j < k) for k in range(max(sizes, default=0) + 1)]
     within = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
-    return dealt.withColumn("within", within).join(F.broadcast(begun), F.expr("range = r")).withColumn("nth", F.col("start") + F.col("within")).drop("range", "within", "r", "start")
+    start = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("range"))
+    return dealt.withColumn("nth", start + within).drop("range")
 
 
 def fold(seed: int, level: int) -> str:
