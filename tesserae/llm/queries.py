@@ -16,6 +16,7 @@ from tesserae.llm.pii import op7_pii
 from tesserae.llm.quality_classifier import op8_quality_classifier
 from tesserae.llm.quality_rules import OP5_SQL, op5_quality_rules
 from tesserae.llm.sharding import op10_sharding
+from tesserae.llm.whitening import op12_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
+        "op12_whitening": op12_whitening,
     }
 
 
