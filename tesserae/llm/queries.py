@@ -12,6 +12,7 @@ from tesserae.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tesserae.llm.lm_scoring import op3_lm_scoring
 from tesserae.llm.mixing import op9_mixing
 from tesserae.llm.near_dedup import op6_near_dedup
+from tesserae.llm.packing import op11_packing
 from tesserae.llm.pii import op7_pii
 from tesserae.llm.quality_classifier import op8_quality_classifier
 from tesserae.llm.quality_rules import OP5_SQL, op5_quality_rules
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
+        "op11_packing": op11_packing,
         "op12_whitening": op12_whitening,
     }
 
