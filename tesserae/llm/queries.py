@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.llm.collocations import OP13_SQL, op13_collocations
 from tesserae.llm.decontamination import OP1_SQL, op1_decontamination
 from tesserae.llm.license_scan import OP2_SQL, op2_license_scan
 from tesserae.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_packing": op11_packing,
         "op12_whitening": op12_whitening,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": OP2_SQL,
         "op4_line_dedup": OP4_SQL,
         "op5_quality_rules": OP5_SQL,
+        "op13_collocations": OP13_SQL,
     }
