@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,44 +19,94 @@ from tesserae.llm.shingles import mix
 
 #: Buckets of a hashed document vector, dimensions it is projected to, and bits of each on the curve (60 in all).
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
-#: Different runs of text whose ids a task keeps, each of at most CACHED_BYTES; a full cache is emptied.
-CACHED, CACHED_BYTES = 200_000, 48
+#: Different runs of text whose ids a Python worker keeps, each of at most CACHED_BYTES; as many older ones wait to be asked for again.
+CACHED, CACHED_BYTES = 300_000, 48
 #: A text is cut at white space into runs in steps of so many bytes.
 STEP = 1 << 20
 
 _WHITE = re.compile(rb"[\x20\x09-\x0D]")
+#: ASCII letters, and ASCII marks and digits: a text is cut between one of the first and one of the second, too.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+
+
+_MARKS = bytes(np.flatnonzero(_MARK).astype(np.uint8))
+
+
+def runs(text: bytes) -> list[bytes]:
+    data = np.frombuffer(text, np.uint8)
+    return np.insert(data, np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1, 32).tobytes().split()
 
 
 class Ids(dict):
-    """The ids of runs without white space, as bytes, made when first asked for.
+    """The ids of runs of text, as bytes, made when first asked for.
 
-    The tokenizer splits at white space first, so a text's ids are those of its runs, one after the other.
+    The tokenizer splits at white space, and where letters end, before it merges, so a text's ids are those of its runs, one after the
+    other. In a text that may hold a special token only white space is a place to cut. Runs of ASCII letters go to the tokenizer's
+    model, lower-cased as it would do it. A full cache becomes the older generation; what is
+    found there moves back. A tokenizer that works otherwise (PROBES tell) gets whole texts.
     """
 
+    PROBES = ("ab", "ab cd", "Ab. cd's\tEf", "x1,y", "z\n\nq!?")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = self.dtype.char
+        self.older: dict[bytes, bytes] = {}
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_runs = all(encode(p) == [i for r in runs(p.lower().encode()) for i in encode(r.decode())] for p in self.PROBES)
+        self.direct = self.by_runs and all([t.id for t in self.tokenizer.model.tokenize(w)] == encode(w) for w in ("ab", "word", "tokenizers"))
+
+    def encode(self, run: bytes) -> bytes:
+        """Ids of a run. If it is ASCII, small letters go to the model, and marks before them are a run of their own unless they may begin 's or the like."""
+        if self.direct and run.isascii():
+            run = run.lower()
+            letters = run.lstrip(_MARKS)
+            marks = run[: len(run) - len(letters)]
+            if letters.isalpha() and not marks:
+                return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters.decode())]).tobytes()
+            if letters.isalpha() and not marks.endswith(b"'"):
+                return self[marks] + self[letters]
+        return self.whole(run)
+
+    def whole(self, text: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, run: bytes) -> bytes:
-        made = np.array(self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+        made = self.older.get(run)
+        if made is None:
+            made = self.encode(run) if b"<|" not in run else self.whole(run)
         if len(run) <= CACHED_BYTES:
             if len(self) >= CACHED:
+                self.older = dict(self)
                 self.clear()
             self[run] = made
         return made
 
     def of(self, text: bytes) -> bytes:
+        if not self.by_runs:
+            return self.whole(text)
         out, start = [], 0
+        plain = b"<|" not in text
         while start < len(text):
             end = _WHITE.search(text, start + STEP)
             end = end.start() if end else len(text)
-            out.append(b"".join(map(self.__getitem__, text[start:end].split())))
+            part = text[start:end]
+            out.append(b"".join(map(self.__getitem__, runs(part) if plain else part.split())))
             start = end
         return b"".join(out)
 
 
+@functools.cache
+def ids_of(path: str) -> Ids:
+    """One for all tasks of a Python worker."""
+    return Ids(path)
+
+
 def projection() -> np.ndarray:
     return np.random.default_rng(11).normal(size=(BUCKETS, DIMENSIONS))
 
@@ -109,7 +161,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """docs (id, text) -> id, n, ids (bytes), c0.. (coordinates)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, onto = Ids(path), projection()
+        ids, onto = ids_of(path), projection()
         end = np.array([end_id], ids.dtype).tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):

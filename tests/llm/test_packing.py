@@ -34,7 +34,7 @@ def test_cuts_need_no_padding():
 def test_runs_give_the_ids_of_whole_texts(monkeypatch):
     whole = Tokenizer.from_file(PATH)
     r = random.Random(1)
-    texts = [t or "" for t in util.odd_texts()] + ["It's <|endoftext|> A.B c1d2 x y", "é É ́ a", "\x1c\x1d a\x85b", "’s 'S're", "ﬁ ΑΣ ΌΣΟΣ. İ ǅ", "a" * 3000]
+    texts = [t or "" for t in util.odd_texts()] + ["It's <|endoftext|> A.B c1d2 x y", "é É ́ a", "\x1c\x1d a\x85b", "’s 'S're", "T̈ Ï ü. İ", "<|EndOfText|> a.<|endoftext|>b", "aΣ.Σ,b…,c", "ﬁ ΑΣ ΌΣΟΣ. İ ǅ", "a" * 3000]
     texts += ["".join(r.choice("abZ 'É́\t\n1 .ß漢€") for _ in range(300)) for _ in range(60)]
     monkeypatch.setattr(packing, "STEP", 50)
     monkeypatch.setattr(packing, "CACHED", 40)
@@ -43,6 +43,14 @@ def test_runs_give_the_ids_of_whole_texts(monkeypatch):
         assert np.frombuffer(ids.of(t.encode()), ids.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, ids = Tokenizer.from_file(path), packing.Ids(path)
+    assert not ids.by_runs and packing.Ids(PATH).direct
+    for t in ("one two  three\n\n", "", "É x"):
+        assert np.frombuffer(ids.of(t.encode()), ids.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def check(rows, texts, length=4096):
     whole = Tokenizer.from_file(PATH)
     parts, sequences = defaultdict(list), defaultdict(list)
