@@ -20,7 +20,7 @@ from tesserae.llm.shingles import mix
 #: Buckets of a hashed document vector, dimensions it is projected to, and bits of each on the curve (60 in all).
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
 #: Different runs of text whose ids a Python worker keeps, each of at most CACHED_BYTES; as many older ones wait to be asked for again.
-CACHED, CACHED_BYTES = 300_000, 48
+CACHED, CACHED_BYTES = 160_000, 48
 #: A text is cut at white space into runs in steps of so many bytes.
 STEP = 1 << 20
 
@@ -31,6 +31,8 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _MARK[0x21:0x7F] = ~_LETTER[0x21:0x7F]
 
 
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones of Latin-1 for themselves, the others from 256 on in order.
+_SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
 _MARKS = bytes(np.flatnonzero(_MARK).astype(np.uint8))
 
 
@@ -43,7 +45,7 @@ class Ids(dict):
     """The ids of runs of text, as bytes, made when first asked for.
 
     The tokenizer splits at white space, and where letters end, before it merges, so a text's ids are those of its runs, one after the
-    other. In a text that may hold a special token only white space is a place to cut. Runs of ASCII letters go to the tokenizer's
+    other. In a text that may hold a special token only white space is a place to cut. Runs of Latin letters go to the tokenizer's
     model, lower-cased as it would do it. A full cache becomes the older generation; what is
     found there moves back. A tokenizer that works otherwise (PROBES tell) gets whole texts.
     """
@@ -60,17 +62,20 @@ class Ids(dict):
         encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_runs = all(encode(p) == [i for r in runs(p.lower().encode()) for i in encode(r.decode())] for p in self.PROBES)
         self.direct = self.by_runs and all([t.id for t in self.tokenizer.model.tokenize(w)] == encode(w) for w in ("ab", "word", "tokenizers"))
+        self.direct = self.direct and [t.id for t in self.tokenizer.model.tokenize("é".encode().decode("latin-1").translate(_SHOWN))] == encode("é")
 
     def encode(self, run: bytes) -> bytes:
-        """Ids of a run. If it is ASCII, small letters go to the model, and marks before them are a run of their own unless they may begin 's or the like."""
-        if self.direct and run.isascii():
-            run = run.lower()
+        """Ids of a run. Latin letters go to the model; ASCII marks before them are a run of their own unless they may begin 's or the like."""
+        if self.direct:
             letters = run.lstrip(_MARKS)
-            marks = run[: len(run) - len(letters)]
-            if letters.isalpha() and not marks:
-                return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters.decode())]).tobytes()
-            if letters.isalpha() and not marks.endswith(b"'"):
-                return self[marks] + self[letters]
+            text = letters.decode("utf-8", "replace").lower()
+            if text.isalpha() and max(text) < "\u0250":
+                if len(letters) == len(run):
+                    seen = text if text.isascii() else text.encode().decode("latin-1").translate(_SHOWN)
+                    return array(self.code, [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+                marks = run[: len(run) - len(letters)]
+                if not marks.endswith(b"'"):
+                    return self[marks] + self[letters]
         return self.whole(run)
 
     def whole(self, text: bytes) -> bytes:
@@ -92,6 +97,8 @@ class Ids(dict):
             return self.whole(text)
         out, start = [], 0
         plain = b"<|" not in text
+        if plain and text and np.frombuffer(text, np.uint8).max() < 0xCC:  # nothing that could combine with a letter before it
+            text = text.lower()
         while start < len(text):
             end = _WHITE.search(text, start + STEP)
             end = end.start() if end else len(text)
