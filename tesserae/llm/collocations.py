@@ -16,7 +16,7 @@ from tesserae.llm import common
 from tesserae.llm.shingles import mix, powers
 
 #: Bytes of text that a task hashes at a time, and rows that it combines before it hands them on.
-CHUNK, COMBINE = 4 << 20, 1 << 20
+CHUNK, COMBINE = 1 << 20, 1 << 18
 #: Bits of a filter of what is frequent, as a power of two: 16 MB. A full filter only lets more candidates through.
 FILTER_BITS = 27
 #: Candidates of one block of the hash, about.
@@ -140,20 +140,42 @@ class Filter:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """lang, word, a, b (two hashes), f: how often each word occurs in each language."""
+    """lang, phrase, f: how often each word occurs in each language."""
 
     def run(batches):
         for w, langs in stretches(batches, CHUNK):
             every = np.arange(len(w.starts))
-            a, b = w.keys(every, 1, 0), w.keys(every, 1, 1)
-            rows, n = combined(a, b)
+            rows, n = combined(w.keys(every, 1, 0), w.keys(every, 1, 1))
             names = pa.array([langs[d] for d in w.doc[rows]], pa.string())
             words = pa.array([w.phrase(i, 1) for i in rows.tolist()], pa.string())
-            longs = [pa.array(x[rows].view(np.int64)) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([names, words, *longs, pa.array(n)], ["lang", "word", "a", "b", "f"])
+            yield pa.RecordBatch.from_arrays([names, words, pa.array(n)], ["lang", "phrase", "f"])
 
-    found = texts.mapInArrow(run, "lang string, word string, a long, b long, f long")
-    return found.groupBy("lang", "word").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("f").alias("f"))
+    return texts.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def of_phrases(phrases: list[str], langs: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Phrases as words again: with the first word and the number of words of each."""
+    texts = [p.encode() + b"\n" for p in phrases]
+    w = Words(b"".join(texts), np.cumsum([len(t) for t in texts]), np.array([lang_hash(x) for x in langs], np.uint64))
+    size = np.bincount(w.doc, minlength=len(phrases))
+    return w, np.cumsum(size) - size, size
+
+
+def with_keys(phrases: DataFrame) -> DataFrame:
+    """lang, phrase, words, a, b: phrases (lang, phrase) with their two hashes, which are worked out anew rather than shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            w, first, size = of_phrases(batch.column("phrase").to_pylist(), batch.column("lang").to_pylist())
+            keys = np.zeros((2, len(size)), np.uint64)
+            for k in (1, 2, 3):
+                rows = np.flatnonzero(size == k)
+                for which in (0, 1):
+                    keys[which, rows] = w.keys(first[rows], k, which)
+            arrays = [batch.column("lang"), batch.column("phrase"), pa.array(size.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in keys]]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "words", "a", "b"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "lang string, phrase string, words int, a long, b long")
 
 
 def screened(texts: DataFrame, frequent: Filter, least: int) -> DataFrame:
@@ -196,20 +218,17 @@ def safe(w: Words, pairs: Filter) -> list[tuple[int, np.ndarray]]:
 
 
 def candidates(texts: DataFrame, pairs: Filter) -> DataFrame:
-    """lang, phrase, words, a, b (two hashes): each different safe phrase of two or three words once."""
+    """lang, phrase: each different safe phrase of two or three words once."""
 
     def run(batches):
         for w, langs in stretches(batches, CHUNK):
             for k, at in safe(w, pairs):
-                a, b = w.keys(at, k, 0), w.keys(at, k, 1)
-                rows, _ = combined(a, b)
+                rows, _ = combined(w.keys(at, k, 0), w.keys(at, k, 1))
                 names = pa.array([langs[d] for d in w.doc[at[rows]]], pa.string())
                 text = pa.array([w.phrase(i, k) for i in at[rows].tolist()], pa.string())
-                longs = [pa.array(x[rows].view(np.int64)) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([names, text, pa.array(np.full(len(rows), k, np.int32)), *longs], ["lang", "phrase", "words", "a", "b"])
+                yield pa.RecordBatch.from_arrays([names, text], ["lang", "phrase"])
 
-    found = texts.mapInArrow(run, "lang string, phrase string, words int, a long, b long")
-    return found.groupBy("lang", "phrase").agg(*[F.first(c).alias(c) for c in ("words", "a", "b")])
+    return texts.mapInArrow(run, "lang string, phrase string").distinct()
 
 
 class PerfectHash:
@@ -228,7 +247,7 @@ class PerfectHash:
 
     @staticmethod
     def place(a: np.ndarray, b: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(a ^ mix(b + np.uint64(2 * level + 1) * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(size)).astype(np.int64)
+        return (mix(a ^ mix(b + np.uint64((2 * level + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def build(cls, a: np.ndarray, b: np.ndarray) -> PerfectHash:
@@ -427,10 +446,7 @@ def cuts_here(frequent: DataFrame, counts: DataFrame, hashes, blocks: int) -> Da
         made = unpacked(hashes.value)
         for batch in batches:
             phrases, langs = batch.column("phrase").to_pylist(), batch.column("lang").to_pylist()
-            texts = [p.encode() + b"\n" for p in phrases]
-            w = Words(b"".join(texts), np.cumsum([len(t) for t in texts]), np.array([lang_hash(x) for x in langs], np.uint64))
-            size = batch.column("words").to_numpy()
-            first = np.cumsum(size) - size
+            w, first, size = of_phrases(phrases, langs)
             for words, k in ((2, 1), (3, 1), (3, 2)):
                 rows = np.flatnonzero(size == words)
                 parts = [batch.column(c).take(pa.array(rows)) for c in ("lang", "phrase", "words", "f")]
@@ -467,11 +483,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     texts = docs.select(text.alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
     words = common.materialise(word_counts(texts), "words")
     totals = common.materialise(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    often = words.where(F.col("f") >= least)
+    often = common.materialise(with_keys(words.where(F.col("f") >= least)), "often")
     known = Filter(often, "a", FILTER_BITS)
     pairs = Filter(screened(texts, known, least), "key", FILTER_BITS)
-    every = candidates(texts, pairs).unionByName(often.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a", "b"))
-    every = common.materialise(every, "candidates")
+    every = common.materialise(with_keys(candidates(texts, pairs)).unionByName(often), "candidates")
     size, running = every.count(), totals.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
     table = common.materialise(hashed(every, blocks), "perfect-hash")
