@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,27 @@ def geometric_mean(c: Column) -> Column:
     """exp of the mean log; 0 if any value is 0 or less."""
     positive = F.when(c > 0, F.log(c))
     return F.when(F.min(c) <= 0, F.lit(0.0)).otherwise(F.exp(F.avg(positive)))
+
+
+def at_rank(values: DataFrame, column: str, rank: int, held: int = 10_000) -> float | None:
+    """The value at a rank (from 0) of a whole column without nulls, exactly; null beyond its rows.
+
+    Approximate quantiles about the rank narrow the values down, by counts, until at most `held` are left, or all left are equal.
+    """
+    n = values.count()
+    if not 0 <= rank < n:
+        return None
+    c = F.col(column)
+    while n > held:
+        lo, hi = values.approxQuantile(column, [max(0.0, (rank - n / 100) / n), min(1.0, (rank + n / 100) / n)], 0.005)
+        found = values.agg(F.count_if(c < lo).alias("below"), F.count_if((c >= lo) & (c <= hi)).alias("within")).first()
+        if not found["below"] <= rank < found["below"] + found["within"] or found["within"] == n:
+            lo, hi = values.agg(F.min(c), F.max(c)).first()
+            if lo == hi:
+                return lo
+            middle = (lo + hi) / 2
+            low = values.where(c <= middle).count()
+            values, rank, n = (values.where(c <= middle), rank, low) if rank < low else (values.where(c > middle), rank - low, n - low)
+            continue
+        values, rank, n = values.where(c.between(lo, hi)), rank - found["below"], found["within"]
+    return sorted(r[0] for r in values.select(column).collect())[rank]
