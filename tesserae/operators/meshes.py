@@ -1,39 +1,57 @@
-"""Mesh operators that run to a fix point: moves of vertices that turn no triangle over."""
+"""Mesh operators that run to a fix point: moves of pairs of vertices that keep every triangle's shape."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.lineage import discard, materialise
 
+# Fixed values of the rule: a triangle keeps so much of its area, and its normal so much of its direction; less area than that is none.
+AREA, DIRECTION, FLAT = 0.75, 0.985, 1e-9
 
-def signed(x: str, y: str) -> F.Column:
-    """Twice the signed area of the triangle with corners <x>a, <x>b, <x>c."""
-    return F.expr(f"({x}b - {x}a) * ({y}c - {y}a) - ({x}c - {x}a) * ({y}b - {y}a)")
+
+def normal(prefix: str) -> list[Column]:
+    """Cross product of a triangle's sides ab and ac; columns <prefix><corner><axis>."""
+    d = lambda c, k: f"({prefix}{c}{k} - {prefix}a{k})"
+    return [F.expr(f"{d('b', i)} * {d('c', j)} - {d('b', j)} * {d('c', i)}") for i, j in (("y", "z"), ("z", "x"), ("x", "y"))]
+
+
+def dot(p: list[Column], q: list[Column]) -> Column:
+    return p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
 
 
 def safe_moves(triangles: DataFrame, points: DataFrame, moves: DataFrame) -> DataFrame:
-    """triangles: a, b, c; points: id, x, y; moves: id, dx, dy. The moves that are left once no triangle turns over or collapses.
+    """triangles: tid, a, b, c; points: id, x, y, z; moves: move, first, second, x, y, z (both vertices go there). The moves that are left once no triangle suffers.
 
-    Each round finds the triangles whose signed area would change its sign or vanish under the active moves, and takes back all
-    moves of their corners; rounds end when there is none. A taken-back move can turn a neighbour over, so a round may add some, but active moves
-    only become fewer. Triangles that are flat from the start hold no move back. Vertices without a place leave their triangle out.
+    A triangle at a moved vertex suffers if it was flat, loses over a quarter of its area or turns its normal below 0.985 of its
+    direction. Each round takes back all active moves at the corners of triangles that suffer, since one of them alone may be to blame;
+    rounds end when there is none. A move taken back can harm a neighbour, so a round may add some, but active ones only become
+    fewer. A move of a vertex without a place is dropped, and a triangle with one counts as harmed. Two moves of one vertex: the later
+    one (by `move`) holds for it. The move side is small next to the mesh, so each round starts from the triangles that active moves touch.
     """
-    placed = triangles
+    known = points.select(F.col("id").alias("k"))
+    active = moves.join(known, F.expr("first = k"), "left_semi").join(known, F.expr("second = k"), "left_semi")
+    active = materialise(active, "moves")
+    ends = active.select("move", F.explode(F.array("first", "second")).alias("id"), "x", "y", "z")
+    holds = materialise(ends.groupBy("id").agg(F.max(F.struct("move", "x", "y", "z")).alias("m")).select("id", "m.*"), "holds")
+    touched = triangles.select("tid", "a", "b", "c", F.explode(F.array("a", "b", "c")).alias("id")).join(holds.select("id"), "id", "left_semi").select("tid", "a", "b", "c").distinct()
     for c in "abc":
-        placed = placed.join(points.select(F.col("id").alias(f"i{c}"), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}")), F.expr(f"{c} = i{c}")).drop(f"i{c}")
-    placed = materialise(placed.withColumn("area", signed("x", "y")).where("area <> 0"), "placed")
-    active = materialise(moves, "moves")
+        place = points.select(F.col("id").alias("i"), *[F.col(k).alias(f"p{c}{k}") for k in "xyz"])
+        goal = holds.select(F.col("id").alias("j"), F.col("move").alias(f"m{c}"), *[F.col(k).alias(f"g{c}{k}") for k in "xyz"])
+        touched = touched.join(place, F.expr(f"{c} = i"), "left").drop("i").join(goal, F.expr(f"{c} = j"), "left").drop("j")
+    touched = materialise(touched, "touched")
     while True:
-        moved = placed
+        now = touched
         for c in "abc":
-            step = active.select(F.col("id").alias(f"m{c}"), F.col("dx").alias(f"dx{c}"), F.col("dy").alias(f"dy{c}"))
-            moved = moved.join(step, F.expr(f"{c} = m{c}"), "left")
-            moved = moved.withColumn(f"u{c}", F.col(f"x{c}") + F.coalesce(f"dx{c}", F.lit(0.0))).withColumn(f"v{c}", F.col(f"y{c}") + F.coalesce(f"dy{c}", F.lit(0.0)))
-        bad = moved.where(signed("u", "v") * F.col("area") <= 0).select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
-        stopped = materialise(bad.join(active.select("id"), "id", "left_semi"), "stopped")
+            on = active.select(F.col("move").alias("n"))
+            now = now.join(on, F.expr(f"m{c} = n"), "left").withColumns({f"q{c}{k}": F.expr(f"if(n is null, p{c}{k}, g{c}{k})") for k in "xyz"}).withColumn(f"on{c}", F.col("n")).drop("n")
+        before, after = normal("p"), normal("q")
+        size, new = F.sqrt(dot(before, before)), F.sqrt(dot(after, after))
+        fine = (size > FLAT) & (size < float("inf")) & (new >= size * AREA) & (new < float("inf")) & (dot(before, after) / (size * new) >= DIRECTION)
+        suffers = now.where("ona is not null or onb is not null or onc is not null").where(~F.coalesce(fine, F.lit(False)))
+        stopped = materialise(suffers.select(F.explode(F.array("ona", "onb", "onc")).alias("move")).where("move is not null").distinct(), "stopped")
         if stopped.isEmpty():
             return active
-        old, active = active, materialise(active.join(stopped, "id", "left_anti"), "moves")
+        old, active = active, materialise(active.join(stopped, "move", "left_anti"), "moves")
         discard(old)

@@ -6,23 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def grid_cells(points: DataFrame) -> DataFrame:
-    """points: gx, gy, id, confidence. Cells with the best point (confidence, then lower id) at each of their corners, null where there is none."""
-    best = points.groupBy("gx", "gy").agg(F.max_by("id", F.struct("confidence", -F.col("id"))).alias("id"))
+def best_points(points: DataFrame, by: tuple = ()) -> DataFrame:
+    """points: by, gx, gy, id, confidence. The id that stands for each grid cell: most confidence, then the lower one."""
+    return points.groupBy(*by, "gx", "gy").agg(F.max_by("id", F.struct("confidence", -F.col("id"))).alias("id"))
+
+
+def grid_cells(points: DataFrame, by: tuple = ()) -> DataFrame:
+    """points: by, gx, gy, id, confidence. Cells of each grid with the best point at each of their corners, null where there is none."""
     shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (0, 1) for j in (0, 1)]))
-    at = best.withColumn("s", shifts)
+    at = best_points(points, by).withColumn("s", shifts)
     corner = lambda i, j: F.max(F.when((F.col("s.dx") == i) & (F.col("s.dy") == j), F.col("id"))).alias(f"p{i}{j}")
-    return at.groupBy((F.col("gx") - F.col("s.dx")).alias("cx"), (F.col("gy") - F.col("s.dy")).alias("cy")).agg(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))
+    return at.groupBy(*by, (F.col("gx") - F.col("s.dx")).alias("cx"), (F.col("gy") - F.col("s.dy")).alias("cy")).agg(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))
 
 
-def cell_triangles(cells: DataFrame) -> DataFrame:
+def cell_triangles(cells: DataFrame, by: tuple = ()) -> DataFrame:
     """Triangles of cells with three corners or more: two for a full cell, one for a cell that lacks a corner; (a, b, c) run the same way round."""
     a, b, c, d = (F.col(x) for x in ("p00", "p10", "p01", "p11"))
     tri = lambda *p: F.struct(*[v.alias(n) for v, n in zip(p, "abc")])
     none = F.array().cast("array<struct<a:bigint,b:bigint,c:bigint>>")
     has = lambda *p: F.coalesce(sum(v.isNotNull().cast("int") for v in p) == len(p), F.lit(False))
     made = F.when(has(a, b, c, d), F.array(tri(a, b, c), tri(b, d, c))).when(has(a, b, c), F.array(tri(a, b, c))).when(has(b, d, c), F.array(tri(b, d, c))).when(has(a, b, d), F.array(tri(a, b, d))).when(has(a, d, c), F.array(tri(a, d, c))).otherwise(none)
-    return cells.select("cx", "cy", F.explode(made).alias("t")).select("cx", "cy", "t.*")
+    return cells.select(*by, "cx", "cy", F.explode(made).alias("t")).select(*by, "cx", "cy", "t.*")
 
 
 def triangle_gate(depths: list[Column], signed_area: Column, edges: list[Column], stride: float, focal: float, jump: float = 0.15, reach: float = 3.0, floor: float = 1e-3) -> Column:

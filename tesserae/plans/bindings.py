@@ -852,32 +852,33 @@ def s1_sampling_plan(spark, sf_dir):
     return p.select("doc_id", F.col("frames"), *[F.round(c, 6).alias(c) for c in ("first", "last", "step")])
 
 
-# --- surfaces: lineitem rows as grid points ---
+# --- surfaces: lineitem rows as grid points, a sheet for each supplier ---
 
 GRID = """g AS (
-  SELECT l_quantity::BIGINT AS gx, round(l_discount * 100)::BIGINT AS gy, l_orderkey * 10 + l_linenumber AS id, round(l_tax, 4) AS confidence
+  SELECT l_suppkey AS sheet, l_quantity::BIGINT AS gx, round(l_discount * 100)::BIGINT AS gy, l_orderkey * 10 + l_linenumber AS id, round(l_tax, 4) AS confidence
   FROM lineitem),
-best AS (SELECT gx, gy, id FROM (SELECT *, row_number() OVER (PARTITION BY gx, gy ORDER BY confidence DESC, id) AS k FROM g) WHERE k = 1),
+best AS (SELECT sheet, gx, gy, id FROM (SELECT *, row_number() OVER (PARTITION BY sheet, gx, gy ORDER BY confidence DESC, id) AS k FROM g) WHERE k = 1),
 cells AS (
-  SELECT gx - dx AS cx, gy - dy AS cy, max(CASE WHEN dx = 0 AND dy = 0 THEN id END) AS a, max(CASE WHEN dx = 1 AND dy = 0 THEN id END) AS b,
+  SELECT sheet, gx - dx AS cx, gy - dy AS cy, max(CASE WHEN dx = 0 AND dy = 0 THEN id END) AS a, max(CASE WHEN dx = 1 AND dy = 0 THEN id END) AS b,
          max(CASE WHEN dx = 0 AND dy = 1 THEN id END) AS c, max(CASE WHEN dx = 1 AND dy = 1 THEN id END) AS d
-  FROM best, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) s(dx, dy) GROUP BY 1, 2),
+  FROM best, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) s(dx, dy) GROUP BY 1, 2, 3),
 tri AS (
-  SELECT cx, cy, a, b, c FROM cells WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL
-  UNION ALL SELECT cx, cy, b, d, c FROM cells WHERE b IS NOT NULL AND d IS NOT NULL AND c IS NOT NULL
-  UNION ALL SELECT cx, cy, a, b, d FROM cells WHERE a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL AND c IS NULL
-  UNION ALL SELECT cx, cy, a, d, c FROM cells WHERE a IS NOT NULL AND d IS NOT NULL AND c IS NOT NULL AND b IS NULL)"""
+  SELECT sheet, cx, cy, a, b, c FROM cells WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL
+  UNION ALL SELECT sheet, cx, cy, b, d, c FROM cells WHERE b IS NOT NULL AND d IS NOT NULL AND c IS NOT NULL
+  UNION ALL SELECT sheet, cx, cy, a, b, d FROM cells WHERE a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL AND c IS NULL
+  UNION ALL SELECT sheet, cx, cy, a, d, c FROM cells WHERE a IS NOT NULL AND d IS NOT NULL AND c IS NOT NULL AND b IS NULL)"""
 
 
 def grid_points(spark, sf_dir) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
-    return l.select(F.round("l_quantity").cast("long").alias("gx"), F.round(F.col("l_discount") * 100).cast("long").alias("gy"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.round("l_tax", 4).alias("confidence"))
+    at = F.round("l_quantity").cast("long").alias("gx"), F.round(F.col("l_discount") * 100).cast("long").alias("gy")
+    return l.select(F.col("l_suppkey").alias("sheet"), *at, (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.round("l_tax", 4).alias("confidence"))
 
 
 def grid_triangles(spark, sf_dir) -> DataFrame:
     from tesserae.operators import surface
 
-    return surface.cell_triangles(surface.grid_cells(grid_points(spark, sf_dir)))
+    return surface.cell_triangles(surface.grid_cells(grid_points(spark, sf_dir), ("sheet",)), ("sheet",))
 
 
 @query("r2_grid_mesh", f"WITH {GRID} SELECT * FROM tri")
@@ -1295,6 +1296,6 @@ def p7_confidence(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(c, 6).alias("confidence"))
 
 
-from tesserae.plans import evidence, scenes  # noqa: E402, F401
+from tesserae.plans import evidence, scenes, sheets  # noqa: E402, F401
 
 QUERIES |= scenes.QUERIES

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import stats
-from tesserae.operators import gates, geometry, graph, images, meshes, spatial
-from tesserae.plans.bindings import GRID, POINTS, grid_points, grid_triangles, near_points, query, table
+from tesserae.operators import gates, geometry, graph, images, spatial, surface
+from tesserae.plans.bindings import GRID, POINTS, grid_points, near_points, query, table
 from tesserae.sources import streams
 
 
@@ -57,10 +57,10 @@ def a9_region_confidence(spark, sf_dir):
     return c.withColumn("band", F.when(F.col("confidence") >= 0.6, "high").when(F.col("confidence") >= 0.35, "medium").otherwise("low"))
 
 
-@query("k12_best_cell", f"WITH {GRID} SELECT gx, gy, id FROM best")
+@query("k12_best_cell", f"WITH {GRID} SELECT sheet, gx, gy, id FROM best")
 def k12_best_cell(spark, sf_dir):
     """The vertex of a grid cell: most confidence, then the lower index."""
-    return grid_points(spark, sf_dir).groupBy("gx", "gy").agg(F.max_by("id", F.struct("confidence", -F.col("id"))).alias("id"))
+    return surface.best_points(grid_points(spark, sf_dir), ("sheet",))
 
 
 @query(
@@ -300,81 +300,6 @@ def g7_fused_clusters(spark, sf_dir):
     return met.join(best, F.expr("root = cluster")).select(F.col("node").alias("id"), "cluster", "members", (F.col("node") == F.col("best")).alias("owner"))
 
 
-@query("g9_safe_moves")
-def g9_safe_moves(spark, sf_dir):
-    """Moves of the grid's vertices towards fused places that turn no triangle over; held against brute force in the tests."""
-    at = grid_points(spark, sf_dir).select("id", F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"))
-    shift = lambda m: ((F.col("id") * m) % 17 - 8) / 8.0
-    moves = at.where("id % 3 = 0").select("id", shift(5).alias("dx"), shift(7).alias("dy"))  # what fusion proposes
-    return meshes.safe_moves(grid_triangles(spark, sf_dir).select("a", "b", "c"), at, moves).select("id", "dx", "dy")
-
-
-@query(
-    "f10_triangle_gates",
-    f"""
-WITH {GRID}, p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS z FROM lineitem),
-d AS (SELECT t.cx, t.cy, t.a, greatest(pa.z, pb.z, pc.z) AS hi, least(pa.z, pb.z, pc.z) AS lo FROM tri t JOIN p pa ON t.a = pa.id JOIN p pb ON t.b = pb.id JOIN p pc ON t.c = pc.id)
-SELECT cx, cy, a, (hi - lo) / lo <= 0.15 AS accepted FROM d
-""",
-)
-def f10_triangle_gates(spark, sf_dir):
-    """Triangles without a jump of depth beyond 15 % of the nearest corner."""
-    p = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("z"))
-    t = grid_triangles(spark, sf_dir)
-    for c in "abc":
-        t = t.join(p.select(F.col("id").alias(f"i{c}"), F.col("z").alias(f"z{c}")), F.expr(f"{c} = i{c}"))
-    hi, lo = F.greatest("za", "zb", "zc"), F.least("za", "zb", "zc")
-    return t.select("cx", "cy", "a", ((hi - lo) / lo <= 0.15).alias("accepted"))
-
-
-@query(
-    "r3_bake_plan",
-    f"""
-WITH {GRID}, o AS (SELECT cx, cy, a, b, c, (cx // 8) * 100 + cy // 4 AS region FROM tri),
-k AS (SELECT region, min(cx) AS x0, min(cy) AS y0, max(cx) + 1 AS x1, max(cy) + 1 AS y1, count(*) AS triangles FROM o GROUP BY region)
-SELECT region, triangles, x0, y0, x1 - x0 + 2 AS width, y1 - y0 + 2 AS height, sha256(concat_ws('|', region, x0, y0, x1, y1, triangles)) AS appearance FROM k
-""",
-)
-def r3_bake_plan(spark, sf_dir):
-    """For each region: its triangles, the crop of the frame that they need with a pixel around, and the key of its appearance."""
-    t = grid_triangles(spark, sf_dir).withColumn("region", F.floor(F.col("cx") / 8) * 100 + F.floor(F.col("cy") / 4))
-    k = t.groupBy("region").agg(F.min("cx").alias("x0"), F.min("cy").alias("y0"), (F.max("cx") + 1).alias("x1"), (F.max("cy") + 1).alias("y1"), F.count(F.lit(1)).alias("triangles"))
-    key = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("region", "x0", "y0", "x1", "y1", "triangles")]), 256)
-    return k.select("region", "triangles", "x0", "y0", (F.col("x1") - F.col("x0") + 2).alias("width"), (F.col("y1") - F.col("y0") + 2).alias("height"), key.alias("appearance"))
-
-
-@query(
-    "r4_seam_admission",
-    f"""
-WITH {GRID}, own AS (SELECT id, (gx // 8) * 100 + gy // 4 AS region FROM best JOIN (SELECT gx, gy, id FROM best) USING (gx, gy, id)),
-p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS z FROM lineitem),
-e AS (SELECT cx, cy, t.a, unnest([a, b, c]) AS id FROM tri t),
-s AS (SELECT cx, cy, a, count(DISTINCT region) AS regions, min(z) AS lo, max(z) AS hi FROM e JOIN own USING (id) JOIN p USING (id) GROUP BY cx, cy, a, (SELECT 1))
-SELECT cx, cy, a, regions, (hi - lo) / lo <= 0.08 AS admitted FROM s WHERE regions > 1
-""".replace("GROUP BY cx, cy, a, (SELECT 1)", "GROUP BY cx, cy, a").replace(" JOIN (SELECT gx, gy, id FROM best) USING (gx, gy, id)", ""),
-)
-def r4_seam_admission(spark, sf_dir):
-    """Triangles over two regions are admitted as seams if their corners' depths agree within 8 %, as each region's camera then sees them."""
-    own = grid_points(spark, sf_dir).groupBy("gx", "gy").agg(F.max_by("id", F.struct("confidence", -F.col("id"))).alias("id")).select("id", (F.floor(F.col("gx") / 8) * 100 + F.floor(F.col("gy") / 4)).alias("region"))
-    p = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("z"))
-    e = grid_triangles(spark, sf_dir).select("cx", "cy", "a", F.explode(F.array("a", "b", "c")).alias("id")).join(own, "id").join(p, "id")
-    s = e.groupBy("cx", "cy", "a").agg(F.count_distinct("region").alias("regions"), F.min("z").alias("lo"), F.max("z").alias("hi")).where("regions > 1")
-    return s.select("cx", "cy", "a", "regions", F.expr("(hi - lo) / lo <= 0.08").alias("admitted"))
-
-
-@query(
-    "r6_colliders",
-    f"""
-WITH {GRID}, c AS (SELECT DISTINCT 0 AS g, cx // 4 AS x, cy // 2 AS y FROM tri),
-r AS (SELECT g, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY g, y ORDER BY x) AS k FROM c) GROUP BY g, y, k)
-SELECT g, x0, x1, min(y) AS y0, max(y) AS y1 FROM (SELECT *, y - row_number() OVER (PARTITION BY g, x0, x1 ORDER BY y) AS k FROM r) GROUP BY g, x0, x1, k
-""",
-)
-def r6_colliders(spark, sf_dir):
-    """Coarse cells that a triangle touches, merged to boxes."""
-    return spatial.boxes(grid_triangles(spark, sf_dir).select(F.lit(0).alias("g"), F.floor(F.col("cx") / 4).alias("x"), F.floor(F.col("cy") / 2).alias("y")).distinct(), ["g"])
-
-
 # --- learned depth, requests, placement ---
 
 
