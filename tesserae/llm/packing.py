@@ -20,7 +20,7 @@ from tesserae.llm.shingles import mix
 #: Buckets of a hashed document vector, dimensions it is projected to, and bits of each on the curve (60 in all).
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
 #: Different runs of text whose ids a Python worker keeps, each of at most CACHED_BYTES; as many older ones wait to be asked for again.
-CACHED, CACHED_BYTES = 160_000, 48
+CACHED, CACHED_BYTES = 240_000, 48
 #: A text is cut at white space into runs in steps of so many bytes.
 STEP = 1 << 20
 
@@ -66,6 +66,8 @@ class Ids(dict):
 
     def encode(self, run: bytes) -> bytes:
         """Ids of a run. Latin letters go to the model; ASCII marks before them are a run of their own unless they may begin 's or the like."""
+        if self.direct and run.isalpha() and run.islower():
+            return array(self.code, [t.id for t in self.tokenizer.model.tokenize(run.decode())]).tobytes()
         if self.direct:
             letters = run.lstrip(_MARKS)
             text = letters.decode("utf-8", "replace").lower()
