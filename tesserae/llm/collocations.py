@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tesserae.llm import common
 from tesserae.llm.shingles import mix, powers
 
-#: Bytes of text that a task hashes at a time, and rows that it combines before it hands them on.
-CHUNK, COMBINE = 1 << 20, 1 << 18
+#: Bytes of text that a task hashes at a time and combines, and pairs that it combines further before it hands them on.
+WINDOW, CHUNK, COMBINE = 1 << 17, 1 << 20, 1 << 18
 #: Bits of a filter of what is frequent, as a power of two: 16 MB. A full filter only lets more candidates through.
 FILTER_BITS = 27
 #: Candidates of one block of the hash, about.
@@ -55,7 +55,8 @@ class Words:
         inside[1:-1] = kind == 0
         step = np.diff(inside)
         self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
+        breaks = np.cumsum(kind == 2, dtype=np.int32)
+        self.piece, self.pieces = breaks[self.starts], int(breaks[-1]) + 1 if len(breaks) else 1
         self.doc = np.searchsorted(edges, self.starts, "right")
         self.lang = langs[self.doc]
         self.hashes = []
@@ -87,32 +88,56 @@ def lang_hash(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-def stretches(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[Words, list[str]]]:
-    """The words of batches (text: binary, ends with a separator; lang) in stretches of about `chunk` bytes, cut between pieces."""
+def stretches(batches: Iterator[pa.RecordBatch], chunk: int, window: int) -> Iterator[tuple[Words, list[str]]]:
+    """The words of batches (text: binary, ends with a separator; lang) in stretches of about `chunk` bytes, with the language of each doc; cut between pieces."""
     for batch in batches:
-        names = batch.column("lang").to_pylist()
-        of = {x: lang_hash(x) for x in set(names)}
-        held, size = [], 0
-        for lang, text in zip(names, batch.column("text").to_pylist()):
-            at = 0
-            while at < len(text):
-                stop = min(at + chunk - size, len(text))
-                stop = _BREAK.search(text, stop - 1).end()
-                held.append((text[at:stop], lang))
-                size += stop - at
-                at = stop
-                if size >= chunk:
-                    yield gathered(held, of)
-                    held, size = [], 0
+        held, size, parts, total = [], 0, [], 0
+        for k in range(0, batch.num_rows, 128):
+            some = batch.slice(k, 128)
+            for lang, text in zip(some.column("lang").to_pylist(), some.column("text").to_pylist()):
+                at = 0
+                while at < len(text):
+                    stop = min(at + window - size, len(text))
+                    stop = _BREAK.search(text, stop - 1).end()
+                    held.append((text[at:stop], lang))
+                    size += stop - at
+                    at = stop
+                    if size >= window:
+                        parts.append(gathered(held))
+                        held, size, total = [], 0, total + size
+                        if total >= chunk:
+                            yield joined(parts)
+                            parts, total = [], 0
         if held:
-            yield gathered(held, of)
+            parts.append(gathered(held))
+        if parts:
+            yield joined(parts)
 
 
-def gathered(held: list[tuple[bytes, str]], of: dict[str, np.uint64]) -> tuple[Words, list[str]]:
+def gathered(held: list[tuple[bytes, str]]) -> tuple[Words, list[str]]:
+    of = {x: lang_hash(x) for x in {x for _, x in held}}
     edges = np.cumsum([len(t) for t, _ in held])
     return Words(b"".join(t for t, _ in held), edges, np.array([of[x] for _, x in held], np.uint64)), [x for _, x in held]
 
 
+def joined(parts: list[tuple[Words, list[str]]]) -> tuple[Words, list[str]]:
+    """Words of one stretch after the other as one."""
+    if len(parts) == 1:
+        return parts[0]
+    out = Words.__new__(Words)
+    each = [w for w, _ in parts]
+    before = np.cumsum([0] + [len(w.raw) for w in each])
+    docs = np.cumsum([0] + [len(langs) for _, langs in parts])
+    pieces = np.cumsum([0] + [w.pieces for w in each])
+    out.raw, out.pieces = b"".join(w.raw for w in each), int(pieces[-1])
+    out.starts, out.ends = (np.concatenate([getattr(w, c) + b for w, b in zip(each, before)]) for c in ("starts", "ends"))
+    out.doc = np.concatenate([w.doc + d for w, d in zip(each, docs)])
+    out.piece = np.concatenate([w.piece + p for w, p in zip(each, pieces)])
+    out.lang = np.concatenate([w.lang for w in each])
+    out.hashes = [np.concatenate([w.hashes[k] for w in each]) for k in (0, 1)]
+    return out, [x for _, langs in parts for x in langs]
+
+
 def combined(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of one row of each different key, and of how many rows it stands for; keys are columns, the first of them tells nearly all apart."""
     order = np.argsort(keys[0], kind="stable")
@@ -143,7 +168,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """lang, phrase, f: how often each word occurs in each language."""
 
     def run(batches):
-        for w, langs in stretches(batches, CHUNK):
+        for w, langs in stretches(batches, CHUNK, WINDOW):
             every = np.arange(len(w.starts))
             rows, n = combined(w.keys(every, 1, 0), w.keys(every, 1, 1))
             names = pa.array([langs[d] for d in w.doc[rows]], pa.string())
@@ -191,7 +216,7 @@ def screened(texts: DataFrame, frequent: Filter, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(sums)], ["key", "n"])
 
         held = []
-        for w, _ in stretches(batches, CHUNK):
+        for w, _ in stretches(batches, CHUNK, WINDOW):
             known = frequent(w.keys(np.arange(len(w.starts)), 1, 0))
             at = w.runs(2)
             at = at[known[at] & known[at + 1]]
@@ -221,7 +246,7 @@ def candidates(texts: DataFrame, pairs: Filter) -> DataFrame:
     """lang, phrase: each different safe phrase of two or three words once."""
 
     def run(batches):
-        for w, langs in stretches(batches, CHUNK):
+        for w, langs in stretches(batches, CHUNK, WINDOW):
             for k, at in safe(w, pairs):
                 rows, _ = combined(w.keys(at, k, 0), w.keys(at, k, 1))
                 names = pa.array([langs[d] for d in w.doc[at[rows]]], pa.string())
@@ -373,7 +398,7 @@ def counted_here(texts: DataFrame, pairs: Filter, words: Filter, hashes, blocks:
         from pyspark import TaskContext
 
         counters = Counters(unpacked(hashes.value))
-        for w, _ in stretches(batches, CHUNK):
+        for w, _ in stretches(batches, CHUNK, WINDOW):
             counters.add(*occurrences(w, pairs, words, blocks))
         yield counters.batch(TaskContext.get().partitionId())
 
@@ -387,7 +412,7 @@ def counted_there(texts: DataFrame, pairs: Filter, words: Filter, table: DataFra
     """
 
     def send(batches):
-        for w, _ in stretches(batches, CHUNK):
+        for w, _ in stretches(batches, CHUNK, WINDOW):
             block, a, b, n = occurrences(w, pairs, words, blocks)
             salt = int(mix(w.hashes[0].sum(keepdims=True))[0] % np.uint64(salts))
             yield pa.RecordBatch.from_arrays(

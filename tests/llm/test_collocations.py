@@ -63,7 +63,7 @@ def test_against_brute_force(spark):
 
 def test_small_blocks_stretches_and_sent_occurrences(spark, monkeypatch):
     """The same rows where occurrences go to the blocks' tasks, with many blocks, salts, stretches and steps of the sum, and with a filter that lets all through."""
-    for name, value in (("CHUNK", 700), ("COMBINE", 50), ("BLOCK", 16), ("TAKEN", 64), ("FAN_IN", 2), ("FILTER_BITS", 7)):
+    for name, value in (("WINDOW", 90), ("CHUNK", 700), ("COMBINE", 50), ("BLOCK", 16), ("TAKEN", 64), ("FAN_IN", 2), ("FILTER_BITS", 7)):
         monkeypatch.setattr(collocations, name, value)
     docs = corpus()
     expected = sorted(brute(docs))
