@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm import util
 from tests.llm.test_lines_quality import counts_brute
@@ -50,3 +52,15 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     sf = util.write(spark, tmp_path, documents=util.docs(spark, []), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Every name that a stage uses may be a column of documents; the result can be written."""
+    texts = util.odd_texts() + [util.prose(60 + k, k) for k in range(20)]
+    df = util.clash(util.docs(spark, texts, [f"s{k % 2}" for k in range(len(texts))])).withColumn("slot", F.lit("x")).withColumn("_Slot", F.lit("y"))
+    sf = util.write(spark, tmp_path, documents=df, benchmark=spark.createDataFrame([(1, util.prose(30, 900))], "item_id long, text string"))
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == [*df.columns, "__shard", "__slot"]
+    out.write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert rows and all(r["shard"] == 7 and r["slot"] == "x" and 0 <= r["__shard"] < 16 for r in rows)
