@@ -68,3 +68,21 @@ def confidence(*factors: Column) -> Column:
     for f in factors:
         out = out * F.greatest(F.lit(0.0), F.least(F.lit(1.0), f))
     return out
+
+
+def fused_position(observations: DataFrame, group: str, order: str, first: str = "x", reach: float = 0.08, least: float = 1e-4) -> DataFrame:
+    """observations: group, order, x, y, z (depth). The mean of a group's primary observation, the first in order, and of the others within reach of it.
+
+    The reach is a share of the primary's depth, `least` at least. Others that are not finite, or further off, are counted as rejected.
+    `first` is the primary's x where it differs. Rows that tie for the first are one primary and others at no distance.
+    """
+    place = F.struct(F.col(first).alias("x"), "y", "z")
+    head = observations.groupBy(group).agg(F.min_by(place, order).alias("p"), F.min(order).alias("o"))
+    met = observations.join(head, group)
+    distance = F.sqrt(sum((F.col(c) - F.col(f"p.{c}")) ** 2 for c in "xyz"))
+    near = ~F.isnan(distance) & (distance <= F.greatest(F.abs(F.col("p.z")) * reach, F.lit(least)))
+    met = met.withColumn("others", F.coalesce(near, F.lit(False)) & (F.col(order) != F.col("o"))).withColumn("head", F.col(order) == F.col("o"))
+    heads = F.greatest(F.count_if("head"), F.lit(1))
+    total = lambda c: F.first(f"p.{c}") * heads + F.coalesce(F.sum(F.when(F.col("others"), F.col(c))), F.lit(0.0))
+    n = heads + F.count_if("others")
+    return met.groupBy(group).agg(n.alias("observations"), (F.count(F.lit(1)) - n).alias("rejected"), *[(total(c) / n).alias(c) for c in "xyz"])

@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 from tesserae.functions.lineage import discard, materialise
 
 
-def tracks(matches: DataFrame, rounds: int) -> DataFrame:
+def tracks(matches: DataFrame) -> DataFrame:
     """matches: frame_a, a, frame_b, b, one to one, to later frames. (frame, id, root_frame, root): each observation with its track's first one.
 
-    Pointer doubling: in each round an observation takes over its root's root, so `rounds` need only be the log of the longest track.
-    Each round is written, as it reads the last one twice.
+    Pointer doubling: in each round an observation takes over its root's root; rounds end when none changes, after the log of the longest
+    track. Each round is written, as it reads the last one twice.
     """
     nodes = matches.select(F.col("frame_a").alias("frame"), F.col("a").alias("id")).union(matches.select("frame_b", "b")).distinct()
     back = matches.select(F.col("frame_b").alias("f"), F.col("b").alias("i"), F.col("frame_a").alias("pf"), F.col("a").alias("pi"))
     now = nodes.join(back, (F.col("frame") == F.col("f")) & (F.col("id") == F.col("i")), "left").select("frame", "id", F.coalesce("pf", "frame").alias("root_frame"), F.coalesce("pi", "id").alias("root"))
     now = materialise(now, "tracks")
-    for _ in range(rounds):
+    while True:
         up = now.select(F.col("frame").alias("f"), F.col("id").alias("i"), F.col("root_frame").alias("rf"), F.col("root").alias("r"))
-        old, now = now, materialise(now.join(up, (F.col("root_frame") == F.col("f")) & (F.col("root") == F.col("i"))).select("frame", "id", F.col("rf").alias("root_frame"), F.col("r").alias("root")), "tracks")
+        moved = ~((F.col("rf") == F.col("root_frame")) & (F.col("r") == F.col("root")))
+        met = now.join(up, (F.col("root_frame") == F.col("f")) & (F.col("root") == F.col("i"))).select("frame", "id", F.col("rf").alias("root_frame"), F.col("r").alias("root"), moved.alias("moved"))
+        old, now = now, materialise(met, "tracks")
         discard(old)
-    return now
+        if now.where("moved").isEmpty():
+            return now.drop("moved")
 
 
 def track_stats(observations: DataFrame) -> DataFrame:
@@ -67,14 +70,24 @@ def clusters(links: DataFrame) -> DataFrame:
             return now.select("node", "root")
 
 
-def ancestry(nodes: DataFrame, rounds: int) -> DataFrame:
-    """nodes: node, parent (null for roots). (node, root, depth) by pointer doubling; a parent that is missing ends a path there."""
+def ancestry(nodes: DataFrame) -> DataFrame:
+    """nodes: node, parent (null for roots). (node, root, depth) by pointer doubling until none moves; a parent that is missing ends a path there.
+
+    Parents in a circle have no root: ValueError, once a path is longer than there are nodes.
+    """
     known = nodes.select(F.col("node").alias("k"))
     up = nodes.join(known, F.col("parent") == F.col("k"), "left").select("node", F.coalesce("k", "node").alias("root"), F.col("k").isNotNull().cast("long").alias("depth"))
-    for _ in range(rounds):
+    up = materialise(up, "ancestry")
+    most = up.count()
+    while True:
         nxt = up.select(F.col("node").alias("n"), F.col("root").alias("r"), F.col("depth").alias("d"))
-        up = materialise(up.join(nxt, F.col("root") == F.col("n")).select("node", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth")), "ancestry")
-    return up
+        met = up.join(nxt, F.col("root") == F.col("n")).select("node", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("r") != F.col("root")).alias("moved"))
+        old, up = up, materialise(met, "ancestry")
+        discard(old)
+        if up.where("moved").isEmpty() and up.where(F.col("depth") > most).isEmpty():
+            return up.drop("moved")
+        if not up.where(F.col("depth") > most).isEmpty():
+            raise ValueError("parents in a circle")
 
 
 def identity(kind: str, parameters: str, inputs: list[str]) -> str:

@@ -72,6 +72,13 @@ def reverse_checked(proposals: DataFrame, pairs: DataFrame) -> DataFrame:
     return one_to_one(proposals).join(best, ["frame_a", "frame_b", "b"]).where("back = a").drop("back")
 
 
+def both_ways(pairs: DataFrame, ratio: float, limit: float | None = None) -> DataFrame:
+    """Ratio-tested greedy matches from a to b that are also such matches from b to a."""
+    turned = pairs.select("frame_a", "frame_b", F.col("b").alias("a"), F.col("a").alias("b"), "distance")
+    back = one_to_one(ratio_matches(turned, ratio, limit)).select("frame_a", "frame_b", F.col("b").alias("a"), F.col("a").alias("b"))
+    return one_to_one(ratio_matches(pairs, ratio, limit)).join(back, ["frame_a", "frame_b", "a", "b"], "left_semi")
+
+
 def compose(matches: DataFrame, links: int) -> DataFrame:
     """Chains of `links` adjacent matches as one match with the worst distance."""
     out = matches.select("frame_a", "a", "frame_b", "b", "distance")

@@ -110,9 +110,31 @@ def mutual(spark, sf_dir) -> DataFrame:
     return matching.mutual_best(distances(matching.candidate_pairs(features(spark, sf_dir))))
 
 
-@query("j5_mutual_match", f"WITH {FEATURES.format(where='')}, {MUTUAL} SELECT * FROM mutual")
+#: Features of a frame that revisits are looked for among, and the share of the runner-up's distance that a nearest one may have.
+REVISIT, REVISIT_RATIO = 192, 0.95
+
+
+@query(
+    "j5_mutual_match",
+    f"""
+WITH f AS (SELECT * FROM (SELECT vec_id AS id, label AS frame, [x::DOUBLE for x in embedding] AS d, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS nth FROM embeddings) WHERE nth <= {REVISIT}),
+pairs AS (
+  SELECT a.frame AS frame_a, b.frame AS frame_b, a.id AS a, b.id AS b, round(list_sum([abs(a.d[i] - b.d[i]) for i in range(1, len(a.d) + 1)]) / len(a.d), 9) AS distance
+  FROM f a JOIN f b ON b.frame = a.frame + 2),
+forth AS (
+  SELECT *, row_number() OVER (PARTITION BY frame_a, b ORDER BY distance, a) AS g
+  FROM (SELECT *, row_number() OVER w AS k, lead(distance) OVER w AS nxt FROM pairs WINDOW w AS (PARTITION BY frame_a, a ORDER BY distance, b)) WHERE k = 1 AND (nxt IS NULL OR distance < {REVISIT_RATIO} * nxt)),
+back AS (
+  SELECT *, row_number() OVER (PARTITION BY frame_a, a ORDER BY distance, b) AS g
+  FROM (SELECT *, row_number() OVER w AS k, lead(distance) OVER w AS nxt FROM pairs WINDOW w AS (PARTITION BY frame_a, b ORDER BY distance, a)) WHERE k = 1 AND (nxt IS NULL OR distance < {REVISIT_RATIO} * nxt))
+SELECT forth.frame_a, forth.frame_b, forth.a, forth.b, forth.distance FROM forth JOIN back USING (frame_a, a, b) WHERE forth.g = 1 AND back.g = 1
+""",
+)
 def j5_mutual_match(spark, sf_dir):
-    return mutual(spark, sf_dir)
+    """Revisits two frames apart: ratio-tested greedy matches of the first features of each, those that are found both ways."""
+    first = features(spark, sf_dir).withColumn("order", -F.col("id"))
+    pairs = distances(matching.candidate_pairs(matching.strongest(first, "frame", "order", REVISIT), step=2))
+    return matching.both_ways(pairs, REVISIT_RATIO)
 
 
 @query(
@@ -164,7 +186,7 @@ SELECT frame, id, root_frame, root FROM path
 """,
 )
 def g1_track_paths(spark, sf_dir):
-    return graph.tracks(mutual(spark, sf_dir), rounds=4)
+    return graph.tracks(mutual(spark, sf_dir))
 
 
 @query(
@@ -1204,7 +1226,7 @@ def r14_ancestry(spark, sf_dir):
     """Roots and depths of assets under their parents."""
     p = F.col("p_partkey")
     nodes = table(spark, sf_dir, "part").select(p.alias("node"), F.when(p % 64 >= 2, p - p % 64 + F.floor((p % 64) / 2)).cast("long").alias("parent"))
-    return graph.ancestry(nodes, rounds=3)
+    return graph.ancestry(nodes)
 
 
 @query("r15_evidence_ratio", "SELECT event_type, round(avg((value IS NOT NULL AND isfinite(value) AND value > 0)::INT), 6) AS share FROM events GROUP BY event_type")

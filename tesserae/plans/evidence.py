@@ -22,17 +22,22 @@ def first_by(df: DataFrame, by: list, *order) -> DataFrame:
 @query(
     "a6_fused_position",
     """
-WITH d AS (SELECT l_partkey AS g, l_quantity AS x, l_discount * 100 AS y, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem),
-r AS (SELECT g, x AS rx, y AS ry FROM d WHERE k = 1)
-SELECT g AS l_partkey, count(*) AS observations, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM d JOIN r USING (g) WHERE (x - rx) ** 2 + (y - ry) ** 2 <= 100.5 GROUP BY g
+WITH d AS (
+  SELECT l_partkey AS g, l_quantity / 10 AS x, l_discount * 10 AS y, round(l_extendedprice / 1000, 2) AS z, l_tax = 0.05 AS broken, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_discount, l_tax) AS k FROM lineitem),
+p AS (SELECT g, x AS px, y AS py, z AS pz FROM d WHERE k = 1),
+m AS (SELECT g, k, x, y, z, k = 1 OR (NOT broken AND sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2) <= greatest(0.08 * abs(pz), 0.0001)) AS near FROM d JOIN p USING (g))
+SELECT g AS l_partkey, count(*) FILTER (WHERE near) AS observations, count(*) FILTER (WHERE NOT near) AS rejected, round(avg(x) FILTER (WHERE near), 6) AS x, round(avg(y) FILTER (WHERE near), 6) AS y, round(avg(z) FILTER (WHERE near), 6) AS z
+FROM m GROUP BY g
 """,
 )
 def a6_fused_position(spark, sf_dir):
-    """Mean of the observations within the radius of the group's reference, which is its first one."""
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("g"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
-    ref = d.groupBy("g").agg(F.min_by(F.struct("x", "y"), F.struct("l_orderkey", "l_linenumber")).alias("r"))
-    near = d.join(ref, "g").where("pow(x - r.x, 2) + pow(y - r.y, 2) <= 100.5")
-    return near.groupBy(F.col("g").alias("l_partkey")).agg(F.count(F.lit(1)).alias("observations"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+    """The first observation of a part is its reference: it always counts, the others if they are finite and within 8 % of its depth."""
+    l = table(spark, sf_dir, "lineitem")
+    lost = F.when(F.col("l_tax") == 0.05, F.lit(float("nan"))).otherwise(F.col("l_quantity") / 10)
+    order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    d = l.select(F.col("l_partkey").alias("g"), order.alias("k"), (F.col("l_quantity") / 10).alias("first"), lost.alias("x"), (F.col("l_discount") * 10).alias("y"), F.round(F.col("l_extendedprice") / 1000, 2).alias("z"))
+    fused = gates.fused_position(d, "g", "k", first="first")
+    return fused.select(F.col("g").alias("l_partkey"), "observations", "rejected", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 @query(

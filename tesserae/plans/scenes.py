@@ -72,7 +72,7 @@ def x4_pair_poses(spark, sf_dir) -> DataFrame:
 def observations(spark) -> DataFrame:
     found = materialise(features(spark), "features")
     m = matched(found)
-    t = graph.tracks(m.select("frame_a", "a", "frame_b", "b"), rounds=3)
+    t = graph.tracks(m.select("frame_a", "a", "frame_b", "b"))
     named = t.select("frame", "id", F.concat_ws("-", "root_frame", "root").alias("track"))
     long = named.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("track"))).where("n >= 3")
     at = long.join(found.select("clip_id", "frame_index", "feature_index", "x", "y"), F.expr("frame = frame_index and id = feature_index"))

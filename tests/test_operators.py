@@ -49,7 +49,7 @@ def test_radius_join_meets_the_same_pairs_as_all_pairs(spark):
 
 def test_tracks_follow_chains(spark):
     m = spark.createDataFrame([(k, 10, k + 1, 10) for k in range(9)] + [(2, 5, 3, 6)], "frame_a int, a int, frame_b int, b int")
-    got = {(r.frame, r.id): (r.root_frame, r.root) for r in graph.tracks(m, rounds=4).collect()}
+    got = {(r.frame, r.id): (r.root_frame, r.root) for r in graph.tracks(m).collect()}
     assert all(got[k, 10] == (0, 10) for k in range(10)) and got[3, 6] == (2, 5)
 
 
