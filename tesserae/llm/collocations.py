@@ -203,8 +203,25 @@ def with_keys(phrases: DataFrame) -> DataFrame:
     return phrases.select("lang", "phrase").mapInArrow(run, "lang string, phrase string, words int, a long, b long")
 
 
-def screened(texts: DataFrame, frequent: Filter, least: int) -> DataFrame:
-    """key: the hashes whose pairs of frequent words occur `least` times or more together, so those of all frequent pairs are among them."""
+class Safe:
+    """Runs that may be frequent: words, pairs of such words, and triples of such pairs, as far as their filters are known."""
+
+    def __init__(self, words: Filter, pairs: Filter | None = None, triples: Filter | None = None):
+        self.words, self.pairs, self.triples = words, pairs, triples
+
+    def runs(self, w: Words, k: int) -> np.ndarray:
+        """First words of the runs of k words, all parts of which pass their filters, and the runs themselves if theirs is known."""
+        at = w.runs(k)
+        own = (self.words, self.pairs, self.triples)[k - 1]
+        if k > 1:
+            part = np.zeros(len(w.starts) + 1, bool)
+            part[self.runs(w, k - 1)] = True
+            at = at[part[at] & part[at + 1]]
+        return at if own is None else at[own(w.keys(at, k, 0))]
+
+
+def screened(texts: DataFrame, safe: Safe, k: int, least: int) -> DataFrame:
+    """key: the hashes whose safe runs of k words occur `least` times or more together, so those of all frequent ones are among them."""
 
     def run(batches):
         def settle():
@@ -217,13 +234,10 @@ def screened(texts: DataFrame, frequent: Filter, least: int) -> DataFrame:
 
         held = []
         for w, _ in stretches(batches, CHUNK, WINDOW):
-            known = frequent(w.keys(np.arange(len(w.starts)), 1, 0))
-            at = w.runs(2)
-            at = at[known[at] & known[at + 1]]
-            keys = w.keys(at, 2, 0)
+            keys = w.keys(safe.runs(w, k), k, 0)
             rows, n = combined(keys)
             held.append((keys[rows], n))
-            if sum(len(k) for k, _ in held) >= COMBINE:
+            if sum(len(x) for x, _ in held) >= COMBINE:
                 yield settle()
                 held = []
         if held:
@@ -232,22 +246,13 @@ def screened(texts: DataFrame, frequent: Filter, least: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
-def safe(w: Words, pairs: Filter) -> list[tuple[int, np.ndarray]]:
-    """First words of the runs of two and three words whose pairs all pass the filter."""
-    two = w.runs(2)
-    two = two[pairs(w.keys(two, 2, 0))]
-    good = np.zeros(len(w.starts) + 1, bool)
-    good[two] = True
-    three = w.runs(3)
-    return [(2, two), (3, three[good[three] & good[three + 1]])]
-
-
-def candidates(texts: DataFrame, pairs: Filter) -> DataFrame:
+def candidates(texts: DataFrame, safe: Safe) -> DataFrame:
     """lang, phrase: each different safe phrase of two or three words once."""
 
     def run(batches):
         for w, langs in stretches(batches, CHUNK, WINDOW):
-            for k, at in safe(w, pairs):
+            for k in (2, 3):
+                at = safe.runs(w, k)
                 rows, _ = combined(w.keys(at, k, 0), w.keys(at, k, 1))
                 names = pa.array([langs[d] for d in w.doc[at[rows]]], pa.string())
                 text = pa.array([w.phrase(i, k) for i in at[rows].tolist()], pa.string())
@@ -373,11 +378,11 @@ def wide(counts: bytes, size: int) -> np.ndarray:
     return np.frombuffer(counts, f"<u{len(counts) // size}").astype(np.int64)
 
 
-def occurrences(w: Words, pairs: Filter, words: Filter, blocks: int) -> tuple[np.ndarray, ...]:
+def occurrences(w: Words, safe: Safe, blocks: int) -> tuple[np.ndarray, ...]:
     """block, a, b, n of the different safe phrases of a stretch."""
-    every = np.arange(len(w.starts))
     out = []
-    for k, at in [(1, every[words(w.keys(every, 1, 0))]), *safe(w, pairs)]:
+    for k in (1, 2, 3):
+        at = safe.runs(w, k)
         a, b = w.keys(at, k, 0), w.keys(at, k, 1)
         rows, n = combined(a, b)
         out.append((block_of(a[rows], blocks), a[rows], b[rows], n))
@@ -391,7 +396,7 @@ def unpacked(rows: list[dict]) -> dict[int, PerfectHash]:
 KEPT = ["block", "sizes", "bits", "a", "b"]
 
 
-def counted_here(texts: DataFrame, pairs: Filter, words: Filter, hashes, blocks: int) -> DataFrame:
+def counted_here(texts: DataFrame, safe: Safe, hashes, blocks: int) -> DataFrame:
     """COUNTED of each task over its texts; hashes is a broadcast of all of them."""
 
     def run(batches):
@@ -399,13 +404,13 @@ def counted_here(texts: DataFrame, pairs: Filter, words: Filter, hashes, blocks:
 
         counters = Counters(unpacked(hashes.value))
         for w, _ in stretches(batches, CHUNK, WINDOW):
-            counters.add(*occurrences(w, pairs, words, blocks))
+            counters.add(*occurrences(w, safe, blocks))
         yield counters.batch(TaskContext.get().partitionId())
 
     return texts.mapInArrow(run, COUNTED)
 
 
-def counted_there(texts: DataFrame, pairs: Filter, words: Filter, table: DataFrame, blocks: int, salts: int) -> DataFrame:
+def counted_there(texts: DataFrame, safe: Safe, table: DataFrame, blocks: int, salts: int) -> DataFrame:
     """COUNTED of each block and salt: occurrences, combined within stretches, are sent to tasks that hold their block's hash.
 
     A stretch's occurrences have one salt, so a frequent phrase is spread like any other, and a task takes about TAKEN of them.
@@ -413,7 +418,7 @@ def counted_there(texts: DataFrame, pairs: Filter, words: Filter, table: DataFra
 
     def send(batches):
         for w, _ in stretches(batches, CHUNK, WINDOW):
-            block, a, b, n = occurrences(w, pairs, words, blocks)
+            block, a, b, n = occurrences(w, safe, blocks)
             salt = int(mix(w.hashes[0].sum(keepdims=True))[0] % np.uint64(salts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.astype(np.int32)), pa.array(np.full(len(a), salt, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)],
@@ -500,8 +505,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     occurrences goes. Ranks are by falling score, falling a, phrase; `top` of each language stay (None: all). Repeated rows count as often
     as they occur, texts of any length are worked on in stretches, an empty table gives no rows, other columns are not looked at.
 
-    Words are counted first. Hashes of pairs of frequent words are counted next: a sum below `least` proves a pair rare. Runs whose pairs
-    all pass are the candidates (Apriori), and a superset of what is frequent. They and the frequent words get a minimal perfect hash; tasks count
+    Words are counted first, then hashes of pairs of frequent words, then of triples of such pairs (Apriori): a sum below `least` proves a
+    run rare. What passes is a superset of what is frequent, the candidates. They and the frequent words get a minimal perfect hash; tasks count
     by slot, keys stored at the slot turn strangers away, and the arrays are added up a tree. Both hashes of a phrase have 64 bits.
     """
     text = F.concat(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit("\n")).cast("binary")
@@ -509,18 +514,19 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     words = common.materialise(word_counts(texts), "words")
     totals = common.materialise(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     often = common.materialise(with_keys(words.where(F.col("f") >= least)), "often")
-    known = Filter(often, "a", FILTER_BITS)
-    pairs = Filter(screened(texts, known, least), "key", FILTER_BITS)
-    every = common.materialise(with_keys(candidates(texts, pairs)).unionByName(often), "candidates")
+    safe = Safe(Filter(often, "a", FILTER_BITS))
+    safe.pairs = Filter(screened(texts, safe, 2, least), "key", FILTER_BITS)
+    safe.triples = Filter(screened(texts, safe, 3, least), "key", FILTER_BITS)
+    every = common.materialise(with_keys(candidates(texts, safe)).unionByName(often), "candidates")
     size, running = every.count(), totals.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
     table = common.materialise(hashed(every, blocks), "perfect-hash")
     here = size <= SENT
     if here:
         hashes = docs.sparkSession.sparkContext.broadcast(table.select(*KEPT).toArrow().to_pylist())
-        counts = counted_here(texts, pairs, known, hashes, blocks)
+        counts = counted_here(texts, safe, hashes, blocks)
     else:
-        counts = counted_there(texts, pairs, known, table, blocks, max(1, -(-3 * running // (blocks * TAKEN))))
+        counts = counted_there(texts, safe, table, blocks, max(1, -(-3 * running // (blocks * TAKEN))))
     counts = common.materialise(tree_sum(counts), "counts")
     slot = F.explode(F.arrays_zip("langs", "phrases", "words", "counts")).alias("s")
     found = table.join(counts, "block").select(slot).select(F.col("s.langs").alias("lang"), F.col("s.phrases").alias("phrase"), F.col("s.words").alias("words"), F.col("s.counts").alias("f"))
