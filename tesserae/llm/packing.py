@@ -84,31 +84,59 @@ class Ids(dict):
         return array(self.code, self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, run: bytes) -> bytes:
+        """A run that is not kept, because it is long, or not there yet."""
         made = self.older.get(run)
         if made is None:
             made = self.encode(run) if b"<|" not in run else self.whole(run)
         if len(run) <= CACHED_BYTES:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
             self[run] = made
         return made
 
+    def prepare(self, found: set[bytes]) -> None:
+        """Makes the ids of the runs that are not there."""
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        new = found - self.keys()
+        again = new & self.older.keys()
+        for run in again:
+            self[run] = self.older[run]
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        for run in new - again:
+            if run.isalpha() and run.islower() and len(run) <= CACHED_BYTES:  # most of them
+                self[run] = array(code, [t.id for t in tokenize(run.decode())]).tobytes()
+
+    def cut(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:
+            return text.split()
+        if text and np.frombuffer(text, np.uint8).max() < 0xCC:  # nothing that could combine with a letter before it
+            text = text.lower()
+        return runs(text)
+
     def of(self, text: bytes) -> bytes:
+        """The ids of a text, which is cut in steps so that a long one is never all runs at once."""
         if not self.by_runs:
             return self.whole(text)
         out, start = [], 0
-        plain = b"<|" not in text
-        if plain and text and np.frombuffer(text, np.uint8).max() < 0xCC:  # nothing that could combine with a letter before it
-            text = text.lower()
+        special = b"<|" in text
         while start < len(text):
             end = _WHITE.search(text, start + STEP)
             end = end.start() if end else len(text)
-            part = text[start:end]
-            out.append(b"".join(map(self.__getitem__, runs(part) if plain else part.split())))
+            part = text[start:end].split() if special else self.cut(text[start:end])
+            if self.direct:
+                self.prepare(set(part))
+            out.append(b"".join(map(self.__getitem__, part)))
             start = end
         return b"".join(out)
 
+    def of_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Those of the short ones are looked up together."""
+        if not self.direct:
+            return [self.of(t) for t in texts]
+        parts = [self.cut(t) if len(t) <= STEP else None for t in texts]
+        self.prepare(set().union(*[p for p in parts if p]))
+        return [self.of(t) if p is None else b"".join(map(self.__getitem__, p)) for t, p in zip(texts, parts)]
+
 
 @functools.cache
 def ids_of(path: str) -> Ids:
@@ -173,9 +201,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         ids, onto = ids_of(path), projection()
         end = np.array([end_id], ids.dtype).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                own = [ids.of(t or b"") for t in part.column("text").to_pylist()]
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                own = ids.of_all([t or b"" for t in part.column("text").to_pylist()])
                 at = np.array([coordinates(np.frombuffer(o, ids.dtype), onto) for o in own])
                 own = [o + end for o in own]
                 n = pa.array([len(o) // ids.dtype.itemsize for o in own], pa.int64())

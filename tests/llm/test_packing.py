@@ -39,7 +39,9 @@ def test_runs_give_the_ids_of_whole_texts(monkeypatch):
     monkeypatch.setattr(packing, "STEP", 50)
     monkeypatch.setattr(packing, "CACHED", 40)
     ids = packing.Ids(PATH)
-    for t in texts:
+    together = packing.Ids(PATH).of_all([t.encode() for t in texts])
+    for t, found in zip(texts, together):
+        assert found == ids.of(t.encode())
         assert np.frombuffer(ids.of(t.encode()), ids.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
