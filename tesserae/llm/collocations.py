@@ -16,7 +16,7 @@ from tesserae.llm import common
 from tesserae.llm.shingles import mix, powers
 
 #: Bytes of text that a task hashes at a time and combines, and pairs that it combines further before it hands them on.
-WINDOW, CHUNK, COMBINE = 1 << 17, 1 << 20, 1 << 18
+WINDOW, CHUNK, COMBINE = 1 << 17, 1 << 20, 1 << 19
 #: Bits of a filter of what is frequent, as a power of two: 16 MB. A full filter only lets more candidates through.
 FILTER_BITS = 27
 #: Candidates of one block of the hash, about.
@@ -55,6 +55,7 @@ class Words:
         inside[1:-1] = kind == 0
         step = np.diff(inside)
         self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self.found: dict[int, np.ndarray] = {}
         breaks = np.cumsum(kind == 2, dtype=np.int32)
         self.piece, self.pieces = breaks[self.starts], int(breaks[-1]) + 1 if len(breaks) else 1
         self.doc = np.searchsorted(edges, self.starts, "right")
@@ -76,8 +77,8 @@ class Words:
         """A 64-bit hash of the runs of k words from the words `at` on, in their language."""
         total = self.lang[at] * _PLACES[which][3]
         for j in range(k):
-            total = mix(total + self.hashes[which][at + j] * _PLACES[which][j])
-        return total
+            total += self.hashes[which][at + j] * _PLACES[which][j]
+        return mix(total)
 
     def phrase(self, at: int, k: int) -> str:
         words = [self.raw[self.starts[i] : self.ends[i]] for i in range(at, at + k)]
@@ -125,6 +126,7 @@ def joined(parts: list[tuple[Words, list[str]]]) -> tuple[Words, list[str]]:
     if len(parts) == 1:
         return parts[0]
     out = Words.__new__(Words)
+    out.found = {}
     each = [w for w, _ in parts]
     before = np.cumsum([0] + [len(w.raw) for w in each])
     docs = np.cumsum([0] + [len(langs) for _, langs in parts])
@@ -140,7 +142,7 @@ def joined(parts: list[tuple[Words, list[str]]]) -> tuple[Words, list[str]]:
 
 def combined(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of one row of each different key, and of how many rows it stands for; keys are columns, the first of them tells nearly all apart."""
-    order = np.argsort(keys[0], kind="stable")
+    order = np.argsort(keys[0])
     new = np.ones(len(order), bool)
     if len(order):
         new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
@@ -211,13 +213,16 @@ class Safe:
 
     def runs(self, w: Words, k: int) -> np.ndarray:
         """First words of the runs of k words, all parts of which pass their filters, and the runs themselves if theirs is known."""
+        if k in w.found:
+            return w.found[k]
         at = w.runs(k)
         own = (self.words, self.pairs, self.triples)[k - 1]
         if k > 1:
             part = np.zeros(len(w.starts) + 1, bool)
             part[self.runs(w, k - 1)] = True
             at = at[part[at] & part[at + 1]]
-        return at if own is None else at[own(w.keys(at, k, 0))]
+        w.found[k] = at if own is None else at[own(w.keys(at, k, 0))]
+        return w.found[k]
 
 
 def screened(texts: DataFrame, safe: Safe, k: int, least: int) -> DataFrame:
@@ -225,19 +230,14 @@ def screened(texts: DataFrame, safe: Safe, k: int, least: int) -> DataFrame:
 
     def run(batches):
         def settle():
-            keys, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-            sums = np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(sums)], ["key", "n"])
+            keys = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))))], ["key", "n"])
 
         held = []
         for w, _ in stretches(batches, CHUNK, WINDOW):
-            keys = w.keys(safe.runs(w, k), k, 0)
-            rows, n = combined(keys)
-            held.append((keys[rows], n))
-            if sum(len(x) for x, _ in held) >= COMBINE:
+            held.append(w.keys(safe.runs(w, k), k, 0))
+            if sum(map(len, held)) >= COMBINE:
                 yield settle()
                 held = []
         if held:
@@ -531,7 +531,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     slot = F.explode(F.arrays_zip("langs", "phrases", "words", "counts")).alias("s")
     found = table.join(counts, "block").select(slot).select(F.col("s.langs").alias("lang"), F.col("s.phrases").alias("phrase"), F.col("s.words").alias("words"), F.col("s.counts").alias("f"))
     frequent = common.materialise(found.where(F.col("f") >= least), "frequent")
-    cut = cuts_here(frequent, counts, hashes, blocks) if here else cuts_there(frequent)
+    cut = common.materialise(cuts_here(frequent, counts, hashes, blocks) if here else cuts_there(frequent), "cuts")
+    for sent in [safe.words.sent, safe.pairs.sent, safe.triples.sent, *([hashes] if here else [])]:
+        sent.destroy()
     score = F.expr("(1000000 * cast(f as decimal(38,0)) * cast(f as decimal(38,0))) div (cast(l as decimal(38,0)) * cast(r as decimal(38,0)))")
     best = cut.groupBy("lang", "phrase", "words").agg(F.max("f").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best"))
     longer = frequent.where("words = 3").withColumn("w", F.split("phrase", " "))
