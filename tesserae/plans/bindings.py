@@ -1318,6 +1318,6 @@ def p7_confidence(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(c, 6).alias("confidence"))
 
 
-from tesserae.plans import evidence, scenes, sheets  # noqa: E402, F401
+from tesserae.plans import evidence, files, scenes, sheets  # noqa: E402, F401
 
 QUERIES |= scenes.QUERIES
