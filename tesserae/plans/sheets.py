@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators import merge, meshes, spatial, surface
+from tesserae.operators import merge, meshes, planes, spatial, surface
 from tesserae.plans.bindings import GRID, grid_points, grid_triangles, query, table
 
 PLACED = """
@@ -161,3 +161,29 @@ SELECT sheet, x0, x1, min(y) AS y0, max(y) AS y1 FROM (SELECT *, y - row_number(
 def r6_colliders(spark, sf_dir):
     """Coarse cells that a triangle touches, merged to boxes, sheet by sheet."""
     return spatial.boxes(grid_triangles(spark, sf_dir).select("sheet", F.floor(F.col("cx") / 4).alias("x"), F.floor(F.col("cy") / 2).alias("y")).distinct(), ["sheet"])
+
+
+@query(
+    "a16_planes",
+    f"""
+WITH {PLACED},
+w AS (SELECT sheet, x, y * 3 AS y, z + 0.05 * x - 0.2 * y AS z FROM p),
+m AS (
+  SELECT sheet, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM w GROUP BY sheet HAVING count(*) >= 3),
+a AS (SELECT *, (xx + yy + zz) / 3 AS q, sqrt((pow(xx - (xx + yy + zz) / 3, 2) + pow(yy - (xx + yy + zz) / 3, 2) + pow(zz - (xx + yy + zz) / 3, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM m),
+b AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) AS half FROM a),
+e AS (SELECT *, q + 2 * p * cos(acos(greatest(-1, least(1, half))) / 3 + 2 * pi() / 3) AS low FROM b),
+c AS (
+  SELECT *, list_max([{{'s': k[1] ** 2 + k[2] ** 2 + k[3] ** 2, 'v': k}} FOR k IN [
+    [xy * yz - xz * (yy - low), xz * xy - (xx - low) * yz, (xx - low) * (yy - low) - xy * xy],
+    [xy * (zz - low) - xz * yz, xz * xz - (xx - low) * (zz - low), (xx - low) * yz - xy * xz],
+    [(yy - low) * (zz - low) - yz * yz, yz * xz - xy * (zz - low), xy * yz - (yy - low) * xz]]]) AS best FROM e),
+u AS (SELECT *, [t / sqrt(best.s) * sign(list_max([{{'a': abs(t), 't': t}} FOR t IN best.v]).t) FOR t IN best.v] AS v FROM c)
+SELECT sheet, n, round(v[1], 5) AS nx, round(v[2], 5) AS ny, round(v[3], 5) AS nz, round(v[1] * cx + v[2] * cy + v[3] * cz, 4) AS "offset", round(sqrt(greatest(low, 0)), 5) AS rms FROM u
+""".replace(" FOR k IN ", " for k in ").replace(" FOR t IN ", " for t in "),
+)
+def a16_planes(spark, sf_dir):
+    """The plane of each sheet, tilted for the purpose."""
+    at = vertices(spark, sf_dir).select("sheet", "x", (F.col("y") * 3).alias("y"), F.expr("z + 0.05D * x - 0.2D * y").alias("z"))
+    found = planes.planes(at, ["sheet"])
+    return found.select("sheet", "n", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")], F.round("offset", 4).alias("offset"), F.round("rms", 5).alias("rms"))

@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from tesserae.operators import graph, meshes
+from tesserae.operators import graph, meshes, planes
 from tesserae.sources import streams
 
 
@@ -75,3 +76,19 @@ def test_streams_round_trip_and_refuse_damage(spark):
     for bad in (b"", b"XXXX" + good[4:], good[:-1], good + b"0", good[:4] + b"\x02" + good[5:], good.replace(b'"points": 3', b'"points": 9'), good[:11] + b"\xff" + good[12:]):
         with pytest.raises(ValueError):
             streams.unpacked(bad)
+
+
+def test_planes_against_eigenvectors(spark):
+    r = np.random.default_rng(4)
+    rows, expected = [], {}
+    for g in range(12):
+        p = r.normal(size=(30, 3)) * [3, 1, 0.05] @ np.linalg.qr(r.normal(size=(3, 3)))[0] + r.normal(size=3) * 1000
+        rows += [(g, *map(float, x)) for x in p]
+        values, axes = np.linalg.eigh(np.cov(p.T, bias=True))
+        n = axes[:, 0] * np.sign(axes[np.abs(axes[:, 0]).argmax(), 0])
+        expected[g] = (*n, n @ p.mean(axis=0), np.sqrt(values[0]))
+    rows += [(100, float(k), 0.0, 0.0) for k in range(5)] + [(101, 1.0, 1.0, 1.0)] * 4 + [(102, 1.0, 2.0, 3.0)] * 2 + [(103, 0.0, 0.0, None)]
+    got = {x.g: x for x in planes.planes(spark.createDataFrame(rows, "g long, x double, y double, z double"), ["g"]).collect()}
+    for g, e in expected.items():
+        assert np.allclose((got[g].nx, got[g].ny, got[g].nz, got[g].offset, got[g].rms), e, atol=1e-6)
+    assert got[100].nx is None and got[101].nx is None and 102 not in got and 103 not in got
