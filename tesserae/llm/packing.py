@@ -37,8 +37,13 @@ _MARKS = bytes(np.flatnonzero(_MARK).astype(np.uint8))
 
 
 def runs(text: bytes) -> list[bytes]:
+    """Runs without white space, cut between a letter and an ASCII mark too. Letters are ASCII's, and those from U+00C0 to U+023F: two bytes, the first from C3 to C8 (C3 97 and C3 B7 are signs)."""
     data = np.frombuffer(text, np.uint8)
-    return np.insert(data, np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1, 32).tobytes().split()
+    letter = _LETTER[data[:-1]]
+    far = np.flatnonzero(data[:-1] >= 0xC3)
+    far = far[(data[far] <= 0xC8) & ~((data[far] == 0xC3) & ((data[far + 1] == 0x97) | (data[far + 1] == 0xB7)))] + 1
+    letter[far[far < len(letter)]] = True
+    return np.insert(data, np.flatnonzero(letter & _MARK[data[1:]]) + 1, 32).tobytes().split()
 
 
 class Ids(dict):
@@ -103,8 +108,12 @@ class Ids(dict):
             self[run] = self.older[run]
         tokenize, code = self.tokenizer.model.tokenize, self.code
         for run in new - again:
-            if run.isalpha() and run.islower() and len(run) <= CACHED_BYTES:  # most of them
+            if len(run) > CACHED_BYTES or b"<|" in run:
+                continue
+            if run.isalpha() and run.islower():  # most of them
                 self[run] = array(code, [t.id for t in tokenize(run.decode())]).tobytes()
+            else:
+                self[run] = self.encode(run)
 
     def cut(self, text: bytes) -> list[bytes]:
         if b"<|" in text:
@@ -152,9 +161,13 @@ def bucket(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.uint64) + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+#: The buckets of ids of two bytes.
+SHORT = bucket(np.arange(1 << 16))
+
+
 def coordinates(ids: np.ndarray, onto: np.ndarray) -> np.ndarray:
     """Hashed counts of ids, damped and of length one, projected; the origin if there are none."""
-    counts = np.log1p(np.bincount(bucket(ids), minlength=BUCKETS))
+    counts = np.log1p(np.bincount(SHORT[ids] if ids.itemsize == 2 else bucket(ids), minlength=BUCKETS))
     length = np.sqrt(counts @ counts)
     return counts @ onto / length if length else np.zeros(onto.shape[1])
 

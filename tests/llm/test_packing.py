@@ -34,7 +34,7 @@ def test_cuts_need_no_padding():
 def test_runs_give_the_ids_of_whole_texts(monkeypatch):
     whole = Tokenizer.from_file(PATH)
     r = random.Random(1)
-    texts = [t or "" for t in util.odd_texts()] + ["It's <|endoftext|> A.B c1d2 x y", "é É ́ a", "\x1c\x1d a\x85b", "’s 'S're", "T̈ Ï ü. İ", "<|EndOfText|> a.<|endoftext|>b", "aΣ.Σ,b…,c", "Straße ÀÉÎÕÜ œŒ Ÿ ŉ ǰ ǅ ſ ª º ƛ ɏɐ naïve, élan'vital 'été (été", "ﬁ ΑΣ ΌΣΟΣ. İ ǅ", "a" * 3000]
+    texts = [t or "" for t in util.odd_texts()] + ["It's <|endoftext|> A.B c1d2 x y", "é É ́ a", "\x1c\x1d a\x85b", "’s 'S're", "T̈ Ï ü. İ", "<|EndOfText|> a.<|endoftext|>b", "aΣ.Σ,b…,c", "Straße ÀÉÎÕÜ œŒ Ÿ ŉ ǰ ǅ ſ ª º ƛ ɏɐ naïve, élan'vital 'été (été", "é,a è.\" é×, ÷. «é», ñ« Ȿ, é'", "ﬁ ΑΣ ΌΣΟΣ. İ ǅ", "a" * 3000]
     texts += ["".join(r.choice("abZ 'É́\t\n1 .ß漢€") for _ in range(300)) for _ in range(60)]
     monkeypatch.setattr(packing, "STEP", 50)
     monkeypatch.setattr(packing, "CACHED", 40)
