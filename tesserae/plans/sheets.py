@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators import merge, meshes, planes, spatial, surface
+from tesserae.functions.lineage import materialise
+from tesserae.operators import conform, merge, meshes, planes, spatial, surface
 from tesserae.plans.bindings import GRID, grid_points, grid_triangles, query, table
 
 PLACED = """
@@ -163,6 +164,60 @@ def r6_colliders(spark, sf_dir):
     return spatial.boxes(grid_triangles(spark, sf_dir).select("sheet", F.floor(F.col("cx") / 4).alias("x"), F.floor(F.col("cy") / 2).alias("y")).distinct(), ["sheet"])
 
 
+#: Every other sheet is coarse: its cells are two wide, and its neighbours' vertices lie inside their edges.
+COARSE = f"""{PLACED},
+k AS (SELECT sheet, x, y, id, gx // (1 + sheet % 2) AS i, gy // (1 + sheet % 2) AS j FROM p WHERE gx % (1 + sheet % 2) = 0 AND gy % (1 + sheet % 2) = 0),
+v AS (SELECT 1000 * x::BIGINT + y::BIGINT AS id, min(x) AS x, min(y) AS y FROM k GROUP BY ALL),
+quad AS (
+  SELECT a.sheet, a.i, a.j, 1000 * a.x::BIGINT + a.y::BIGINT AS a, 1000 * b.x::BIGINT + b.y::BIGINT AS b, 1000 * c.x::BIGINT + c.y::BIGINT AS c, 1000 * d.x::BIGINT + d.y::BIGINT AS d
+  FROM k a JOIN k b ON b.sheet = a.sheet AND b.i = a.i + 1 AND b.j = a.j JOIN k c ON c.sheet = a.sheet AND c.i = a.i AND c.j = a.j + 1 JOIN k d ON d.sheet = a.sheet AND d.i = a.i + 1 AND d.j = a.j + 1),
+faces AS (
+  SELECT ((sheet * 100 + i) * 100 + j) * 2 AS tid, a, b, c FROM quad UNION ALL SELECT ((sheet * 100 + i) * 100 + j) * 2 + 1, b, d, c FROM quad),
+e AS (SELECT tid, least(a, b) AS u, greatest(a, b) AS v FROM faces UNION ALL SELECT tid, least(b, c), greatest(b, c) FROM faces UNION ALL SELECT tid, least(c, a), greatest(c, a) FROM faces),
+lies AS (
+  SELECT u, e.v, w.id AS w, round(((w.x - f.x) * (g.x - f.x) + (w.y - f.y) * (g.y - f.y)) / ((g.x - f.x) ** 2 + (g.y - f.y) ** 2), 6) AS t
+  FROM (SELECT DISTINCT u, v FROM e) e JOIN v f ON f.id = u JOIN v g ON g.id = e.v JOIN v w ON 2 * w.x = f.x + g.x AND 2 * w.y = f.y + g.y)"""
+
+
+def coarse(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(points, triangles) of sheets in the plane, every other one of which is coarse; vertices at one place are one."""
+    step = F.expr("1 + sheet % 2")
+    k = vertices(spark, sf_dir).where((F.col("gx") % step == 0) & (F.col("gy") % step == 0))
+    k = k.select("sheet", "x", "y", F.expr("1000 * cast(x as bigint) + cast(y as bigint)").alias("id"), F.floor(F.col("gx") / step).alias("gx"), F.floor(F.col("gy") / step).alias("gy"), "confidence")
+    full = surface.grid_cells(k, ("sheet",)).where("p00 is not null and p10 is not null and p01 is not null and p11 is not null")
+    tid = F.expr("((sheet * 100 + cx) * 100 + cy) * 2")
+    two = F.array(F.struct(tid.alias("tid"), F.col("p00").alias("a"), F.col("p10").alias("b"), F.col("p01").alias("c")), F.struct((tid + 1).alias("tid"), F.col("p10").alias("a"), F.col("p11").alias("b"), F.col("p01").alias("c")))
+    points = k.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.lit(0.0).alias("z"))
+    return points, full.select(F.explode(two).alias("t")).select("t.*")
+
+
+@query("g8_inside_edges", f"WITH {COARSE} SELECT u, v, w, t FROM lies")
+def g8_inside_edges(spark, sf_dir):
+    """Vertices that lie inside the edges of coarser sheets."""
+    points, faces = coarse(spark, sf_dir)
+    return conform.on_edges(faces, points, 1e-6, 2.0).select("u", "v", "w", F.round("t", 6).alias("t"))
+
+
+@query(
+    "g8_conformed",
+    f"""
+WITH {COARSE},
+n AS (SELECT tid, count(l.w) AS inside FROM e LEFT JOIN lies l ON l.u = e.u AND l.v = e.v GROUP BY tid)
+SELECT tid, 1 + inside AS pieces, round(abs((g.x - f.x) * (h.y - f.y) - (h.x - f.x) * (g.y - f.y)) / 2, 6) AS area
+FROM n JOIN faces USING (tid) JOIN v f ON f.id = a JOIN v g ON g.id = b JOIN v h ON h.id = c
+""",
+)
+def g8_conformed(spark, sf_dir):
+    """Pieces and area of each triangle after all have been split at the vertices inside their edges."""
+    points, faces = coarse(spark, sf_dir)
+    points, faces = materialise(points, "points"), materialise(faces, "faces")
+    out = conform.conform(faces, materialise(conform.on_edges(faces, points, 1e-6, 2.0), "inside"))
+    for c in "abc":
+        out = out.join(points.select(F.col("id").alias("i"), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}")), F.expr(f"{c} = i")).drop("i")
+    size = F.expr("abs((xb - xa) * (yc - ya) - (xc - xa) * (yb - ya)) / 2")
+    return out.groupBy("tid").agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum(size), 6).alias("area"))
+
+
 @query(
     "a16_planes",
     f"""
