@@ -44,7 +44,8 @@ def weak_link(matches: Column, overlap: Column) -> Column:
 
 
 def accepted_pose(inliers: Column, matches: Column, median_error: Column) -> Column:
-    return (inliers >= 8) & (inliers >= 0.55 * matches) & (median_error <= 2.5)
+    share = inliers * 100 >= matches * 55  # whole numbers: 0.55 * 100 is more than 55 in double precision
+    return (inliers >= 8) & share & (median_error <= 2.5)
 
 
 def reciprocal(depth: Column, back: Column, share: float = 0.08) -> Column:
