@@ -40,8 +40,6 @@ ORDERS, WHOLE, WORD, BACK = 5, 3, 4, 4
 CLASSES, TELLING, FIRST, GROWTH, SURE = 7, 4096, 4, 4, 30.0
 #: A state is a class in the low CLASS_BITS bits and the number of the token before (0: none of the BEFORE commonest) above them.
 CLASS_BITS, BEFORE = 3, 15
-#: The classes and the commonest tokens come from about so many of the rows that may be learnt from, by hash.
-CLASSED_ROWS = 20_000
 #: Of so many slots one is meant for a token whose nodes the whole-token predictor has; and so many tokens (with their states) are
 #: looked up in place rather than joined.
 NODES, LOOKUP = 16, 1 << 18
@@ -558,9 +556,7 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
         values = learnt.where(F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(CLASSES).collect()
         for k, r in enumerate(values):
             cls = F.when(F.col(class_col) == r[0], F.lit(k + 1)).otherwise(cls)
-    share = F.lit(int(min(1.0, CLASSED_ROWS / max(1, learnt.count())) * (1 << 20)))
-    some = learnt.where(F.pmod(F.xxhash64(F.lit(2), F.col(id_col), F.col(text_col)), F.lit(1 << 20)) < share)
-    teller = teller_of(common.materialise(counted(some, text_col, cls.cast("int"), "tok binary, cls int, c long", by_class), "classed"))
+    teller = teller_of(common.materialise(counted(learnt, text_col, cls.cast("int"), "tok binary, cls int, c long", by_class), "classed"))
     vocab = common.materialise(counted(docs, text_col, trains, "tok binary, z int, c long", by_state(teller)), "vocabulary")
     counts = common.materialise(vocab.groupBy("tok").agg(F.sum("c").alias("n")).where("n > 0"), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
