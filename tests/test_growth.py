@@ -1,5 +1,8 @@
 """Steps that grow with the tables: what is joined or dealt stays small, and the rows stay those of the direct form."""
 
+import pytest
+
+from tesserae.functions import sizing
 from tesserae.plans import bindings, evidence, sheets  # noqa: F401
 
 
@@ -20,3 +23,14 @@ def test_revisit_pairs_join_only_the_ends_of_segments(spark, tmp_path):
         expected += [(clip, f, t) for _, f, t in sorted(pairs)[:12]]
     assert sorted(map(tuple, got.collect())) == sorted(expected)
     assert optimized(got).count("row_number() windowspecdefinition") >= 3
+
+
+@pytest.mark.parametrize("name, dealt", [("f10_triangle_gates", 10), ("a8_vertex_normals", 8), ("j20_corner_regions", 3), ("g8_inside_edges", 10)])
+def test_joins_are_dealt_by_the_input(spark, monkeypatch, name, dealt):
+    run = lambda: bindings.QUERIES[name](spark, "/root/testdata/sf0.001")
+    small = run()
+    assert "Repartition" not in optimized(small)
+    monkeypatch.setattr(sizing, "SHARE", 5_000)
+    large = run()
+    assert optimized(large).count("RepartitionByExpression") >= dealt
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
