@@ -25,7 +25,7 @@ def test_revisit_pairs_join_only_the_ends_of_segments(spark, tmp_path):
     assert optimized(got).count("row_number() windowspecdefinition") >= 3
 
 
-@pytest.mark.parametrize("name, dealt", [("f10_triangle_gates", 10), ("a8_vertex_normals", 8), ("j20_corner_regions", 3), ("g8_inside_edges", 10)])
+@pytest.mark.parametrize("name, dealt", [("f10_triangle_gates", 10), ("a8_vertex_normals", 8), ("j20_corner_regions", 3), ("g8_inside_edges", 8)])
 def test_joins_are_dealt_by_the_input(spark, monkeypatch, name, dealt):
     run = lambda: bindings.QUERIES[name](spark, "/root/testdata/sf0.001")
     small = run()
