@@ -3,6 +3,7 @@
 import pytest
 
 from tesserae.functions import sizing
+from tesserae.operators import spatial
 from tesserae.plans import bindings, evidence, sheets  # noqa: F401
 
 
@@ -34,3 +35,12 @@ def test_joins_are_dealt_by_the_input(spark, monkeypatch, name, dealt):
     large = run()
     assert optimized(large).count("RepartitionByExpression") >= dealt
     assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+
+
+def test_overlaps_of_one_full_cell_are_dealt(spark, tmp_path):
+    rows = [(k, k % 5 / 4, k % 5 / 4 + k % 3 / 8, k % 7 / 4, k % 7 / 4 + 0.25) for k in range(200)] + [(900, None, 1.0, 0.0, 1.0)]
+    spark.createDataFrame(rows, "id long, x0 double, x1 double, y0 double, y1 double").coalesce(1).write.parquet(str(tmp_path / "r"))
+    got = spatial.overlapping(spark.read.parquet(str(tmp_path / "r")), 4.0)
+    meets = lambda p, q: p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4]
+    assert sorted(map(tuple, got.collect())) == [(p[0], q[0]) for p in rows[:200] for q in rows[:200] if p[0] < q[0] and meets(p, q)]
+    assert got.rdd.glom().map(len).filter(lambda n: n > 0).count() > 1
