@@ -44,3 +44,13 @@ def test_overlaps_of_one_full_cell_are_dealt(spark, tmp_path):
     meets = lambda p, q: p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4]
     assert sorted(map(tuple, got.collect())) == [(p[0], q[0]) for p in rows[:200] for q in rows[:200] if p[0] < q[0] and meets(p, q)]
     assert got.rdd.glom().map(len).filter(lambda n: n > 0).count() > 1
+
+
+def test_shared_corners_are_dealt_by_the_input(spark, monkeypatch):
+    run = lambda: bindings.QUERIES["g7_shared_vertices"](spark, "/root/testdata/sf0.001")
+    small = run()
+    monkeypatch.setattr(sizing, "SHARE", 5_000)
+    large = run()
+    dealt = lambda df: optimized(df).count("RepartitionByExpression")
+    assert dealt(small) == 0 and dealt(large) >= 8  # two of the mesh, three joins of two sides
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
