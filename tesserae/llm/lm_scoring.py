@@ -58,6 +58,10 @@ STEPS, REACH = 33, 8.0
 CHUNK_TOKENS, CHUNK_BYTES = 2048, 1 << 17
 #: Slots in a row of the count tables as they travel.
 ROW = 1 << 13
+#: What the counts of a task may come to before it hands them on: each byte meets a slot once for each of its bits.
+FULL = (1 << 32) // 8 - 1
+#: Texts that a task takes from Arrow at a time.
+TEXTS = 256
 RATE = 0.02
 BASE_SMOOTH = 0.1
 SALT = sh.mix(np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -278,27 +282,43 @@ def cells(t: Trace, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_tables(batches: Iterator[pa.RecordBatch], tags: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (row, n): counts of a task, ROW slots at a time. They are whole numbers, so their sums don't depend on any order."""
-    tables = [np.zeros(2 << bits) for _ in range(ORDERS)]  # those of bit 1 after those of bit 0
+    """Rows (row, n): counts of a task, ROW slots at a time. They are whole numbers, so their sums don't depend on any order.
+
+    Tables have 32 bits a slot (84 MB at most in all) and are handed on before the counts in them could pass FULL; what sums up the rows has more.
+    """
+    tables = [np.zeros(2 << bits, np.uint32) for _ in range(ORDERS)]  # those of bit 1 after those of bit 0
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        number = 0
+        for table in tables:
+            for part in table.reshape(-1, ROW):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed(part)], pa.binary())], ["row", "n"])
+                    part[:] = 0
+                number += 1
+
     for tokens, states, counts in rows_of(batches):
-        if not (counts > 0).any():
-            continue
-        t = trace(tokens, states)
-        weight = counts[t.token]
-        for _, node, bit in bits_of(t):
-            for k in range(ORDERS):
-                slots, tag = slot_of(t, k, node, bits)
-                at, w = slots + (bit << bits), weight
-                if tag is not None:
-                    own = tags[slots] == tag
-                    at, w = at[own], w[own]
-                np.add.at(tables[k], at, w)
-    number = 0
-    for table in tables:
-        for part in table.reshape(-1, ROW):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed(part)], pa.binary())], ["row", "n"])
-            number += 1
+        t, left = None, counts.astype(np.int64)
+        while (left > 0).any():  # more than once only where a token has more than its share of FULL
+            part = np.clip(left, 0, max(1, FULL // (sum(map(len, tokens)) + len(tokens))))
+            left = left - part
+            t = t or trace(tokens, states)
+            weight = part[t.token].astype(np.uint32)
+            mass = int(part[t.token].sum())
+            if held + mass > FULL:
+                yield from flush()
+                held = 0
+            held += mass
+            for _, node, bit in bits_of(t):
+                for k in range(ORDERS):
+                    slots, tag = slot_of(t, k, node, bits)
+                    at, w = slots + (bit << bits), weight
+                    if tag is not None:
+                        own = tags[slots] == tag
+                        at, w = at[own], w[own]
+                    np.add.at(tables[k], at, w)
+    yield from flush()
 
 
 def added_rows(rows: DataFrame) -> DataFrame:
@@ -441,6 +461,13 @@ def fit(vocab: DataFrame, distinct: int) -> Model:
 HELD = 500_000
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches TEXTS rows at a time, so that Python holds no more than these as objects."""
+    for b in batches:
+        for k in range(0, b.num_rows, TEXTS):
+            yield b.slice(k, TEXTS)
+
+
 def counted(docs: DataFrame, text_col: str, told: Column, schema: str, places_of) -> DataFrame:
     """Counts by (token, place) over the texts. places_of(tokens, told) gives the tokens' places and whether they count; what doesn't count has 0."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -456,7 +483,7 @@ def counted(docs: DataFrame, text_col: str, told: Column, schema: str, places_of
                     yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(places, pa.int32()), pa.array(values)], names)
                     c.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for text, told in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = tokens_of(text)
                 places, counts = places_of(tokens, told)
@@ -515,7 +542,7 @@ def documents_scored(docs: DataFrame, id_col: str, text_col: str, trains: Column
         from pyspark import TaskContext
 
         (known, teller), key = sent.value, TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for text in b.column(2).to_pylist():
                 tokens = tokens_of(text)
