@@ -3,7 +3,7 @@
 import pytest
 
 from tesserae.functions import sizing
-from tesserae.operators import spatial
+from tesserae.operators import meshes, spatial
 from tesserae.plans import bindings, evidence, sheets  # noqa: F401
 
 
@@ -54,3 +54,18 @@ def test_shared_corners_are_dealt_by_the_input(spark, monkeypatch):
     dealt = lambda df: optimized(df).count("RepartitionByExpression")
     assert dealt(small) == 0 and dealt(large) >= 8  # two of the mesh, three joins of two sides
     assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+
+
+def test_rounds_of_safe_moves_are_narrow(spark, monkeypatch):
+    write, wide = meshes.materialise, {}
+
+    def watched(df, name):
+        wide[name] = max(wide.get(name, 0), len(df.columns))
+        return write(df, name)
+
+    monkeypatch.setattr(meshes, "materialise", watched)
+    run = lambda: sorted(map(str, bindings.QUERIES["g9_safe_moves"](spark, "/root/testdata/sf0.001").collect()))
+    small = run()
+    assert "stopped" in wide and max(n for name, n in wide.items() if name not in ("moves", "holds")) <= 4  # no coordinates
+    monkeypatch.setattr(sizing, "SHARE", 20_000)
+    assert run() == small
