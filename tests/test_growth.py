@@ -3,7 +3,7 @@
 import pytest
 
 from tesserae.functions import sizing
-from tesserae.operators import meshes, spatial
+from tesserae.operators import conform, meshes, spatial
 from tesserae.plans import bindings, evidence, sheets  # noqa: F401
 
 
@@ -69,3 +69,26 @@ def test_rounds_of_safe_moves_are_narrow(spark, monkeypatch):
     assert "stopped" in wide and max(n for name, n in wide.items() if name not in ("moves", "holds")) <= 4  # no coordinates
     monkeypatch.setattr(sizing, "SHARE", 20_000)
     assert run() == small
+
+
+def test_edges_are_dealt_to_few_cells(spark, monkeypatch):
+    """On whole coordinates an edge of two cells is in two, and a long one is dealt to each cell once, without a shuffle to find that out."""
+    places = [(0, 0.0, 0.0), (1, 2.0, 0.0), (2, 0.0, 2.0), (3, 60.0, 37.0), (4, 1.0, 0.0)]
+    points = spark.createDataFrame([(i, x, y, 0.0) for i, x, y in places], "id long, x double, y double, z double")
+    found = []
+    monkeypatch.setattr(conform, "dealt", lambda df, n, *keys: (keys == ("cx", "cy", "cz") and found.append(df)) or df)
+    for corners, most in (((0, 1, 2), 8), ((0, 1, 3), 2 + 2 * 100)):
+        mesh = spark.createDataFrame([(1, *corners)], "tid long, a long, b long, c long")
+        rows = [(x.u, x.v, x.w, x.t) for x in conform.on_edges(mesh, points, 1e-6, 2.0).collect()]
+        assert (0, 1, 4, 0.5) in rows and len(rows) == 1
+        cut = [tuple(x) for x in found.pop().collect()]
+        assert len(cut) == len(set(cut)) <= most
+
+
+def test_conformed_is_dealt_by_the_input(spark, monkeypatch):
+    run = lambda: sorted(map(str, bindings.QUERIES["g8_conformed"](spark, "/root/testdata/sf0.001").collect()))
+    small = run()
+    spread, asked = conform.dealt, []
+    monkeypatch.setattr(conform, "dealt", lambda df, n, *keys: asked.append(n) or spread(df, n, *keys))
+    monkeypatch.setattr(sizing, "SHARE", 5_000)
+    assert run() == small and len(asked) >= 6 and min(asked) >= sizing.WORTH
